@@ -110,10 +110,9 @@ def offence_name(offence: str) -> str:
     return "off_" + "".join(ch if ch.isalnum() else "_" for ch in offence.lower())
 
 
-def offence_flags(violation_text: Column) -> dict[str, Column]:
+def offence_flags(upper_text: Column) -> dict[str, Column]:
     """One 0/1 column per known offence: the upper-cased raw text contains its name."""
-    text = F.upper(F.coalesce(violation_text, F.lit("")))
-    return {offence_name(o): text.contains(o).cast("int") for o in OFFENCE_WEIGHTS}
+    return {offence_name(o): upper_text.contains(o).cast("int") for o in OFFENCE_WEIGHTS}
 
 
 def severity(flags: dict[str, Column], extra_fraction: float) -> Column:

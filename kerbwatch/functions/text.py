@@ -52,12 +52,17 @@ def number(c: Column) -> Column:
     return F.when(c.rlike(_NUMBER), c.try_cast("double"))
 
 
-def instant(c: Column) -> Column:
-    """Instant from text; text without an offset is UTC, unreadable text is null."""
-    text = strip(c)
-    zoned = F.when(text.rlike(r"\d{2}:\d{2}.*" + _ZONE_SUFFIX), text).when(
-        text.rlike(r"\d{1,2}:\d{2}"), F.concat(text, F.lit("Z"))
-    ).otherwise(F.concat(text, F.lit(" 00:00:00Z")))
+def with_offset(text: Column) -> Column:
+    """Stripped time text with a UTC offset added where it has none."""
+    return (
+        F.when(text.rlike(r"\d{2}:\d{2}.*" + _ZONE_SUFFIX), text)
+        .when(text.rlike(r"\d{1,2}:\d{2}"), F.concat(text, F.lit("Z")))
+        .otherwise(F.concat(text, F.lit(" 00:00:00Z")))
+    )
+
+
+def instant(zoned: Column) -> Column:
+    """Instant from text with an offset; unreadable text is null."""
     return F.coalesce(
         F.try_to_timestamp(zoned), *[F.try_to_timestamp(zoned, F.lit(f)) for f in TIME_FORMATS]
     )

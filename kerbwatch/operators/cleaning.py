@@ -62,12 +62,11 @@ def validation_filter(records: DataFrame, policy: str) -> DataFrame:
 
 def with_created_at(records: DataFrame, timezone: str) -> DataFrame:
     """Local wall-clock creation time; null where the text is unreadable."""
-    created = F.col("created_datetime")
-    if dict(records.dtypes)["created_datetime"] == "string":
-        created = text.instant(created)
-    elif dict(records.dtypes)["created_datetime"] == "timestamp_ntz":
-        created = text.instant(created.cast("string"))
-    return records.withColumn("created_at", clock.local_time(created, timezone))
+    zoned = records.withColumn("_text", text.strip(F.col("created_datetime"))).withColumn(
+        "_text", text.with_offset(F.col("_text"))
+    )
+    created = clock.local_time(text.instant(F.col("_text")), timezone)
+    return zoned.withColumn("created_at", created).drop("_text")
 
 
 def parse_created_at(records: DataFrame, timezone: str) -> DataFrame:
@@ -89,7 +88,10 @@ def canonical_text(records: DataFrame) -> DataFrame:
 
 
 def offence_flags(records: DataFrame) -> DataFrame:
-    return records.withColumns(scoring.offence_flags(F.col("violation_type")))
+    upper = F.upper(F.coalesce(F.col("violation_type"), F.lit("")))
+    return records.withColumn("_text", upper).withColumns(
+        scoring.offence_flags(F.col("_text"))
+    ).drop("_text")
 
 
 def any_offence() -> Column:
