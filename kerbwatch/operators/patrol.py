@@ -62,9 +62,11 @@ def _greedy(taken: Column, candidates: Column, teams: int, metres: float) -> Col
 
 
 def _filled(taken: Column, head: Column, teams: int) -> Column:
-    """Taken zones first, then the best others; the head holds the first `teams` candidates."""
+    """Taken zones first, then the best others; the first `teams` candidates suffice for those."""
     ranks = F.transform(taken, lambda p: p["candidate_rank"])
-    others = F.filter(head, lambda c: ~F.array_contains(ranks, c["candidate_rank"]))
+    others = F.filter(
+        F.slice(head, 1, teams), lambda c: ~F.array_contains(ranks, c["candidate_rank"])
+    )
     return F.slice(F.concat(taken, others), 1, teams)
 
 
@@ -76,12 +78,10 @@ def head_size(settings: Settings, teams: int, metres: float) -> int:
 def _picked_on_grid(ranked: DataFrame, teams: int, metres: float, settings: Settings) -> DataFrame:
     heads = _slices(ranked, 0, head_size(settings, teams, metres))
     none = F.slice("candidates", 1, 0)
-    return heads.select(
-        "target_window_start",
-        _filled(_greedy(none, F.col("candidates"), teams, metres), F.col("candidates"), teams).alias(
-            "picked"
-        ),
-    )
+    # A column of its own: it is read twice below and must not be worked out twice.
+    walked = heads.withColumn("taken", _greedy(none, F.col("candidates"), teams, metres))
+    filled = _filled(F.col("taken"), F.col("candidates"), teams)
+    return walked.select("target_window_start", filled.alias("picked"))
 
 
 def _picked_anywhere(ranked: DataFrame, teams: int, metres: float, step: int) -> DataFrame:
