@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from kerbwatch.operators import (
     blending,
     cleaning,
     evaluation,
+    forecasting,
     panel,
     patrol,
     prioritise,
@@ -31,6 +34,7 @@ from kerbwatch.operators import features as feats
 from kerbwatch.plans import stages
 from kerbwatch.session import shared_folder, staged, tune
 from kerbwatch.sources import exports, records
+from kerbwatch.sources import model_store as saved
 from kerbwatch.sources.events_fixture import event_records, fixture_settings
 
 S = fixture_settings()
@@ -817,3 +821,94 @@ def run_summary(spark, sf_dir):
         F.lit(info.model_fit_rows).cast("bigint"),
         S,
     )
+
+
+# Fitted forecasts
+
+
+def _full_split(spark, sf_dir):
+    features = staged(stages.feature_table(clean(spark, sf_dir), S), "features")
+    return split.temporal_split(features, T)
+
+
+@query
+def feature_vector(spark, sf_dir):
+    """Length and sum of every row's feature vector."""
+    df = forecasting.feature_vector(stages.feature_table(clean(spark, sf_dir), S), S)
+    values = vector_to_array("features")
+    return df.select(
+        *TARGET,
+        F.size(values).alias("features"),
+        F.aggregate(values, F.lit(0.0), lambda a, v: a + v).alias("feature_sum"),
+    )
+
+
+@query
+def hotspot_model(spark, sf_dir):
+    train, test = _full_split(spark, sf_dir)
+    model, _ = forecasting.hotspot_model(train, S)
+    df = model.predict(forecasting.feature_vector(test, S), "predicted_violation_count")
+    return df.select(*TARGET, "target_violation_count", "predicted_violation_count")
+
+
+@query
+def impact_model(spark, sf_dir):
+    train, test = _full_split(spark, sf_dir)
+    boost = S.model.impact_members[0]
+    single = replace(S, model=replace(S.model, impact_members=(), impact_base=boost))
+    members, cap, _ = forecasting.impact_ensemble(train, single)
+    df = forecasting.feature_vector(test, S)
+    df = members[0].model.setPredictionCol("_p").transform(df)
+    value = scoring.clip(F.expm1("_p"), 0.0, cap)
+    return df.select(*TARGET, "target_impact_units", value.alias("predicted_impact_units"))
+
+
+@query
+def impact_ensemble(spark, sf_dir):
+    """Members, their normalised weights and their samples."""
+    train, _ = _full_split(spark, sf_dir)
+    members, cap, infos = forecasting.impact_ensemble(train, S)
+    rows = [
+        (m.name, m.weight, m.model.getNumTrees, infos[m.name].model_fit_rows, cap) for m in members
+    ]
+    schema = "member string, weight double, trees int, fit_rows bigint, impact_cap double"
+    return spark.createDataFrame(rows, schema)
+
+
+@query
+def score_models(spark, sf_dir):
+    train, test = _full_split(spark, sf_dir)
+    models, _ = forecasting.fit_pair(train, S)
+    df = forecasting.score_models(models, test, S)
+    return df.select(*TARGET, "predicted_violation_count", "predicted_impact_units")
+
+
+@query
+def train_models(spark, sf_dir):
+    """Blend chosen on the last training windows, then all systems evaluated on the test period."""
+    train, test = _full_split(spark, sf_dir)
+    models, _ = forecasting.train_models(train, S)
+    frame = staged(forecasting.score_models(models, test, S), "predictions")
+    return evaluation.evaluate_systems(frame, list(S.deployment.top_k))
+
+
+@query
+def feature_importance(spark, sf_dir):
+    train, test = _full_split(spark, sf_dir)
+    models, _ = forecasting.fit_pair(train, S)
+    return forecasting.feature_importance(models, test, S)
+
+
+@query
+def importance_topn(spark, sf_dir):
+    return forecasting.importance_topn(feature_importance(spark, sf_dir), "impact")
+
+
+@query
+def model_store(spark, sf_dir):
+    """Forecasts of models that were saved and loaded again."""
+    train, test = _full_split(spark, sf_dir)
+    models, _ = forecasting.fit_pair(train, S)
+    path = saved.save_models(spark, models, path_for(spark, "models"))
+    df = forecasting.score_models(saved.load_models(spark, path), test, S)
+    return df.select(*TARGET, "predicted_violation_count", "predicted_impact_units")

@@ -37,6 +37,8 @@ def with_offset_text(df: DataFrame, column: str, timezone: str) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, compression: str = "none") -> str:
     writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    # Keep blanks at the ends of text as they are.
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("compression", compression).csv(path)
     return path
 
