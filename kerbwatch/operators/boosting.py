@@ -84,7 +84,7 @@ def fit_poisson(
     )
     mean = base.filter("NOT held").agg(F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()[0]
     start = math.log(max(mean or 0.0, 1e-9))
-    state = base.withColumn("m", F.lit(start))
+    state = base.withColumn("m", F.lit(start)).persist()
     tree = DecisionTreeRegressor(
         featuresCol="features",
         labelCol="_label",
@@ -98,6 +98,7 @@ def fit_poisson(
     trees: list[DecisionTreeRegressionModel] = []
     leaf_values: list[list[float]] = []
     best_loss, best_size = math.inf, 0
+    older: DataFrame | None = None
     for round_number in range(boost.max_iter):
         mean_now = F.exp("m")
         targets = state.withColumns(
@@ -112,6 +113,8 @@ def fit_poisson(
             F.sum(F.when(F.col("held"), F.col("w") * _poisson_loss(F.col("y"), F.col("m")))).alias("l"),
         )
         rows = sums.collect()
+        if older is not None:
+            older.unpersist()
         if early:
             # Loss of the model before this round's tree.
             loss = sum(r["l"] or 0.0 for r in rows)
@@ -127,7 +130,11 @@ def fit_poisson(
         trees.append(fitted)
         leaf_values.append(values)
         moved = clip(F.col("m") + _leaf_value("_leaf", values), -_LOG_RANGE, _LOG_RANGE)
+        older = state
         state = leafed.select("features", "y", "w", "held", moved.alias("m"))
         if (round_number + 1) % _ROUNDS_PER_STAGE == 0:
             state = staged(state, "boost-state")
+        # Each round reads its state once per tree level.
+        state = state.persist()
+    state.unpersist()
     return PoissonBoost(start, trees, leaf_values)

@@ -29,8 +29,15 @@ def described_panel(clean: DataFrame, settings: Settings) -> DataFrame:
     return panel.panel_zone_join(panel.dense_panel(windows, settings), reference, settings)
 
 
+def features_from(windows: DataFrame, reference: DataFrame, settings: Settings) -> DataFrame:
+    """Feature table; the zone columns join last, so the windows sort narrow rows."""
+    features = feats.build_features(panel.dense_panel(windows, settings), settings.temporal)
+    return panel.panel_zone_join(features, reference, settings)
+
+
 def feature_table(clean: DataFrame, settings: Settings) -> DataFrame:
-    return feats.build_features(described_panel(clean, settings), settings.temporal)
+    windows = active_windows(clean, settings)
+    return features_from(windows, active_reference(clean, windows, settings), settings)
 
 
 def bare_features(clean: DataFrame, settings: Settings) -> DataFrame:
