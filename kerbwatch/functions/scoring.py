@@ -84,8 +84,14 @@ MAP_COLOURS = [
 
 def lookup(values: dict, key: Column, default) -> Column:
     """Constant-map lookup; for tables of a few dozen fixed entries."""
-    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, key), F.lit(default))
+    return F.coalesce(F.try_element_at(constant_map(values), key), F.lit(default))
+
+
+def constant_map(values: dict) -> Column:
+    def literal(v) -> str:
+        return f"{v!r}D" if isinstance(v, float) else f"'{v}'"
+
+    return F.expr(f"map({', '.join(f'{literal(k)}, {literal(v)}' for k, v in values.items())})")
 
 
 def flag(condition: Column) -> Column:

@@ -29,8 +29,11 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(_WHITESPACE))
 
 
-def null_if_token(c: Column) -> Column:
-    return F.when(~c.isin(NULL_TOKENS), c)
+def null_if_token(sql: str) -> Column:
+    """The text the SQL expression gives, or null for a missing-value spelling."""
+    # One SQL text instead of a call per token: a plan has many of these columns.
+    tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
+    return F.expr(f"CASE WHEN {sql} NOT IN ({tokens}) THEN {sql} END")
 
 
 def present(c: Column) -> Column:

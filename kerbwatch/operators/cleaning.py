@@ -247,8 +247,8 @@ def clean_records(records: DataFrame, settings: Settings) -> DataFrame:
     """
     scored = score_records(records, settings)
     payload = [c for c in CLEAN_COLUMNS if c not in ("id", "ingest_seq")]
-    slim = scored.select(
-        "id", "ingest_seq", "keep", *[F.when(F.col("keep"), F.col(c)).alias(c) for c in payload]
+    slim = scored.selectExpr(
+        "id", "ingest_seq", "keep", *[f"CASE WHEN keep THEN {c} END AS {c}" for c in payload]
     )
     return dedupe_last(slim).filter("keep").select(*CLEAN_COLUMNS)
 
@@ -290,7 +290,7 @@ def offence_list_severity(records: DataFrame, scoring_settings: ScoringSettings)
     known = F.filter(
         offence_tokens(F.col("violation_type")), lambda t: F.array_contains(names, t)
     )
-    table = F.create_map(*[F.lit(x) for kv in scoring.OFFENCE_WEIGHTS.items() for x in kv])
+    table = scoring.constant_map(scoring.OFFENCE_WEIGHTS)
     weights = F.transform(known, lambda t: F.try_element_at(table, t))
     top = F.coalesce(F.array_max("_w"), F.lit(0.0))
     total = F.aggregate("_w", F.lit(0.0), lambda a, w: a + w)

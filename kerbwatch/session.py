@@ -70,6 +70,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows of an input with fewer splits than cores, such as one small file.
+
+    Does nothing for inputs with enough splits, so large inputs never pay for a shuffle here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint for a side whose row count is provably at most `max_rows`.
 

@@ -14,6 +14,7 @@ from kerbwatch.config import (
     Settings,
     TemporalSettings,
 )
+from kerbwatch.session import spread
 from kerbwatch.sources.records import record_contract
 
 
@@ -36,7 +37,7 @@ def fixture_settings() -> Settings:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def record_contract(df: DataFrame, order=None) -> DataFrame:
     missing = [c for c in REQUIRED_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"input lacks required columns: {', '.join(missing)}")
-    texts = [null_if_token(F.col(c).cast("string")).alias(c) for c in REQUIRED_COLUMNS]
+    texts = [null_if_token(f"CAST({c} AS STRING)").alias(c) for c in REQUIRED_COLUMNS]
     sequence = F.col("ingest_seq") if "ingest_seq" in df.columns else order
     return df.select(*texts, sequence.alias("ingest_seq"))
 
