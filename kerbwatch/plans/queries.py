@@ -7,7 +7,6 @@ the edge is therefore moved by 0.0003 units of the last place.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -32,7 +31,7 @@ from kerbwatch.operators import (
 )
 from kerbwatch.operators import features as feats
 from kerbwatch.plans import stages
-from kerbwatch.session import shared_folder, staged, tune
+from kerbwatch.session import scratch_path, staged, tune
 from kerbwatch.sources import exports, records
 from kerbwatch.sources import model_store as saved
 from kerbwatch.sources.events_fixture import event_records, fixture_settings
@@ -99,10 +98,6 @@ def bare_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prioritise.add_operational_scores(predictions(spark, sf_dir))
 
 
-def path_for(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 ROW = ["id", "ingest_seq"]
 SLOT = ["zone_id", "window_start"]
 TARGET = ["zone_id", "target_window_start"]
@@ -113,7 +108,7 @@ TARGET = ["zone_id", "target_window_start"]
 
 @query
 def scan_violations(spark, sf_dir):
-    path = path_for(spark, "records-csv")
+    path = scratch_path(spark, "records-csv")
     exports.write_table(raw(spark, sf_dir).drop("ingest_seq"), path)
     scanned = records.scan_csv(spark, path)
     return (
@@ -125,7 +120,7 @@ def scan_violations(spark, sf_dir):
 
 @query
 def write_intermediate(spark, sf_dir):
-    path = exports.write_intermediate(clean(spark, sf_dir), path_for(spark, "clean"))
+    path = exports.write_intermediate(clean(spark, sf_dir), scratch_path(spark, "clean"))
     return (
         spark.read.parquet(path)
         .groupBy("window_date")
@@ -136,7 +131,7 @@ def write_intermediate(spark, sf_dir):
 @query
 def export_predictions(spark, sf_dir):
     table = exports.prediction_table(scored(spark, sf_dir))
-    path = path_for(spark, "predictions")
+    path = scratch_path(spark, "predictions")
     exports.write_table(exports.with_offset_text(table, "target_window_start", S.data.timezone), path, "gzip")
     schema = exports.text_times(table, ("target_window_start",))
     return exports.read_table(spark, path, schema, S.data.timezone, ("target_window_start",))
@@ -146,7 +141,7 @@ def export_predictions(spark, sf_dir):
 def export_zone_history(spark, sf_dir):
     features = stages.feature_table(clean(spark, sf_dir), S)
     table = exports.zone_history(features, S)
-    path = path_for(spark, "history")
+    path = scratch_path(spark, "history")
     exports.write_table(exports.with_offset_text(table, "window_start", S.data.timezone), path, "gzip")
     schema = exports.text_times(table, ("window_start",))
     return exports.read_table(spark, path, schema, S.data.timezone, ("window_start",))
@@ -163,7 +158,7 @@ def export_tables(spark, sf_dir):
     }
     counts = None
     for name, table in tables.items():
-        path = exports.write_table(table, path_for(spark, name))
+        path = exports.write_table(table, scratch_path(spark, name))
         count = spark.read.option("header", True).csv(path).agg(
             F.lit(name).alias("artifact"), F.count("*").alias("rows")
         )
@@ -175,7 +170,7 @@ def export_tables(spark, sf_dir):
 def export_json(spark, sf_dir):
     frame = staged(predictions(spark, sf_dir), "predictions")
     metrics = evaluation.evaluate_systems(frame, list(S.deployment.top_k))
-    path = exports.write_json(metrics, path_for(spark, "metrics"))
+    path = exports.write_json(metrics, scratch_path(spark, "metrics"))
     return exports.read_json(spark, path, metrics.schema)
 
 
@@ -184,7 +179,7 @@ def read_artifacts(spark, sf_dir):
     reference = rounded(
         stages.active_reference(clean(spark, sf_dir), windows(spark, sf_dir), S), 9
     )
-    path = exports.write_table(reference, path_for(spark, "zone-reference"))
+    path = exports.write_table(reference, scratch_path(spark, "zone-reference"))
     return exports.read_table(spark, path, reference.schema, S.data.timezone)
 
 
@@ -909,6 +904,6 @@ def model_store(spark, sf_dir):
     """Forecasts of models that were saved and loaded again."""
     train, test = _full_split(spark, sf_dir)
     models, _ = forecasting.fit_pair(train, S)
-    path = saved.save_models(spark, models, path_for(spark, "models"))
+    path = saved.save_models(spark, models, scratch_path(spark, "models"))
     df = forecasting.score_models(saved.load_models(spark, path), test, S)
     return df.select(*TARGET, "predicted_violation_count", "predicted_impact_units")

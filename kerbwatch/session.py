@@ -58,6 +58,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """New path in the shared folder; all paths of one application lie under one subfolder."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/kerbwatch-{app}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
@@ -65,7 +71,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     same bits, and a lost executor costs a re-read and not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
