@@ -102,14 +102,14 @@ def clip(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
-def snapped(c: Column) -> Column:
-    """Drop summation noise below the eighth decimal.
+def snapped(c: Column, scale: float = 1e8) -> Column:
+    """Drop summation noise below the last decimal that counts, the eighth unless told otherwise.
 
     One record's units are a product of factors with at most eight decimals in all, so a sum of
     them is a multiple of 1e-8. Snapping the double to that multiple makes the result independent
     of partition count and shuffle order, hence equal values stay equal when ranked or joined.
     """
-    return F.rint(c * 1e8) / 1e8
+    return F.rint(c * scale) / scale
 
 
 def offence_name(offence: str) -> str:

@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from kerbwatch.config import TemporalSettings
@@ -32,27 +33,28 @@ CONTEXT_MEANS = {
 }
 
 
-def _by_zone():
+def _by_zone() -> WindowSpec:
     return W.partitionBy("zone_id").orderBy("window_start")
 
 
 def _with_running(panel: DataFrame, columns: list[str]) -> DataFrame:
     """Running sums `_run_<column>` and the row number `_row`, unless already there."""
-    so_far = _by_zone().rowsBetween(W.unboundedPreceding, W.currentRow)
+    by_zone = _by_zone()
+    so_far = by_zone.rowsBetween(W.unboundedPreceding, W.currentRow)
     new = {f"_run_{c}": F.sum(c).over(so_far) for c in columns if f"_run_{c}" not in panel.columns}
     if "_row" not in panel.columns:
-        new["_row"] = F.row_number().over(_by_zone())
+        new["_row"] = F.row_number().over(by_zone)
     return panel.withColumns(new) if new else panel
 
 
-def _rolling_sum(column: str, width: int) -> Column:
+def _rolling_sum(column: str, width: int, by_zone: WindowSpec, scale: float = 1e8) -> Column:
     run = f"_run_{column}"
-    past = F.coalesce(F.lag(run, width).over(_by_zone()), F.lit(0.0))
-    return F.greatest(snapped(F.col(run) - past), F.lit(0.0))
+    past = F.lag(run, width, 0.0).over(by_zone)
+    return F.greatest(snapped(F.col(run) - past, scale), F.lit(0.0))
 
 
-def _rolling_mean(column: str, width: int) -> Column:
-    return _rolling_sum(column, width) / F.least(F.col("_row"), F.lit(width))
+def _rolling_mean(column: str, width: int, by_zone: WindowSpec, scale: float = 1e8) -> Column:
+    return _rolling_sum(column, width, by_zone, scale) / F.least(F.col("_row"), F.lit(width))
 
 
 def drop_helpers(df: DataFrame) -> DataFrame:
@@ -68,29 +70,32 @@ def repeat_vehicle_rate(panel: DataFrame) -> DataFrame:
 
 def lag_features(panel: DataFrame, temporal: TemporalSettings) -> DataFrame:
     """Lag 1 is the row's own window: the last one completed before the target window."""
-    lagged = {}
+    by_zone, lagged = _by_zone(), {}
     for name, column in (("count", "violation_count"), ("impact", "impact_units")):
         for n in temporal.lags:
-            lagged[f"{name}_lag_{n}"] = F.lag(column, max(n - 1, 0)).over(_by_zone())
+            lagged[f"{name}_lag_{n}"] = F.lag(column, max(n - 1, 0)).over(by_zone)
     return panel.withColumns(lagged)
 
 
 def rolling_means(panel: DataFrame, temporal: TemporalSettings) -> DataFrame:
     df = _with_running(panel, ["violation_count", "impact_units"])
-    means = {}
+    by_zone, means = _by_zone(), {}
     for name, column in (("count", "violation_count"), ("impact", "impact_units")):
         for w in temporal.rolls:
-            means[f"{name}_roll_mean_{w}"] = _rolling_mean(column, w)
+            means[f"{name}_roll_mean_{w}"] = _rolling_mean(column, w, by_zone)
     return df.withColumns(means)
 
 
 def rolling_shares(panel: DataFrame, temporal: TemporalSettings) -> DataFrame:
     df = _with_running(panel, ["violation_count", *SHARES.values()])
     width = temporal.context_roll
-    total = _rolling_sum("violation_count", width)
+    by_zone = _by_zone()
+    total = _rolling_sum("violation_count", width, by_zone)
     shares = {
         out: clip(
-            F.coalesce(F.try_divide(_rolling_sum(source, width), total), F.lit(0.0)), 0.0, 1.0
+            F.coalesce(F.try_divide(_rolling_sum(source, width, by_zone), total), F.lit(0.0)),
+            0.0,
+            1.0,
         )
         for out, source in SHARES.items()
     }
@@ -99,8 +104,11 @@ def rolling_shares(panel: DataFrame, temporal: TemporalSettings) -> DataFrame:
 
 def rolling_context_means(panel: DataFrame, temporal: TemporalSettings) -> DataFrame:
     df = _with_running(panel, list(CONTEXT_MEANS.values()))
-    width = temporal.context_roll
-    return df.withColumns({out: _rolling_mean(c, width) for out, c in CONTEXT_MEANS.items()})
+    width, by_zone = temporal.context_roll, _by_zone()
+    return df.withColumns(
+        # Rates are fractions of any length, so only the noise of the running sums is dropped.
+        {out: _rolling_mean(c, width, by_zone, 1e11) for out, c in CONTEXT_MEANS.items()}
+    )
 
 
 def trend_ratios(panel: DataFrame, temporal: TemporalSettings) -> DataFrame:

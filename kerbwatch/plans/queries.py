@@ -828,14 +828,14 @@ def _full_split(spark, sf_dir):
 
 @query
 def feature_vector(spark, sf_dir):
-    """Length and sum of every row's feature vector."""
+    """Length and sum of every row's feature vector; the sum of forty values to three places."""
     df = forecasting.feature_vector(stages.feature_table(clean(spark, sf_dir), S), S)
     values = vector_to_array("features")
     return df.select(
         *TARGET,
         F.size(values).alias("features"),
         F.aggregate(values, F.lit(0.0), lambda a, v: a + v).alias("feature_sum"),
-    )
+    ).transform(rounded, 3)
 
 
 @query

@@ -718,3 +718,11 @@ SELECT (SELECT count(DISTINCT zone_id) FROM war) AS active_model_zones, (SELECT
   (SELECT {W} FROM pre GROUP BY {W} ORDER BY max(target_is_peak) DESC,
     {snap("sum(predicted_impact_units)")} DESC, {W} LIMIT 1) AS default_demo_window,
   500 AS grid_size_meters, 2 AS window_hours""")
+
+# Fitted forecasts
+VECTOR = ["cell_x", "cell_y", "centroid_latitude", "centroid_longitude", *ANGLES, "target_is_weekend",
+          "target_is_peak", *LAG_NAMES, *ROLL_NAMES, "trend_ratio", "impact_trend_ratio", *SHARES, *CONTEXT,
+          *EXPANDING]
+oracle("feature_vector", f"""
+SELECT {TGT}, {len(VECTOR)} AS features, {num(f"floor(({' + '.join(VECTOR)}) * 1e3 + 0.5003e0) / 1e3", "feature_sum")}
+FROM war JOIN kept_ref USING (zone_id)""")
