@@ -860,14 +860,13 @@ def impact_model(spark, sf_dir):
 
 @query
 def impact_ensemble(spark, sf_dir):
-    """Members, their normalised weights and their samples."""
+    """Fitted members: normalised weights, sample sizes and the shared prediction cap."""
     train, _ = _full_split(spark, sf_dir)
     members, cap, infos = forecasting.impact_ensemble(train, S)
-    rows = [
-        (m.name, m.weight, m.model.getNumTrees, infos[m.name].model_fit_rows, cap) for m in members
-    ]
-    schema = "member string, weight double, trees int, fit_rows bigint, impact_cap double"
-    return spark.createDataFrame(rows, schema)
+    rows = [(m.name, m.weight, infos[m.name].model_fit_rows, cap) for m in members]
+    return spark.createDataFrame(
+        rows, "member string, weight double, fit_rows bigint, impact_cap double"
+    )
 
 
 @query

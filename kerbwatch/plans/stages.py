@@ -3,19 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbwatch.config import Settings
+from kerbwatch.functions import clock
 from kerbwatch.operators import features as feats
 from kerbwatch.operators import panel, prioritise, zones
 from kerbwatch.operators.split import temporal_split
 from kerbwatch.session import staged
 
 
+# What the zone-window and zone tables read of a cleaned record.
+RECORD_COLUMNS = [
+    "zone_id", "window_start", "cell_x", "cell_y", "obstruction_units", "is_high_severity",
+    "is_named_junction", "has_junction_offence", "has_main_road_offence", "is_heavy_vehicle",
+    "canonical_vehicle_number", "device_id", "created_by_id", "record_confidence",
+    "police_station", "junction_name", "location",
+]
+
+
 def active_windows(clean: DataFrame, settings: Settings) -> DataFrame:
-    """Zone-window table of the active zones, written once: several branches start from it."""
-    table = staged(zones.zone_window_agg(clean), "zone-windows")
-    return zones.in_active_zones(table, zones.active_zones(table, settings), settings)
+    """Zone-window table of the active zones, written once: several branches start from it.
+
+    A zone is active by the records it had before the test period, which its windows add up to.
+    """
+    early = F.col("window_start") < clock.ntz(settings.temporal.test_start)
+    seen = F.sum(F.when(early, F.col("violation_count"))).over(W.partitionBy("zone_id"))
+    table = zones.zone_window_agg(clean).withColumn("_seen", seen)
+    active = table.filter(F.col("_seen") >= settings.grid.min_zone_observations).drop("_seen")
+    return staged(active, "zone-windows")
 
 
 def active_reference(clean: DataFrame, windows: DataFrame, settings: Settings) -> DataFrame:
@@ -24,6 +41,7 @@ def active_reference(clean: DataFrame, windows: DataFrame, settings: Settings) -
 
 
 def described_panel(clean: DataFrame, settings: Settings) -> DataFrame:
+    clean = staged(clean.select(*RECORD_COLUMNS), "records")
     windows = active_windows(clean, settings)
     reference = active_reference(clean, windows, settings)
     return panel.panel_zone_join(panel.dense_panel(windows, settings), reference, settings)
@@ -36,6 +54,8 @@ def features_from(windows: DataFrame, reference: DataFrame, settings: Settings)
 
 
 def feature_table(clean: DataFrame, settings: Settings) -> DataFrame:
+    """Features of every kept row; the records are cleaned once and read twice."""
+    clean = staged(clean.select(*RECORD_COLUMNS), "records")
     windows = active_windows(clean, settings)
     return features_from(windows, active_reference(clean, windows, settings), settings)
 

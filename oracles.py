@@ -726,3 +726,9 @@ VECTOR = ["cell_x", "cell_y", "centroid_latitude", "centroid_longitude", *ANGLES
 oracle("feature_vector", f"""
 SELECT {TGT}, {len(VECTOR)} AS features, {num(f"floor(({' + '.join(VECTOR)}) * 1e3 + 0.5003e0) / 1e3", "feature_sum")}
 FROM war JOIN kept_ref USING (zone_id)""")
+CAPS = " , ".join(
+    f"(SELECT quantile_cont(target_impact_units, 0.999) * 1.5e0 FROM smp{n})" for n in (1, 2))
+oracle("impact_ensemble", f"""
+SELECT member, {nums("weight")}, fit_rows, {num(f"greatest(1e0, {CAPS})", "impact_cap")} FROM (
+  SELECT 'compact_ranker' AS member, 0.3e0 AS weight, (SELECT count(*) FROM smp2) AS fit_rows
+  UNION ALL SELECT 'regularized_ranker', 0.7e0, (SELECT count(*) FROM smp1))""")
