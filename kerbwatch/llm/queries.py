@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kerbwatch.llm.bpe import round_trip_digests
 from kerbwatch.llm.common import table
 from kerbwatch.llm.packing import pack
+from kerbwatch.llm import secret_scan
 from kerbwatch.llm.simhash import near_duplicates
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@registered
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_digests(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op4_secrets"] = secret_scan.SQL
+
+
 @registered
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
