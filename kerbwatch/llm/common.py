@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Characters that a task holds in unpacked form at once.
@@ -50,3 +52,72 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that hold rows."""
     return (b for b in rows if b.num_rows)
+
+
+def fit_sample(
+    rows: DataFrame, label: str, per_label: int, max_chars: int
+) -> list[tuple[str, object]]:
+    """(text, label) of at most `per_label` rows of each label, for fitting a model on the driver.
+
+    `rows` has doc_id, text and the label. Which rows is decided by a hash of the key, so it does not
+    depend on their order. Texts beyond `max_chars` are not fitted on. Spark keeps `per_label` rows of
+    a label in each task before anything is shuffled. What comes to the driver is at most labels x
+    per_label x max_chars characters.
+    """
+    narrow = rows.filter(F.col(label).isNotNull() & (F.char_length("text") <= max_chars)).select(
+        "text", F.col(label).alias("label"), F.xxhash64("doc_id").alias("turn"), F.xxhash64("text").alias("tie")
+    )
+    ranked = narrow.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("turn", "tie")))
+    chosen = ranked.filter(F.col("n") <= per_label).select("text", "label", "n").collect()
+    return [(r["text"], r["label"]) for r in sorted(chosen, key=lambda r: (r["n"], r["label"]))]
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int) -> DataFrame:
+    """doc_id, text, label of labelled documents whose key has another remainder than `left_out`."""
+    known = labels.filter(F.col(label).isNotNull() & (remainder(F.col("doc_id"), divisor) != left_out))
+    known = known.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("label"))
+    return keyed_text(docs, "doc_id", "text").join(known, "doc_id")
+
+
+def scored(
+    docs: DataFrame,
+    divisor: int,
+    left_out: int,
+    make: Callable[[], Callable[[list[str]], np.ndarray]],
+    threshold: float,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; `make` builds the scorer of a Python worker."""
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = make()
+        for batch in batches(rows):
+            texts = texts_of(batch)
+            made = np.concatenate([score(texts[lo:hi]) for lo, hi in slices(texts)])
+            kept = [batch.column("doc_id"), batch.column("held_out")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(made, pa.float64()), pa.array((made >= threshold).astype(np.int32))],
+                ["doc_id", "held_out", "score", "predicted"],
+            )
+
+    narrow = keyed_text(docs, id_col, text_col).select(
+        "doc_id", (remainder(F.col("doc_id"), divisor) == left_out).alias("held_out"), "text"
+    )
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def kept_rows(
+    docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str = "text"
+) -> DataFrame:
+    """Rows of `docs`, whole and as they are, for whose texts the function of a worker says true."""
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches(rows):
+            texts = texts_of(batch, text_col)
+            mask = np.concatenate([keep(texts[lo:hi]) for lo, hi in slices(texts)])
+            yield batch.filter(pa.array(mask.astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from kerbwatch.llm import secret_scan
 from kerbwatch.llm.bpe import round_trip_digests
 from kerbwatch.llm.common import table
 from kerbwatch.llm.packing import pack
-from kerbwatch.llm import secret_scan
+from kerbwatch.llm.quality import quality
 from kerbwatch.llm.simhash import near_duplicates
+from kerbwatch.llm.toxicity import toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +43,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
 
 
+@registered
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @registered
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@registered
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
