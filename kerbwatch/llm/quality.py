@@ -12,7 +12,7 @@ from kerbwatch.llm.common import fit_sample, labelled, scored
 DIVISOR, LEFT_OUT, THRESHOLD = 5, 0, 0.3
 # Bounds of what is fitted on: rows of either label, and characters of one of them.
 ROWS_PER_LABEL = 1_500
-FIT_CHARS = 10_000
+FIT_CHARS = 6_000
 EPOCHS = 8
 BATCH = 32
 
