@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbwatch.llm import secret_scan
+from kerbwatch.llm import langid, secret_scan
 from kerbwatch.llm.bpe import round_trip_digests
 from kerbwatch.llm.common import table
 from kerbwatch.llm.packing import pack
@@ -30,6 +30,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@registered
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.language(docs, langid.learn(docs))
+
+
 @registered
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
