@@ -218,12 +218,17 @@ def fit(rows: list[tuple[str, object]]) -> ToxicModel:
     the model knows no term and scores all texts by the share of that label.
     """
     texts, toxic = [t for t, _ in rows], [bool(y) for _, y in rows]
-    terms = learn_terms(texts[::2], toxic[::2])
-    if len(set(toxic[::2])) < 2 or len(set(toxic[1::2])) < 2:
+    halves: tuple[list[int], list[int]] = ([], [])
+    for label in (False, True):
+        for turn, i in enumerate(i for i, y in enumerate(toxic) if y is label):
+            halves[turn % 2].append(i)
+    one, other = halves
+    terms = learn_terms([texts[i] for i in one], [toxic[i] for i in one])
+    if any(len({toxic[i] for i in half}) < 2 for half in halves):
         prior = min(max(float(np.mean(toxic or [0])), 1e-3), 1 - 1e-3)
         return ToxicModel({}, np.array([0, 0, 0, 0, 0, math.log(prior / (1 - prior))]))
-    x = Scorer(terms).features(texts[1::2])
-    coefficients = fit_logistic(x, np.array(toxic[1::2], float))
+    x = Scorer(terms).features([texts[i] for i in other])
+    coefficients = fit_logistic(x, np.array([toxic[i] for i in other], float))
     return ToxicModel(learn_terms(texts, toxic), coefficients)
 
 
