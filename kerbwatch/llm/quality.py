@@ -13,7 +13,8 @@ DIVISOR, LEFT_OUT, THRESHOLD = 5, 0, 0.3
 # Bounds of what is fitted on: rows of either label, and characters of one of them.
 ROWS_PER_LABEL = 1_500
 FIT_CHARS = 6_000
-EPOCHS = 8
+EPOCHS = 8  # more for a small sample, until there were LEAST_STEPS steps
+LEAST_STEPS = 600
 BATCH = 32
 
 STEP = 4  # bytes between two positions of a filter, which sees 2 * STEP bytes
@@ -139,6 +140,7 @@ def fit(rows: list[tuple[str, object]], epochs: int = EPOCHS, seed: int = 7) ->
     ready = [(*laid_out([texts[k] for k in part]), labels[part]) for part in parts]
     first = {k: np.zeros_like(v) for k, v in net.items()}
     second = {k: np.zeros_like(v) for k, v in net.items()}
+    epochs = max(epochs, -(-LEAST_STEPS // len(ready)))
     steps, total = 0, epochs * len(ready)
     for _ in range(epochs):
         for i in rng.permutation(len(ready)):

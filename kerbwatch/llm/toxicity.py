@@ -195,7 +195,7 @@ class Scorer:
         return math.log1p(abuse), math.log1p(quoted), math.log1p(len(found)), best, math.log1p(share)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 50) -> np.ndarray:
     """Newton steps for a logistic model; the last column is the constant, hardly penalised."""
     weights = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
