@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kerbwatch.llm import langid, secret_scan
 from kerbwatch.llm.bpe import round_trip_digests
 from kerbwatch.llm.common import table
+from kerbwatch.llm.order_minhash import fingerprinted
 from kerbwatch.llm.packing import pack
 from kerbwatch.llm.quality import quality
 from kerbwatch.llm.simhash import near_duplicates
@@ -36,6 +37,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(docs, langid.learn(docs))
 
 
+@registered
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprinted(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
