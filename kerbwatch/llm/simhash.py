@@ -92,7 +92,8 @@ def _meetings(prints: DataFrame, max_bits: int, crowd: int) -> DataFrame:
     sent = prints.mapInArrow(run, "anchor bigint, fingerprint bigint, home boolean")
     counts = sent.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("home"))
     busy = counts.filter("home and n > 1").select("anchor", (F.col("n") > crowd).alias("crowded"))
-    return sent.select("anchor", "fingerprint").join(busy, "anchor")
+    # Busy anchors grow with the fingerprints; a broadcast that happens to fit would not hold later.
+    return sent.select("anchor", "fingerprint").join(busy.hint("merge"), "anchor")
 
 
 def forest(group: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
