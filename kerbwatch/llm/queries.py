@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kerbwatch.llm import langid, secret_scan
+from kerbwatch.llm.ann import neighbours
 from kerbwatch.llm.bpe import round_trip_digests
 from kerbwatch.llm.common import table
 from kerbwatch.llm.order_minhash import fingerprinted
@@ -66,6 +67,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@registered
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"), k=20, query_divisor=20)
+
+
 @registered
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
