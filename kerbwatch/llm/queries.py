@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbwatch.llm import langid, secret_scan
+from kerbwatch.llm import langid, pii, secret_scan
 from kerbwatch.llm.ann import neighbours
 from kerbwatch.llm.bpe import round_trip_digests
 from kerbwatch.llm.common import table
@@ -75,3 +75,9 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_surrogates(docs, key="documents")
