@@ -116,6 +116,19 @@ def probed(index: Index, query: np.ndarray) -> np.ndarray:
     return np.flatnonzero(away <= index.ratio * best)
 
 
+def enough(found: np.ndarray, query: np.ndarray, index: Index, sizes: np.ndarray, k: int) -> np.ndarray:
+    """The lists found, and the next nearest ones until they surely hold `k` others than the query.
+
+    A vector lies in REPLICAS lists at most, so that many times as many rows are enough.
+    """
+    wanted = REPLICAS * (k + 1)
+    if sizes[found].sum() >= wanted:
+        return found
+    order = np.argsort(((index.centroids - query) ** 2).sum(axis=1), kind="stable")
+    order = np.concatenate((found, order[~np.isin(order, found)]))
+    return order[: int(np.searchsorted(np.cumsum(sizes[order]), wanted)) + 1]
+
+
 def lists_of(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(point, list): the nearest list, and further ones across a border.
 
@@ -193,7 +206,7 @@ def neighbours(
 
     Vectors that are null, zero, hold a null or non-finite component, or have another size than
     most, take no part, nor do null ids. Of rows of one id the largest vector counts. With fewer
-    candidates than `k` all found are returned; without queries the result is empty.
+    candidates than `k` all are returned; without queries the result is empty.
     """
     spark = vectors.sparkSession
     doubles = F.col(vector_col).cast("array<double>")
@@ -226,7 +239,7 @@ def neighbours(
     def choose(batch_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batch_rows):
             queries = lifted_queries(_stacked(batch.column("v")), index.norm)
-            found = [probed(index, q) for q in queries]
+            found = [enough(probed(index, q), q, index, rows_of, k) for q in queries]
             point = np.repeat(np.arange(len(found)), [len(f) for f in found])
             kept = [batch.column(c).take(pa.array(point)) for c in ("vec_id", "v")]
             of = pa.array(np.concatenate(found), pa.int32())
@@ -234,11 +247,13 @@ def neighbours(
 
     schema = "list int, vec_id bigint, v array<double>"
     listed = staged(valid.mapInArrow(assign, schema), "lists")
+    # Rows of each list: at most MOST_LISTS numbers.
+    rows_of = np.zeros(len(index.centroids), np.int64)
+    for r in listed.groupBy("list").count().collect():
+        rows_of[r["list"]] = r["count"]
     asked = valid.filter(F.pmod("vec_id", F.lit(query_divisor)) == 0)
     sent = staged(asked.mapInArrow(choose, schema), "queries")
-    # Shards by list and blocks of queries: at most MOST_LISTS numbers, and one.
-    sizes = {r["list"]: -(-r["count"] // SHARD_ROWS) for r in listed.groupBy("list").count().collect()}
-    shards = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("list"))
+    shards = F.get(F.lit([int(n) for n in -(-rows_of // SHARD_ROWS)]), F.col("list"))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     left = listed.withColumns(
         {
@@ -246,7 +261,7 @@ def neighbours(
             "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
         }
     )
-    right = sent.filter(shards.isNotNull()).withColumns(
+    right = sent.filter(shards > 0).withColumns(
         {
             "shard": F.explode(F.sequence(F.lit(0), shards - 1)),
             "block": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"),
