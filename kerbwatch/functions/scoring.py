@@ -105,13 +105,21 @@ def clip(c: Column, low: float, high: float) -> Column:
 def snapped(c: Column, scale: float = 1e8) -> Column:
     """Drop summation noise below the last decimal that counts, the eighth unless told otherwise.
 
-    One record's units are a product of factors with at most eight decimals in all, so a sum of
-    them is a multiple of 1e-8. Snapping the double to that multiple makes the result independent
-    of partition count and shuffle order, hence equal values stay equal when ranked or joined.
+    For sums of moderate size: above 9e7 a double cannot hold the eighth decimal. Sums of units over
+    records and over history are therefore taken in whole steps (`in_steps`) instead.
     """
     return F.rint(c * scale) / scale
 
 
+def in_steps(c: Column) -> Column:
+    """Units as a whole number of 1e-8 steps, in which sums are exact in any order."""
+    return F.rint(c * 1e8).cast("bigint")
+
+
+def from_steps(c: Column) -> Column:
+    return c / F.lit(1e8)
+
+
 def offence_name(offence: str) -> str:
     return "off_" + "".join(ch if ch.isalnum() else "_" for ch in offence.lower())
 

@@ -136,5 +136,7 @@ def fit_poisson(
             state = staged(state, "boost-state")
         # Each round reads its state once per tree level.
         state = state.persist()
+    if older is not None:
+        older.unpersist()
     state.unpersist()
     return PoissonBoost(start, trees, leaf_values)

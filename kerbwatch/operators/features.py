@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kerbwatch.config import TemporalSettings
 from kerbwatch.functions import clock
-from kerbwatch.functions.scoring import clip, flag, snapped
+from kerbwatch.functions.scoring import clip, flag, from_steps, in_steps, snapped
 
 SHARES = {
     "junction_share_84": "junction_count",
@@ -25,6 +25,8 @@ SHARES = {
     "heavy_vehicle_share_84": "heavy_vehicle_count",
     "high_severity_share_84": "high_severity_count",
 }
+# Summed in whole steps, so that history of any length loses no digit of a small window.
+STEPPED = ("impact_units",)
 CONTEXT_MEANS = {
     "repeat_vehicle_rate_84": "repeat_vehicle_rate_window",
     "active_devices_mean_84": "active_devices",
@@ -41,7 +43,11 @@ def _with_running(panel: DataFrame, columns: list[str]) -> DataFrame:
     """Running sums `_run_<column>` and the row number `_row`, unless already there."""
     by_zone = _by_zone()
     so_far = by_zone.rowsBetween(W.unboundedPreceding, W.currentRow)
-    new = {f"_run_{c}": F.sum(c).over(so_far) for c in columns if f"_run_{c}" not in panel.columns}
+    new = {
+        f"_run_{c}": F.sum(in_steps(F.col(c)) if c in STEPPED else F.col(c)).over(so_far)
+        for c in columns
+        if f"_run_{c}" not in panel.columns
+    }
     if "_row" not in panel.columns:
         new["_row"] = F.row_number().over(by_zone)
     return panel.withColumns(new) if new else panel
@@ -49,8 +55,9 @@ def _with_running(panel: DataFrame, columns: list[str]) -> DataFrame:
 
 def _rolling_sum(column: str, width: int, by_zone: WindowSpec, scale: float = 1e8) -> Column:
     run = f"_run_{column}"
-    past = F.lag(run, width, 0.0).over(by_zone)
-    return F.greatest(snapped(F.col(run) - past, scale), F.lit(0.0))
+    past = F.coalesce(F.lag(run, width).over(by_zone), F.lit(0))
+    within = F.col(run) - past
+    return F.greatest(from_steps(within) if column in STEPPED else snapped(within, scale), F.lit(0.0))
 
 
 def _rolling_mean(column: str, width: int, by_zone: WindowSpec, scale: float = 1e8) -> Column:
@@ -125,7 +132,7 @@ def expanding_history(panel: DataFrame) -> DataFrame:
         {
             "history_observations": F.col("_run_violation_count"),
             "zone_expanding_mean_count": F.col("_run_violation_count") / F.col("_row"),
-            "zone_expanding_mean_impact": snapped(F.col("_run_impact_units")) / F.col("_row"),
+            "zone_expanding_mean_impact": from_steps(F.col("_run_impact_units")) / F.col("_row"),
         }
     )
 

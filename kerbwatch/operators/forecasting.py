@@ -24,7 +24,8 @@ from kerbwatch.session import staged
 COUNT_TARGET, IMPACT_TARGET = "target_violation_count", "target_impact_units"
 _CAP_QUANTILE, _CAP_MARGIN, _LEAST_CAP = 0.999, 1.5, 1.0
 _BINS = 128
-_IMPORTANCE_ROWS = 2_000
+# Rows among which a feature's values change places; more rows only mean more such groups.
+_SHUFFLE_ROWS = 100_000
 
 MODEL_ONLY = {"model": 1.0}
 
@@ -140,11 +141,15 @@ def _with_raw_impact(df: DataFrame, members: list[ImpactMember], output: str) ->
     return df.withColumn(output, total).drop(*helpers)
 
 
+def raw_scores(models: ForecastModels, df: DataFrame) -> DataFrame:
+    """What the models themselves say of rows that carry a `features` vector."""
+    df = models.hotspot.predict(df, "predicted_violation_count")
+    return _with_raw_impact(df, models.impact, "predicted_impact_units")
+
+
 def score_vectors(models: ForecastModels, df: DataFrame) -> DataFrame:
     """Unblended forecasts for rows that carry a `features` vector."""
-    df = models.hotspot.predict(df, "predicted_violation_count")
-    df = _with_raw_impact(df, models.impact, "predicted_impact_units")
-    return df.withColumn(
+    return raw_scores(models, df).withColumn(
         "predicted_impact_units", clip(F.col("predicted_impact_units"), 0.0, models.impact_cap)
     )
 
@@ -200,37 +205,37 @@ def train_models(train: DataFrame, settings: Settings) -> tuple[ForecastModels,
 
 
 def feature_importance(
-    models: ForecastModels, holdout: DataFrame, settings: Settings, max_rows: int = _IMPORTANCE_ROWS
+    models: ForecastModels, holdout: DataFrame, settings: Settings, group_rows: int = _SHUFFLE_ROWS
 ) -> DataFrame:
-    """Loss of accuracy per feature when its values are shuffled among a sample of rows.
+    """Loss of accuracy per feature when its values are shuffled among the holdout rows.
 
-    The sample is at most `max_rows` rows. All shuffled variants are scored in one pass: every row
-    appears once per feature, with that feature taken from another row of the sample.
+    All rows count. They are dealt by hash into groups of about `group_rows`, and in each group the
+    rows in one hash order meet those in another, side by side for all groups. All shuffled variants
+    are scored in one pass: every row appears once per feature, with that feature taken from the row
+    it met. Scores are those of the models, not clipped.
     """
     names = feature_columns(settings.temporal)
     seed = settings.model.random_seed
     values = F.array(*[F.col(n).cast("double") for n in names])
-    picked = staged(
-        holdout.withColumn("_pick", seeded_hash(ROW_KEYS, seed))
-        .orderBy("_pick")
-        .limit(max_rows)
-        .select(*ROW_KEYS, values.alias("x"), COUNT_TARGET, IMPACT_TARGET, "_pick"),
-        "importance-sample",
+    rows = staged(
+        holdout.select(*ROW_KEYS, values.alias("x"), COUNT_TARGET, IMPACT_TARGET), "importance-rows"
     )
-    # Both orderings run over the sample only.
-    numbered = picked.withColumn("_i", F.row_number().over(W.orderBy("_pick")))
-    shuffled = picked.select(
-        F.row_number().over(W.orderBy(seeded_hash(ROW_KEYS, seed + 1))).alias("_i"),
-        F.col("x").alias("other"),
-    )
-    variants = numbered.join(shuffled, "_i").withColumn(
+    groups = max(1, -(-rows.count() // group_rows))
+    dealt = rows.withColumn("_g", F.pmod(F.xxhash64(*ROW_KEYS, F.lit(seed)), F.lit(groups)))
+
+    def place(salt: int) -> Column:
+        return F.row_number().over(W.partitionBy("_g").orderBy(seeded_hash(ROW_KEYS, seed + salt)))
+
+    numbered = dealt.withColumn("_i", place(0))
+    shuffled = dealt.select("_g", place(1).alias("_i"), F.col("x").alias("other"))
+    variants = numbered.join(shuffled, ["_g", "_i"]).withColumn(
         "feature_id", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1)))
     )
     swapped = F.transform(
         "x",
         lambda v, i: F.when(i == F.col("feature_id"), F.element_at("other", i + 1)).otherwise(v),
     )
-    scored = score_vectors(models, variants.withColumn("features", array_to_vector(swapped)))
+    scored = raw_scores(models, variants.withColumn("features", array_to_vector(swapped)))
     errors = staged(
         scored.groupBy("feature_id").agg(
             F.avg(F.abs(F.col(COUNT_TARGET) - F.col("predicted_violation_count"))).alias("hotspot"),

@@ -17,6 +17,8 @@ from kerbwatch.session import staged
 
 # Hash prefixes of three hex digits give 4,096 buckets.
 _PREFIX_DIGITS = 3
+# So few hashes are read to find a cut among them.
+_READ_HASHES = 10_000
 
 
 def topk_per_window(
@@ -146,17 +148,29 @@ def prefix_of(hashed: Column) -> Column:
 def smallest_hashes(df: DataFrame, hashed: Column, size: int, histogram: dict[str, int]) -> DataFrame:
     """Exactly the `size` rows with the smallest hashes.
 
-    `histogram` holds the row count per hash prefix (a few thousand numbers). Whole prefixes below
-    the cut are kept by a filter; only the one prefix at the cut has to be sorted.
+    `histogram` holds the row count per hash prefix (a few thousand numbers). The prefix at the cut
+    is counted again by its next digits, until what is cut is a few rows, whose hashes are read. Then
+    one filter by one hash keeps the rows; nothing is sorted, whatever the size.
     """
     rows = df.withColumn("_hash", hashed)
-    taken = 0
-    for prefix in sorted(histogram):
-        if taken + histogram[prefix] > size:
-            break
-        taken += histogram[prefix]
-    else:
-        return rows.drop("_hash")
-    whole = rows.filter(prefix_of(F.col("_hash")) < prefix)
-    cut = rows.filter(prefix_of(F.col("_hash")) == prefix).orderBy("_hash").limit(size - taken)
-    return whole.unionByName(cut).drop("_hash")
+    cut = _hash_at(rows, size, histogram)
+    return (rows if cut is None else rows.filter(F.col("_hash") < cut)).drop("_hash")
+
+
+def _hash_at(rows: DataFrame, size: int, histogram: dict[str, int]) -> str | None:
+    """The least hash that is too large for the `size` smallest; None if all rows belong to them."""
+    inside, left = rows, size
+    while True:
+        for prefix in sorted(histogram):
+            if histogram[prefix] > left:
+                break
+            left -= histogram[prefix]
+        else:
+            return None
+        if len(prefix) == 32:  # very many rows of one hash, that is of one key
+            return prefix
+        inside = inside.filter(F.col("_hash").startswith(prefix))
+        if histogram[prefix] <= _READ_HASHES:
+            return sorted(r["_hash"] for r in inside.select("_hash").collect())[left]
+        longer = F.substring("_hash", 1, len(prefix) + _PREFIX_DIGITS)
+        histogram = {r["p"]: r["count"] for r in inside.groupBy(longer.alias("p")).count().collect()}

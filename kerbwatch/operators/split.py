@@ -31,6 +31,7 @@ def validation_split(train: DataFrame, windows: int) -> tuple[DataFrame, DataFra
     newest = [r[0] for r in latest.limit(windows + 1).collect()]
     if len(newest) <= windows:
         return train, nothing
-    cutoff = F.lit(newest[windows - 1])
+    # As local wall-clock text: a Python time would become an instant of the driver's own zone.
+    cutoff = clock.ntz(str(newest[windows - 1]))
     target = F.col("target_window_start")
     return train.filter(target < cutoff), train.filter(target >= cutoff)

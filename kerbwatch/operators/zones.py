@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbwatch.config import Settings
 from kerbwatch.functions import clock, geo, text
-from kerbwatch.functions.scoring import snapped
+from kerbwatch.functions.scoring import from_steps, in_steps
 from kerbwatch.operators.cleaning import grid_centroid
 from kerbwatch.session import small_side
 
@@ -15,12 +15,13 @@ from kerbwatch.session import small_side
 def zone_window_agg(records: DataFrame) -> DataFrame:
     """Per zone and window: volume, units, flag counts, distinct actors, mean confidence.
 
-    The three exact distinct counts make Spark aggregate first by (zone, window, actor), so a zone
+    Units and confidences are summed in whole steps of 1e-8, so a sum does not depend on the order of
+    its rows, however large it is. The three exact distinct counts make Spark aggregate first by (zone, window, actor), so a zone
     with a large share of the records is spread over tasks before it is brought together.
     """
     return records.groupBy("zone_id", "window_start").agg(
         F.count("*").alias("violation_count"),
-        snapped(F.sum("obstruction_units")).alias("impact_units"),
+        from_steps(F.sum(in_steps(F.col("obstruction_units")))).alias("impact_units"),
         F.sum("is_high_severity").alias("high_severity_count"),
         F.sum("is_named_junction").alias("junction_count"),
         F.sum("has_junction_offence").alias("junction_offence_count"),
@@ -29,7 +30,9 @@ def zone_window_agg(records: DataFrame) -> DataFrame:
         F.count_distinct("canonical_vehicle_number").alias("unique_vehicles"),
         F.count_distinct("device_id").alias("active_devices"),
         F.count_distinct("created_by_id").alias("active_officers"),
-        (snapped(F.sum("record_confidence")) / F.count("*")).alias("mean_record_confidence"),
+        (from_steps(F.sum(in_steps(F.col("record_confidence")))) / F.count("*")).alias(
+            "mean_record_confidence"
+        ),
     )
 
 

@@ -33,11 +33,11 @@ def _file_order():
     )
 
 
-def scan_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Records from CSV with a header.
 
-    `multiline` accepts line breaks inside quoted fields but makes a file one task; switch it off
-    for very large files whose fields hold no line breaks, so that files split.
+    Files split into tasks, which needs every record on a line of its own. Pass `multiline=True` if
+    quoted fields hold line breaks; then a file is one task, whatever its size.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     return record_contract(reader.option("multiLine", multiline).csv(path), _file_order())

@@ -88,7 +88,7 @@ def test_csv_keeps_quotes_line_breaks_and_row_order(spark, tmp_path):
     )
     extra = df.drop("ingest_seq").withColumn("unused", F.lit("z")).coalesce(1)
     path = exports.write_table(extra, str(tmp_path / "csv"))
-    got = {r["id"]: r for r in cleaning.dedupe_last(records.scan_csv(spark, path)).collect()}
+    got = {r["id"]: r for r in cleaning.dedupe_last(records.scan_csv(spark, path, multiline=True)).collect()}
     assert got["a"]["location"] == 'Gate "8",\nmain road'
     assert got["a"]["police_station"] == "new"
     assert got["b"]["junction_name"] is None and got["b"]["vehicle_type"] is None

@@ -122,7 +122,7 @@ def test_stored_models_forecast_the_same(spark, rate_field, tmp_path):
 
 def test_importance_finds_the_signal(spark, rate_field):
     settings, _, test, models, _ = rate_field
-    table = forecasting.feature_importance(models, test, settings, max_rows=800)
+    table = forecasting.feature_importance(models, test, settings, group_rows=800)
     rows = table.collect()
     assert len(rows) == 80 and {r["model"] for r in rows} == {"hotspot", "impact"}
     top = [r["feature"] for r in forecasting.importance_topn(table, "hotspot", 5).collect()]
