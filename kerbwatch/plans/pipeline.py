@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +34,10 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _one_json_row(spark: SparkSession, values: dict) -> DataFrame:
-    import json
-
-    return spark.createDataFrame([(json.dumps(values, default=str),)], "value string")
+def _write_document(spark: SparkSession, values: dict, path: str) -> None:
+    """One JSON document as it is, on one line."""
+    text = spark.createDataFrame([(json.dumps(values, default=str),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(path)
 
 
 def run_pipeline(spark: SparkSession, raw: DataFrame, output: str, settings: Settings) -> RunResult:
@@ -73,13 +74,19 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, output: str, settings: Set
         f"{output}/processed/metrics",
     )
     importance = forecasting.feature_importance(models, test, settings)
-    default = summaries.default_window(predictions).first()[0]
-    plan = patrol.patrol_plan(
-        predictions.filter(F.col("target_window_start") == F.lit(default)),
-        settings.deployment.teams,
-        settings.deployment.minimum_team_metres,
-        settings,
+    # As local wall-clock text: a Python time would become an instant of the driver's own zone.
+    default = clock.ntz(str(summaries.default_window(predictions).first()[0]))
+    plan = _kept(
+        patrol.patrol_plan(
+            predictions.filter(F.col("target_window_start") == default),
+            settings.deployment.teams,
+            settings.deployment.minimum_team_metres,
+            settings,
+        ),
+        f"{output}/processed/patrol_plan",
     )
+    if settings.deployment.teams > 0 and plan.isEmpty():
+        raise RuntimeError("the plan of the default window is empty")
 
     artifacts = f"{output}/artifacts"
     zone = settings.data.timezone
@@ -100,16 +107,23 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, output: str, settings: Set
         features,
         target < start,
         (target >= start) & (target < end),
-        F.lit(default),
+        default,
         F.lit(info.model_fit_rows).cast("bigint"),
         settings,
-    ).first()
-    about_data = summaries.cleaning_summary(raw, clean, settings).first()
-    summary = spark.createDataFrame([{**about_data.asDict(), **about_run.asDict()}])
+    )
+    about_data = summaries.cleaning_summary(raw, clean, settings)
+    summary = _one_row(
+        spark,
+        _as_text(about_data, ["date_min", "date_max"], zone),
+        _as_text(about_run, ["default_demo_window"], zone),
+    )
     exports.write_json(summary, f"{artifacts}/data_summary")
     exports.write_json(
         metrics.unionByName(_coverage_rows(predictions)), f"{artifacts}/metrics"
     )
+    covered = evaluation.evaluation_coverage(predictions)
+    times = [c for c, kind in covered.dtypes if kind == "timestamp_ntz"]
+    exports.write_json(_as_text(covered, times, zone), f"{artifacts}/evaluation_coverage")
     metadata = {
         "hotspot_loss": "poisson",
         "impact_loss": "squared_error",
@@ -117,21 +131,37 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, output: str, settings: Set
         "settings": asdict(settings),
         "feature_columns": feature_columns(temporal),
         "training_sample": info.as_dict(),
-        "default_demo_window": default,
+        "default_demo_window": summary.first()["default_demo_window"],
     }
-    exports.write_json(_one_json_row(spark, metadata), f"{output}/models/metadata")
+    _write_document(spark, metadata, f"{output}/models/metadata")
     manifest = {
-        "input_files": len(raw.inputFiles()),
+        "source_rows": summary.first()["source_rows"],
         "artifacts": [
-            "data_summary", "feature_importance", "metrics", "patrol_plan", "predictions",
-            "station_summary", "zone_history", "zone_reference",
+            "data_summary", "evaluation_coverage", "feature_importance", "metrics", "patrol_plan",
+            "predictions", "station_summary", "zone_history", "zone_reference",
         ],
         "models": ["hotspot", "impact", "metadata", "numbers"],
     }
-    exports.write_json(_one_json_row(spark, manifest), f"{artifacts}/run_manifest")
+    _write_document(spark, manifest, f"{artifacts}/run_manifest")
     return RunResult(metrics, summary, plan, predictions)
 
 
+def _as_text(df: DataFrame, times: list[str], zone: str) -> DataFrame:
+    for name in times:
+        df = exports.with_offset_text(df, name, zone)
+    return df
+
+
+def _one_row(spark: SparkSession, *rows: DataFrame) -> DataFrame:
+    """Tables of one row side by side."""
+    values: dict = {}
+    kinds: list[str] = []
+    for row in rows:
+        values |= row.first().asDict()
+        kinds += [f"{name} {kind}" for name, kind in row.dtypes]
+    return spark.createDataFrame([tuple(values.values())], ", ".join(kinds))
+
+
 def _coverage_rows(predictions: DataFrame) -> DataFrame:
     """Evaluation coverage in the shape of the metrics table."""
     cover = evaluation.evaluation_coverage(predictions)
