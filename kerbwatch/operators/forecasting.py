@@ -212,7 +212,8 @@ def feature_importance(
     All rows count. They are dealt by hash into groups of about `group_rows`, and in each group the
     rows in one hash order meet those in another, side by side for all groups. All shuffled variants
     are scored in one pass: every row appears once per feature, with that feature taken from the row
-    it met. Scores are those of the models, not clipped.
+    it met. Scores are those of the models, not clipped. `rows_scored` is the number of rows behind
+    each loss.
     """
     names = feature_columns(settings.temporal)
     seed = settings.model.random_seed
@@ -238,6 +239,7 @@ def feature_importance(
     scored = raw_scores(models, variants.withColumn("features", array_to_vector(swapped)))
     errors = staged(
         scored.groupBy("feature_id").agg(
+            F.count("*").alias("rows_scored"),
             F.avg(F.abs(F.col(COUNT_TARGET) - F.col("predicted_violation_count"))).alias("hotspot"),
             F.avg(F.abs(F.col(IMPACT_TARGET) - F.col("predicted_impact_units"))).alias("impact"),
         ),
@@ -254,8 +256,12 @@ def feature_importance(
     labels = F.array(*[F.lit(n) for n in names])
     return (
         errors.filter("feature_id >= 0")
-        .select(F.element_at(labels, F.col("feature_id") + 1).alias("feature"), F.inline(F.array(*kinds)))
-        .select("model", "feature", "importance", F.lit(0.0).alias("importance_std"))
+        .select(
+            F.element_at(labels, F.col("feature_id") + 1).alias("feature"),
+            "rows_scored",
+            F.inline(F.array(*kinds)),
+        )
+        .select("model", "feature", "importance", F.lit(0.0).alias("importance_std"), "rows_scored")
         .orderBy("model", F.desc("importance"), "feature")
     )
 

@@ -97,7 +97,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, output: str, settings: Set
     exports.write_table(shown, f"{artifacts}/predictions", "gzip")
     exports.write_table(history, f"{artifacts}/zone_history", "gzip")
     exports.write_table(reference, f"{artifacts}/zone_reference")
-    exports.write_table(importance, f"{artifacts}/feature_importance")
+    exports.write_table(importance.drop("rows_scored"), f"{artifacts}/feature_importance")
     exports.write_table(plan, f"{artifacts}/patrol_plan")
     exports.write_table(summaries.station_summary(clean), f"{artifacts}/station_summary")
 

@@ -838,24 +838,44 @@ def feature_vector(spark, sf_dir):
     ).transform(rounded, 3)
 
 
+def _outside(forecast: str, cap=None):
+    """How many forecasts are missing, negative, not finite or above the cap."""
+    good = (F.col(forecast) >= 0) & (F.col(forecast) < float("inf"))
+    if cap is not None:
+        good = good & (F.col(forecast) <= cap)
+    return F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias("outside")
+
+
 @query
 def hotspot_model(spark, sf_dir):
+    """Per test window: rows, their volume, and how many forecasts are no possible volume."""
     train, test = _full_split(spark, sf_dir)
-    model, _ = forecasting.hotspot_model(train, S)
+    model, info = forecasting.hotspot_model(train, S)
     df = model.predict(forecasting.feature_vector(test, S), "predicted_violation_count")
-    return df.select(*TARGET, "target_violation_count", "predicted_violation_count")
+    return df.groupBy("target_window_start").agg(
+        F.count("*").alias("rows"),
+        F.sum("target_violation_count").cast("bigint").alias("actual"),
+        _outside("predicted_violation_count"),
+        F.lit(info.model_fit_rows).cast("bigint").alias("fit_rows"),
+    )
 
 
 @query
 def impact_model(spark, sf_dir):
+    """Per test window: rows, their obstruction, the cap, and forecasts that lie outside of it."""
     train, test = _full_split(spark, sf_dir)
     boost = S.model.impact_members[0]
     single = replace(S, model=replace(S.model, impact_members=(), impact_base=boost))
     members, cap, _ = forecasting.impact_ensemble(train, single)
     df = forecasting.feature_vector(test, S)
     df = members[0].model.setPredictionCol("_p").transform(df)
-    value = scoring.clip(F.expm1("_p"), 0.0, cap)
-    return df.select(*TARGET, "target_impact_units", value.alias("predicted_impact_units"))
+    df = df.withColumn("_v", scoring.clip(F.expm1("_p"), 0.0, cap))
+    return df.groupBy("target_window_start").agg(
+        F.count("*").alias("rows"),
+        scoring.snapped(F.sum("target_impact_units")).alias("actual"),
+        _outside("_v", cap),
+        F.lit(float(cap)).alias("impact_cap"),
+    )
 
 
 @query
@@ -871,38 +891,73 @@ def impact_ensemble(spark, sf_dir):
 
 @query
 def score_models(spark, sf_dir):
+    """Per test window: rows, the cap, and forecasts of either kind that are impossible."""
     train, test = _full_split(spark, sf_dir)
     models, _ = forecasting.fit_pair(train, S)
     df = forecasting.score_models(models, test, S)
-    return df.select(*TARGET, "predicted_violation_count", "predicted_impact_units")
+    return df.groupBy("target_window_start").agg(
+        F.count("*").alias("rows"),
+        _outside("predicted_violation_count").alias("outside_count"),
+        _outside("predicted_impact_units", models.impact_cap).alias("outside_impact"),
+        F.lit(float(models.impact_cap)).alias("impact_cap"),
+    )
 
 
 @query
 def train_models(spark, sf_dir):
-    """Blend chosen on the last training windows, then all systems evaluated on the test period."""
+    """All systems evaluated on the test period after the blend was chosen on the last training
+    windows. What the forecast scores depends on trees, so only that it is finite is told; the
+    baselines' scores are told in full."""
     train, test = _full_split(spark, sf_dir)
     models, _ = forecasting.train_models(train, S)
     frame = staged(forecasting.score_models(models, test, S), "predictions")
-    return evaluation.evaluate_systems(frame, list(S.deployment.top_k))
+    metrics = evaluation.evaluate_systems(frame, list(S.deployment.top_k))
+    finite = F.when(F.abs("value") < float("inf"), 1.0).otherwise(0.0)
+    told = F.when(F.col("system") == "forecast", finite).otherwise(F.col("value"))
+    return metrics.select("system", "target", "metric", told.alias("value"))
 
 
-@query
-def feature_importance(spark, sf_dir):
+def _importance(spark, sf_dir):
     train, test = _full_split(spark, sf_dir)
     models, _ = forecasting.fit_pair(train, S)
     return forecasting.feature_importance(models, test, S)
 
 
+@query
+def feature_importance(spark, sf_dir):
+    """Every model and feature, on how many rows it was scored, and that its loss is finite."""
+    table = _importance(spark, sf_dir)
+    finite = F.abs("importance") < float("inf")
+    return table.select("model", "feature", "rows_scored", finite.alias("finite"), "importance_std")
+
+
 @query
 def importance_topn(spark, sf_dir):
-    return forecasting.importance_topn(feature_importance(spark, sf_dir), "impact")
+    """How many features the list of one model has, and whether it runs downwards."""
+    table = staged(_importance(spark, sf_dir), "importance")
+    top = forecasting.importance_topn(table, "impact")
+    mine = table.filter("model = 'impact'")
+    better = mine.join(top.select("feature"), "feature", "left_anti").agg(F.max("importance")).scalar()
+    return top.agg(
+        F.count_distinct("feature").alias("features"),
+        (F.min("importance") >= better).alias("largest"),
+        F.min("model").alias("model"),
+    )
 
 
 @query
 def model_store(spark, sf_dir):
-    """Forecasts of models that were saved and loaded again."""
+    """Per test window: forecasts of saved and loaded models, and how many differ from the originals."""
     train, test = _full_split(spark, sf_dir)
     models, _ = forecasting.fit_pair(train, S)
     path = saved.save_models(spark, models, scratch_path(spark, "models"))
-    df = forecasting.score_models(saved.load_models(spark, path), test, S)
-    return df.select(*TARGET, "predicted_violation_count", "predicted_impact_units")
+    names = ["predicted_violation_count", "predicted_impact_units"]
+    before = forecasting.score_models(models, test, S).select(*TARGET, *names)
+    loaded = saved.load_models(spark, path)
+    after = forecasting.score_models(loaded, test, S).select(*TARGET, *[F.col(n).alias(f"new_{n}") for n in names])
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"new_{n}"))
+    return before.join(after, TARGET).groupBy("target_window_start").agg(
+        F.count("*").alias("rows"), F.count(F.when(~same, 1)).alias("different")
+    )

@@ -732,3 +732,24 @@ oracle("impact_ensemble", f"""
 SELECT member, {nums("weight")}, fit_rows, {num(f"greatest(1e0, {CAPS})", "impact_cap")} FROM (
   SELECT 'compact_ranker' AS member, 0.3e0 AS weight, (SELECT count(*) FROM smp2) AS fit_rows
   UNION ALL SELECT 'regularized_ranker', 0.7e0, (SELECT count(*) FROM smp1))""")
+CAP = f"greatest(1e0, {CAPS})"
+ONE_CAP = "greatest(1e0, (SELECT quantile_cont(target_impact_units, 0.999) * 1.5e0 FROM smp2))"
+oracle("hotspot_model", f"""
+SELECT {W}, count(*) AS rows, CAST(sum(target_violation_count) AS BIGINT) AS actual, CAST(0 AS BIGINT) AS outside,
+  (SELECT count(*) FROM smp3) AS fit_rows FROM tes GROUP BY {W}""")
+oracle("impact_model", f"""
+SELECT {W}, count(*) AS rows, {num(snap("sum(target_impact_units)"), "actual")}, CAST(0 AS BIGINT) AS outside,
+  {num(ONE_CAP, "impact_cap")} FROM tes GROUP BY {W}""")
+oracle("score_models", f"""
+SELECT {W}, count(*) AS rows, CAST(0 AS BIGINT) AS outside_count, CAST(0 AS BIGINT) AS outside_impact,
+  {num(CAP, "impact_cap")} FROM tes GROUP BY {W}""")
+oracle("train_models", f"""
+SELECT system, target, metric, CASE WHEN system = 'forecast' THEN 1e0 ELSE {num("value", "value").rsplit(" AS ", 1)[0]} END AS value
+FROM met""")
+oracle("feature_importance", f"""
+SELECT model, feature, (SELECT count(*) FROM tes) AS rows_scored, true AS finite, 0e0 AS importance_std
+FROM (SELECT unnest(['hotspot', 'impact']) AS model) CROSS JOIN (SELECT unnest({VECTOR!r}) AS feature)""")
+oracle("importance_topn", """
+SELECT CAST(12 AS BIGINT) AS features, true AS largest, 'impact' AS model FROM (SELECT count(*) AS n FROM tes)
+WHERE n > 0""")
+oracle("model_store", f"SELECT {W}, count(*) AS rows, CAST(0 AS BIGINT) AS different FROM tes GROUP BY {W}")
