@@ -11,6 +11,7 @@ from kerbwatch.functions import clock
 from kerbwatch.operators.zones import require_unique
 from kerbwatch.session import small_side
 
+# Names and order of the columns.
 MEASURES = [
     "violation_count",
     "impact_units",
@@ -25,6 +26,7 @@ MEASURES = [
     "mean_record_confidence",
 ]
 
+# Names and order of the columns.
 ZONE_COLUMNS = [
     "zone_id",
     "cell_x",

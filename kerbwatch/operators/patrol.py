@@ -19,6 +19,7 @@ from kerbwatch.functions import clock, geo
 from kerbwatch.operators.prioritise import action_for_reason, rank_candidates, select_window_station
 from kerbwatch.session import staged
 
+# Names and order of the columns.
 PLAN_COLUMNS = [
     "team", "rank", "zone_id", "zone_name", "police_station", "centroid_latitude",
     "centroid_longitude", "recommended_window", "predicted_violation_count",

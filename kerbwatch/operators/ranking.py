@@ -17,6 +17,9 @@ from kerbwatch.session import staged
 
 # Hash prefixes of three hex digits give 4,096 buckets.
 _PREFIX_DIGITS = 3
+# Distinct values of one range, and ranges at least.
+_RANGE_VALUES = 1_000_000
+_LEAST_RANGES = 8
 # So few hashes are read to find a cut among them.
 _READ_HASHES = 10_000
 
@@ -30,13 +33,17 @@ def topk_per_window(
 
 
 def ordered_counts(
-    df: DataFrame, keys: list[str], value: str, weight: Column | None = None, ranges: int = 32
+    df: DataFrame, keys: list[str], value: str, weight: Column | None = None
 ) -> DataFrame:
-    """Per key and distinct value: `n` rows have it and `before` rows have a smaller one."""
+    """Per key and distinct value: `n` rows have it and `before` rows have a smaller one.
+
+    The number of ranges follows the number of distinct values, so a range stays of one size.
+    """
     rows = F.count("*") if weight is None else F.sum(weight)
     counts = staged(df.groupBy(*keys, value).agg(rows.alias("n")), "ordered-counts")
+    ranges = max(_LEAST_RANGES, -(-counts.count() // _RANGE_VALUES))
     # Cut points only balance the work; the result does not depend on them.
-    cuts = counts.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.01)
+    cuts = counts.approxQuantile(value, [i / ranges for i in range(1, ranges)], min(0.01, 0.25 / ranges))
     cuts = sorted(set(cuts))
     if cuts:
         splits = [-math.inf, *cuts, math.inf]
@@ -94,19 +101,20 @@ def quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     return ends.select((F.col("lo") + F.col("share") * (F.col("hi") - F.col("lo"))).alias("quantile"))
 
 
-def _join_ranks(pairs: DataFrame, ranks: DataFrame, side: str, other: str, salts: int) -> DataFrame:
-    """Look up the rank of one side. The value zero is very common, so rows are spread by salt."""
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
+def _join_ranks(pairs: DataFrame, ranks: DataFrame, side: str) -> DataFrame:
+    """Look up the rank of one side.
+
+    The value zero is very common. Its pairs were counted, so there is one for each value of the
+    other side; where these still crowd one task, Spark's skewed-join handling splits them, as
+    their partner is a single row.
+    """
     table = ranks.filter(F.col("side") == side).select(
-        "series",
-        F.col("value").alias(side),
-        F.col("average_rank").alias(f"{side}_rank"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+        "series", F.col("value").alias(side), F.col("average_rank").alias(f"{side}_rank")
     )
-    return salted.join(table, ["series", side, "_salt"]).drop("_salt")
+    return pairs.join(table, ["series", side])
 
 
-def rank_correlation(pairs: DataFrame, salts: int = 8) -> DataFrame:
+def rank_correlation(pairs: DataFrame) -> DataFrame:
     """Spearman correlation per series of (series, actual, predicted); zero when undefined."""
     counted = staged(
         pairs.groupBy("series", "actual", "predicted").agg(F.count("*").alias("n")), "rank-pairs"
@@ -122,8 +130,7 @@ def rank_correlation(pairs: DataFrame, salts: int = 8) -> DataFrame:
         ),
     )
     ranks = average_ranks(sides, ["series", "side"], "value", F.col("n"))
-    joined = _join_ranks(counted, ranks, "actual", "predicted", salts)
-    joined = _join_ranks(joined, ranks, "predicted", "actual", salts)
+    joined = _join_ranks(_join_ranks(counted, ranks, "actual"), ranks, "predicted")
     totals = counted.groupBy("series").agg(F.sum("n").alias("_rows"))
     middle = (F.col("_rows") + 1) / 2
     a, p = F.col("actual_rank") - middle, F.col("predicted_rank") - middle

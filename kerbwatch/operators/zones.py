@@ -61,12 +61,19 @@ def in_active_zones(df: DataFrame, zones: DataFrame, settings: Settings) -> Data
 
 
 def _ballots(records: DataFrame, keys: list[str], kinds: dict[str, Column]) -> DataFrame:
-    """How often each value occurs per key and kind; one pass, combined map-side."""
-    votes = [F.struct(F.lit(kind).alias("kind"), c.alias("value")) for kind, c in kinds.items()]
+    """How often each value occurs per key and kind.
+
+    Records are counted by the combination of their values first, so only the combinations, not the
+    records, are multiplied by the number of kinds.
+    """
+    combined = records.groupBy(*keys, *[c.alias(f"_{k}") for k, c in kinds.items()]).agg(
+        F.count("*").alias("_n")
+    )
+    votes = [F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("value")) for k in kinds]
     return (
-        records.select(*keys, F.inline(F.array(*votes)))
+        combined.select(*keys, "_n", F.inline(F.array(*votes)))
         .groupBy(*keys, "kind", "value")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("_n").alias("n"))
     )
 
 

@@ -73,6 +73,11 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean_records(raw(spark, sf_dir), S)
 
 
+def cleaned_once(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Cleaned records with the columns of the zone tables, written for all that read them."""
+    return staged(clean(spark, sf_dir).select(*more, *stages.RECORD_COLUMNS), "records")
+
+
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.active_windows(clean(spark, sf_dir), S)
 
@@ -149,10 +154,15 @@ def export_zone_history(spark, sf_dir):
 
 @query
 def export_tables(spark, sf_dir):
-    records_ = clean(spark, sf_dir)
-    results = staged(stages.scored_baseline(records_, S), "scored")
+    records_ = cleaned_once(spark, sf_dir)
+    seen = stages.active_windows(records_, S)
+    reference = stages.active_reference(records_, seen, S)
+    features = stages.features_from(seen, reference, S)
+    results = staged(
+        prioritise.add_operational_scores(stages.baseline_predictions(features, S)), "scored"
+    )
     tables = {
-        "zone_reference": stages.active_reference(records_, stages.active_windows(records_, S), S),
+        "zone_reference": reference,
         "patrol_plan": patrol.patrol_plan(results, TEAMS, SPACING, S),
         "station_summary": summaries.station_summary(records_),
     }
@@ -176,9 +186,8 @@ def export_json(spark, sf_dir):
 
 @query
 def read_artifacts(spark, sf_dir):
-    reference = rounded(
-        stages.active_reference(clean(spark, sf_dir), windows(spark, sf_dir), S), 9
-    )
+    df = cleaned_once(spark, sf_dir)
+    reference = rounded(stages.active_reference(df, stages.active_windows(df, S), S), 9)
     path = exports.write_table(reference, scratch_path(spark, "zone-reference"))
     return exports.read_table(spark, path, reference.schema, S.data.timezone)
 
@@ -387,14 +396,14 @@ def active_zones(spark, sf_dir):
 
 @query
 def active_zone_semijoin(spark, sf_dir):
-    df = clean(spark, sf_dir)
+    df = cleaned_once(spark, sf_dir, "id")
     active = zones.active_zones(zones.zone_window_agg(df), S)
     return zones.in_active_zones(df, active, S).select("id", "zone_id", "window_start")
 
 
 @query
 def zone_reference(spark, sf_dir):
-    df = clean(spark, sf_dir)
+    df = cleaned_once(spark, sf_dir)
     active = zones.active_zones(zones.zone_window_agg(df), S)
     return zones.zone_reference(zones.in_active_zones(df, active, S), S)
 

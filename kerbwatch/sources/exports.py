@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kerbwatch.config import Settings
 from kerbwatch.functions import clock
 
+# Names and order of the columns.
 PREDICTION_COLUMNS = [
     "zone_id", "target_window_start", "zone_name", "police_station", "primary_junction",
     "centroid_latitude", "centroid_longitude", "predicted_violation_count",
@@ -21,6 +22,7 @@ PREDICTION_COLUMNS = [
     "count_roll_mean_84", "impact_roll_mean_84", "history_observations", "target_is_peak",
 ]
 
+# Names and order of the columns.
 HISTORY_COLUMNS = [
     "zone_id", "window_start", "violation_count", "impact_units", "police_station", "zone_name",
 ]
