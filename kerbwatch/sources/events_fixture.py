@@ -57,7 +57,10 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vehicle_number": "concat('KA', user_id * 3 + k % 3)",
         "vehicle_type": "CASE k % 6 WHEN 0 THEN 'CAR' WHEN 1 THEN 'SCOOTER' WHEN 2 THEN 'HGV' "
         "WHEN 3 THEN 'MINI LORRY' WHEN 4 THEN 'PASSENGER AUTO' ELSE 'HOVERCRAFT' END",
-        "violation_type": """CASE event_type WHEN 'click' THEN '["WRONG PARKING"]'
+        "violation_type": """CASE event_type WHEN 'click' THEN CASE k % 5 WHEN 0 THEN '["WRONG PARKING"]'
+              WHEN 1 THEN '["PARKING NEAR TRAFFIC LIGHT OR ZEBRA CROSS","WRONG PARKING"]'
+              WHEN 2 THEN '["PARKING OPPOSITE TO ANOTHER PARKED VEHICLE"]'
+              WHEN 3 THEN '["PARKING OTHER THAN BUS STOP"]' ELSE 'NO PARKING; wrong  parking' END
             WHEN 'view' THEN '["NO PARKING","PARKING ON FOOTPATH"]'
             WHEN 'purchase' THEN '["DOUBLE PARKING","PARKING IN A MAIN ROAD"]'
             WHEN 'signup' THEN '["parking near road crossing","DEFECTIVE NUMBER PLATE"]'
@@ -71,7 +74,8 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ELSE concat('Station ', user_id % 7) END",
         "junction_name": "CASE user_id % 3 WHEN 0 THEN concat('Junction ', user_id % 5) "
         "WHEN 1 THEN 'No Junction' ELSE NULL END",
-        "updated_vehicle_number": "CAST(NULL AS STRING)",
+        "updated_vehicle_number": "CASE k % 9 WHEN 0 THEN concat(' KA', user_id, ' ') WHEN 1 THEN 'NULL' "
+        "WHEN 2 THEN '' END",
         "updated_vehicle_type": "CASE k % 8 WHEN 0 THEN ' van ' WHEN 1 THEN 'NULL' WHEN 2 THEN '' END",
         "validation_status": "CASE WHEN k < 50 THEN 'approved' WHEN k < 70 THEN NULL "
         "WHEN k < 75 THEN 'Rejected' WHEN k < 78 THEN 'duplicate' WHEN k < 85 THEN 'created1' "

@@ -61,7 +61,10 @@ SELECT CAST(event_id AS VARCHAR) AS id, c.seq AS ingest_seq,
   'KA' || CAST(user_id * 3 + k % 3 AS VARCHAR) AS vehicle_number,
   CASE k % 6 WHEN 0 THEN 'CAR' WHEN 1 THEN 'SCOOTER' WHEN 2 THEN 'HGV' WHEN 3 THEN 'MINI LORRY'
        WHEN 4 THEN 'PASSENGER AUTO' ELSE 'HOVERCRAFT' END AS vehicle_type,
-  CASE event_type WHEN 'click' THEN '["WRONG PARKING"]'
+  CASE event_type WHEN 'click' THEN CASE k % 5 WHEN 0 THEN '["WRONG PARKING"]'
+              WHEN 1 THEN '["PARKING NEAR TRAFFIC LIGHT OR ZEBRA CROSS","WRONG PARKING"]'
+              WHEN 2 THEN '["PARKING OPPOSITE TO ANOTHER PARKED VEHICLE"]'
+              WHEN 3 THEN '["PARKING OTHER THAN BUS STOP"]' ELSE 'NO PARKING; wrong  parking' END
        WHEN 'view' THEN '["NO PARKING","PARKING ON FOOTPATH"]'
        WHEN 'purchase' THEN '["DOUBLE PARKING","PARKING IN A MAIN ROAD"]'
        WHEN 'signup' THEN '["parking near road crossing","DEFECTIVE NUMBER PLATE"]'
@@ -73,7 +76,7 @@ SELECT CAST(event_id AS VARCHAR) AS id, c.seq AS ingest_seq,
     AS police_station,
   CASE user_id % 3 WHEN 0 THEN 'Junction ' || CAST(user_id % 5 AS VARCHAR)
        WHEN 1 THEN 'No Junction' END AS junction_name,
-  CAST(NULL AS VARCHAR) AS updated_vehicle_number,
+  CASE k % 9 WHEN 0 THEN ' KA' || CAST(user_id AS VARCHAR) || ' ' END AS updated_vehicle_number,
   CASE k % 8 WHEN 0 THEN ' van ' END AS updated_vehicle_type,
   CASE WHEN k < 50 THEN 'approved' WHEN k < 70 THEN NULL WHEN k < 75 THEN 'Rejected'
        WHEN k < 78 THEN 'duplicate' WHEN k < 85 THEN 'created1' WHEN k < 90 THEN 'processing'
@@ -515,7 +518,9 @@ SELECT {ROW}, zone_id, {num(f"{LAT0} + (cell_y + 0.5e0) * {CELL} / {M_LAT}", "ce
 oracle("window_floor", f"SELECT {ROW}, created_at, window_start FROM fac")
 oracle("fill_defaults", f"""
 SELECT {ROW}, police_station, junction_filled AS junction_name, location, device_id, created_by_id FROM sco""")
-LISTED = """unnest(list_transform(CAST(json(violation_type) AS VARCHAR[]),
+LISTED = """unnest(list_transform(CASE WHEN violation_type LIKE '[%' THEN
+  CAST(json(CASE WHEN violation_type LIKE '[%' THEN violation_type ELSE '[]' END) AS VARCHAR[])
+  ELSE string_split_regex(violation_type, '[,;|]') END,
   lambda t : regexp_replace(upper(trim(t)), '\\s+', ' ', 'g')))"""
 WEIGHT_CASE = "CASE offence " + " ".join(f"WHEN '{o}' THEN {w!r}e0" for o, w in OFFENCES.items()) + " END"
 OFFENCE_STEPS = {
