@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -22,18 +21,28 @@ WINDOW = 4096
 END_ID = 2
 # Remainders that are packed together in one task. More of them only mean more groups.
 GROUP_ROWS = 50_000
-# Units whose ids a Python worker keeps between batches; beyond it the memory starts afresh.
+# Units, and stems of units, whose ids a Python worker keeps; beyond it the memory starts afresh.
 KEPT_UNITS = 400_000
+KEPT_STEMS = 800_000
 
-_BLANK = re.compile(r"[ \t\n\r]+")
+# After a letter or digit a run of these up to the end of a unit is a word of its own.
+_MARKS = ".,;:!?$%&#*"
+# Stems that go through the tokenizer in one call, as one text.
+_JOINED = 256
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+def _is_word(stem: str) -> bool:
+    """Letters up to U+00FF only: one word to the tokenizer, and one lower case everywhere."""
+    return stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ")
+
+
 class UnitIds:
     """Ids of texts by a tokenizer that drops white space.
 
-    No token crosses white space, so a text's ids are those of its blank-separated units in turn.
-    Each distinct unit goes through the tokenizer once. Special tokens hold no white space.
+    No token crosses white space, so a text's ids are those of its blank-separated units in turn, and
+    a unit's are those of its stem and of the marks that end it. Each distinct stem and run of marks
+    goes through the tokenizer once. Special tokens hold no white space and do not end in a mark.
     """
 
     def __init__(self, path: str):
@@ -43,22 +52,55 @@ class UnitIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        size = 1 + max(self.tokenizer.get_vocab().values())
+        self.ends_word = np.zeros(size, bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _learn(self, units: list[str]) -> None:
+        parts = []
+        for unit in units:
+            stem = unit.rstrip(_MARKS)
+            if stem and stem[-1].lower()[-1].isalnum():  # a letter may turn into one and a mark
+                marks = unit[len(stem) :]
+            else:
+                stem, marks = unit, ""
+            if _is_word(stem):
+                stem = stem.lower()  # as the tokenizer does
+            parts.append((unit, stem, marks))
+        if len(self.stems) > KEPT_STEMS:
+            self.stems = {}
+        wanted = {stem for _, stem, _ in parts} | {marks for _, _, marks in parts}
+        fresh = wanted - self.stems.keys()
+        words = [s for s in fresh if _is_word(s)]
+        self._learn_words(words)
+        others = [*fresh.difference(words)]
+        made = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        self.stems.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(others, made, strict=True))
+        get = self.stems.__getitem__
+        self.known.update((unit, get(stem) + get(marks) if marks else get(stem)) for unit, stem, marks in parts)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters alone: many in one text, told apart by the tokens that end a word."""
+        for lo in range(0, len(words), 64 * _JOINED):
+            some = words[lo : lo + 64 * _JOINED]
+            texts = [" ".join(some[i : i + _JOINED]) for i in range(0, len(some), _JOINED)]
+            made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in made])
+            stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            for word, a, b in zip(some, [0, *stops], stops, strict=False):
+                self.stems[word] = raw[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KEPT_UNITS:
             self.known = {}
-        cut = [_BLANK.sub(" ", t).split(" ") for t in texts]
+        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         new: set[str] = set()
         for units in cut:
             new.update(units)
-        fresh = [*(new - self.known.keys())]
-        for lo in range(0, len(fresh), 50_000):
-            some = fresh[lo : lo + 50_000]
-            made = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update(
-                (u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(some, made, strict=True)
-            )
+        self._learn([*(new - self.known.keys())])
         get = self.known.__getitem__
         return [b"".join(map(get, units)) for units in cut]
 
