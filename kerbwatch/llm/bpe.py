@@ -20,7 +20,9 @@ WORDS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 # Units whose ids a Python worker keeps between batches; beyond it the memory starts afresh.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 200_000
+# Characters that are cut into units at once.
+AT_ONCE = 1_500_000
 
 # A space inside a run of white space, or after one at the end: cutting before it would split a word.
 _INNER_SPACE = re.compile(r"\s \s|\s \Z")
@@ -121,7 +123,7 @@ def bpe_encode(
         for batch in batches(rows):
             texts = texts_of(batch)
             keys = batch.column("doc_id")
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, AT_ONCE):
                 made = c.encode(texts[lo:hi])
                 offsets = np.cumsum([0, *(len(x) >> 2 for x in made)], dtype=np.int32)
                 values = np.frombuffer(b"".join(made), "<i4")
