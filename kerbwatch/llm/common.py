@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Characters that a task holds in unpacked form at once.
@@ -54,29 +53,57 @@ def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)
 
 
-def fit_sample(
-    rows: DataFrame, label: str, per_label: int, max_chars: int
-) -> list[tuple[str, object]]:
-    """(text, label) of at most `per_label` rows of each label, for fitting a model on the driver.
+_TURNS = 1_000_000_000
+
+
+def _turn(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(_TURNS))
 
-    `rows` has doc_id, text and the label. Which rows is decided by a hash of the key, so it does not
-    depend on their order. Texts beyond `max_chars` are not fitted on. Spark keeps `per_label` rows of
-    a label in each task before anything is shuffled. What comes to the driver is at most labels x
-    per_label x max_chars characters.
+
+def chosen(known: DataFrame, turn: Column, per_label: int) -> DataFrame:
+    """About `per_label` rows of each label, by a hash and so whatever the order of the rows.
+
+    Labels are counted first, then each keeps the share of the hash's range that holds as many rows
+    as wanted; nothing is sorted or shuffled but the counts, of which there is one for each label.
     """
-    narrow = rows.filter(F.col(label).isNotNull() & (F.char_length("text") <= max_chars)).select(
-        "text", F.col(label).alias("label"), F.xxhash64("doc_id").alias("turn"), F.xxhash64("text").alias("tie")
-    )
-    ranked = narrow.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy("turn", "tie")))
-    chosen = ranked.filter(F.col("n") <= per_label).select("text", "label", "n").collect()
-    return [(r["text"], r["label"]) for r in sorted(chosen, key=lambda r: (r["n"], r["label"]))]
+    counts = known.groupBy("label").count().collect()
+    keep = F.lit(False)
+    for r in counts:
+        cut = min(_TURNS, _TURNS * per_label // r["count"])
+        keep = keep | ((F.col("label") == F.lit(r["label"])) & (turn < cut))
+    return known.filter(keep)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int) -> DataFrame:
-    """doc_id, text, label of labelled documents whose key has another remainder than `left_out`."""
-    known = labels.filter(F.col(label).isNotNull() & (remainder(F.col("doc_id"), divisor) != left_out))
-    known = known.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("label"))
-    return keyed_text(docs, "doc_id", "text").join(known, "doc_id")
+def collected(rows: DataFrame, per_label: int, labels: int) -> list[tuple[str, object]]:
+    """(text, label) of a sample, in an order that is its own; a bound holds should keys repeat."""
+    few = rows.select("text", "label", "turn").limit(4 * per_label * max(1, labels)).collect()
+    return [(r["text"], r["label"]) for r in sorted(few, key=lambda r: (r["turn"], r["text"]))]
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int, per_label: int, max_chars: int
+) -> list[tuple[str, object]]:
+    """(text, label) of about `per_label` labelled documents of each label, for a fit on the driver.
+
+    Only keys whose remainder is not `left_out` are taken, and texts of at most `max_chars`. The sample
+    is drawn from the table of labels alone and then broadcast, as its size is set by the parameters
+    (two labels), so no text is shuffled. What comes to the driver is bounded by their product.
+    """
+    key = F.col("doc_id")
+    known = labels.filter(key.isNotNull() & F.col(label).isNotNull() & (remainder(key, divisor) != left_out))
+    known = known.select("doc_id", F.col(label).alias("label"))
+    some = chosen(known, _turn("doc_id"), per_label).withColumn("turn", _turn("doc_id"))
+    texts = keyed_text(docs, "doc_id", "text").filter(F.char_length("text") <= max_chars)
+    return collected(texts.join(F.broadcast(some), "doc_id"), per_label, 2)
+
+
+def own_sample(docs: DataFrame, label: str, divisor: int, left_out: int, per_label: int, max_chars: int) -> list[tuple[str, object]]:
+    """The same for documents that carry their label."""
+    key = F.col("doc_id")
+    known = docs.filter(key.isNotNull() & F.col(label).isNotNull() & (remainder(key, divisor) != left_out))
+    known = known.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(label).alias("label"))
+    some = chosen(known, _turn("doc_id"), per_label).filter(F.char_length("text") <= max_chars)
+    return collected(some.withColumn("turn", _turn("doc_id")), per_label, known.select("label").distinct().count())
 
 
 def scored(

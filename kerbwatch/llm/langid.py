@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbwatch.llm.common import batches, fit_sample, kept_rows, keyed_text, remainder, slices, texts_of
+from kerbwatch.llm.common import batches, kept_rows, keyed_text, own_sample, remainder, slices, texts_of
 
 DIVISOR, LEFT_OUT = 4, 2
 UNKNOWN = "und"
@@ -253,10 +253,7 @@ def predict(crf: Crf | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 def learn(docs: DataFrame, lang_col: str = "lang") -> Crf | None:
     """The model, from a bounded sample of labelled documents whose key is not left out."""
-    rows = docs.filter(remainder(F.col("doc_id"), DIVISOR) != LEFT_OUT).select(
-        "doc_id", F.col("text").alias("text"), F.col(lang_col).alias("label")
-    )
-    return fit(fit_sample(rows, "label", ROWS_PER_LABEL, FIT_CHARS))
+    return fit(own_sample(docs, lang_col, DIVISOR, LEFT_OUT, ROWS_PER_LABEL, FIT_CHARS))
 
 
 def language(docs: DataFrame, crf: Crf | None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 
-from kerbwatch.llm.common import fit_sample, labelled, scored
+from kerbwatch.llm.common import labelled_sample, scored
 
 DIVISOR, LEFT_OUT, THRESHOLD = 5, 0, 0.3
 # Bounds of what is fitted on: rows of either label, and characters of one of them.
@@ -179,8 +179,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     empty texts are scored as no bytes; repeated rows stay; an empty table gives an empty table; a
     null key counts as the key of no digits; other columns are not read.
     """
-    rows = labelled(docs, labels, "quality", DIVISOR, LEFT_OUT)
-    net = fit(fit_sample(rows, "label", ROWS_PER_LABEL, FIT_CHARS))
+    net = fit(labelled_sample(docs, labels, "quality", DIVISOR, LEFT_OUT, ROWS_PER_LABEL, FIT_CHARS))
 
     def make() -> Callable[[list[str]], np.ndarray]:
         return lambda texts: score_texts(net, texts)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from kerbwatch.llm.common import fit_sample, kept_rows, labelled, scored
+from kerbwatch.llm.common import kept_rows, labelled_sample, scored
 
 DIVISOR, LEFT_OUT, THRESHOLD = 3, 1, 0.7
 # Bounds of what is fitted on: rows of either label, and characters of one of them.
@@ -121,7 +121,13 @@ def learn_terms(texts: list[str], toxic: list[bool]) -> dict[str, float]:
     """Words whose contexts are far more frequent in toxic texts, with their log-odds.
 
     A word is counted once for each pair of neighbours it has, so copies of a text add nothing.
+    Neighbours are only kept for words that occur often enough in toxic texts.
     """
+    often: Counter = Counter()
+    for text, label in zip(texts, toxic, strict=True):
+        if label:
+            often.update(_WORD.findall(text.lower()))
+    often = Counter({w: n for w, n in often.items() if n >= LEAST_CONTEXTS})
     contexts: dict[bool, dict[str, set]] = {True: defaultdict(set), False: defaultdict(set)}
     total = Counter()
     for text, label in zip(texts, toxic, strict=True):
@@ -129,7 +135,8 @@ def learn_terms(texts: list[str], toxic: list[bool]) -> dict[str, float]:
         total[label] += len(words)
         near = zip(words, ["", *words[:-1]], [*words[1:], ""], strict=True)
         for word, before, after in near:
-            contexts[label][word].add(hash((before, after)))
+            if word in often:
+                contexts[label][word].add(hash((before, after)))
     found = []
     for word, places in contexts[True].items():
         pos, neg = len(places), len(contexts[False].get(word, ()))
@@ -233,8 +240,7 @@ def fit(rows: list[tuple[str, object]]) -> ToxicModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicModel:
-    rows = labelled(docs, labels, label, DIVISOR, LEFT_OUT)
-    return fit(fit_sample(rows, "label", ROWS_PER_LABEL, FIT_CHARS))
+    return fit(labelled_sample(docs, labels, label, DIVISOR, LEFT_OUT, ROWS_PER_LABEL, FIT_CHARS))
 
 
 def worker(model: ToxicModel) -> Callable[[], Callable[[list[str]], np.ndarray]]:
