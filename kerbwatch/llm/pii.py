@@ -12,18 +12,41 @@ FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин"
 NEUTRAL = "Dr|Prof|Доктор"
 TITLE = rf"(?:{FEMALE}|{MALE}|{NEUTRAL})\.? "
+# Words of small letters within a name; they stay as they are.
+PARTICLES = (
+    r"(?:(?:van|von|vom|der|den|dem|de|del|della|di|da|das|dos|do|du|la|le|las|los|ter|ten|te|zu|zum|zur|af|av"
+    r"|bin|ibn|ben|bint|al|el) |(?:al|el|ad|ar|as|ash|bin|ben)-|[dl]['’])*+"
+)
+# A word of a name: inner capitals, hyphens and apostrophes belong to it, a possessive ending does not.
+# Repeats are possessive, which Java runs as a loop, so that no run is too long for its stack.
+WORD = (
+    rf"(?!(?:{FEMALE}|{MALE}|{NEUTRAL})(?!\p{{L}}))\p{{Lu}}[\p{{L}}\p{{M}}]*+"
+    r"(?:['’](?!(?:s|ll|re|ve|d|m|t)(?!\p{L}))\p{L}[\p{L}\p{M}]*+|-(?:\p{Ll}{1,3}-)?\p{Lu}[\p{L}\p{M}]*+)*+"
+)
+INITIAL = r"\p{Lu}\.(?=[ -]?\p{Lu})"
+PART = rf"(?:{INITIAL}|{WORD})"
 
 EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-CARD = r"(?<![\d.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)"
+# Groups of four, of 4-6-5 or 4-6-4, or of 6-13.
+CARD = (
+    r"(?<![\d.])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}|3\d{3}[ -]\d{6}[ -]\d{4,5}|\d{6}[ -]\d{13})(?!\d)"
+)
+# Without a country's code: 3-3-4, and numbers that begin with a 0 and have groups.
+NATIONAL = (
+    r"(?<![\w.+/-])(?:(?:1[ .-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|[2-9]\d{2} [2-9]\d{2}[ -]\d{4})"
+    r"|0[1-9](?:[ .]\d{2}){4}|0[1-9]\d{0,3}[ /-]\d{3,4}[ -]?\d{3,5})(?![\w/-]|\.\d)"
+)
 PHONE = (
     r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-    r"|(?<!\w)\(\d{3}\) \d{3}-\d{4}(?!\d)"
+    rf"|(?<!\w)\(\d{{2,5}}\) ?\d{{3,4}}[ -]?\d{{3,5}}(?!\d)|{NATIONAL}"
 )
 IP = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)"
-NAME = rf"(?<!\p{{L}}){TITLE}\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+NAME = rf"(?<!\p{{L}}){TITLE}{PARTICLES}{PART}(?:(?: |(?<=\.)-?){PARTICLES}{PART})*+"
 # At one place the first of these that fits is the mention.
 MENTION = "|".join(f"(?:{p})" for p in (EMAIL, CARD, PHONE, IP, NAME))
 KINDS = ("email", "card", "phone", "ip", "name")
+# In texts that hold a titled name every capitalised word may be a bare mention of it.
+MENTION_OR_WORD = rf"{MENTION}|(?:(?<![\p{{L}}\p{{M}}\p{{N}}_]){WORD})"
 
 # Syllables of invented names, and their endings by gender.
 SYLLABLES = {
@@ -54,14 +77,15 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def kind_of(mention: Column) -> Column:
-    """Which of KINDS a mention is; null for a number that only looks like a card."""
+    """Which of KINDS a mention is; null for a number that only looks like a card and for a bare word."""
     card = F.when(_luhn_sum(_digits_of(mention)) % 10 == 0, "card")
     return (
         F.when(mention.contains("@"), "email")
         .when(mention.rlike(r"^[+(]"), "phone")
         .when(mention.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), "ip")
+        .when(mention.rlike(rf"^(?:{NATIONAL})$"), "phone")
         .when(mention.rlike(r"^\d"), card)
-        .otherwise("name")
+        .when(mention.rlike(rf"^{TITLE}"), "name")
     )
 
 
@@ -73,21 +97,55 @@ def _gender(mention: Column) -> Column:
     )
 
 
+def _words(mention: Column) -> Column:
+    """The words and initials of a titled name."""
+    return F.regexp_extract_all(F.regexp_replace(mention, rf"^{TITLE}", ""), F.lit(PART), F.lit(0))
+
+
 def entities_of(mention: Column) -> Column:
     """array<struct<sort, value>>: the entities of a mention, as all mentions of one share them.
 
     Numbers are their digits and addresses their small letters, whatever the format. A name is its
-    words, so that "Ms A B" and "Ms B" share the surname; the gender of the title, which the
-    surrogate has to match, belongs to the sort.
+    words, so that "Ms A B" and "Ms B" share the surname. The sort of a word says what this mention
+    tells of it: its place and the gender of the title; `settled` makes one of all that is told.
     """
-    words = F.split(F.regexp_replace(mention, rf"^{TITLE}", ""), " ")
-    surname = F.struct(F.concat(F.lit("surname_"), _gender(mention)).alias("sort"), F.element_at(words, -1).alias("value"))
-    given = F.struct(F.concat(F.lit("given_"), _gender(mention)).alias("sort"), F.element_at(words, 1).alias("value"))
+    # Words and gender are bound to a name first (an array of one row), so they are found once.
+    bound = F.array(F.struct(_words(mention).alias("words"), _gender(mention).alias("gender")))
+
+    def told(b: Column) -> Column:
+        last = F.size(b["words"]) - 1
+        place = lambda i: F.when(last == 0, "single_").when(i == last, "surname_").otherwise("given_")
+        return F.transform(
+            b["words"], lambda w, i: F.struct(F.concat(place(i), b["gender"]).alias("sort"), w.alias("value"))
+        )
+
+    parts = F.get(F.transform(bound, told), F.lit(0))
     kind = kind_of(mention)
     plain = F.when(kind.isin("card", "phone"), _digits_of(mention)).when(kind == "email", F.lower(mention)).otherwise(mention)
-    return F.when(
-        kind == "name", F.when(F.size(words) == 2, F.array(given, surname)).otherwise(F.array(surname))
-    ).when(kind.isNotNull(), F.array(F.struct(kind.alias("sort"), plain.alias("value"))))
+    return F.when(kind == "name", parts).when(
+        kind.isNotNull(), F.array(F.struct(kind.alias("sort"), plain.alias("value")))
+    )
+
+
+def _kind_of_sort(sort: Column) -> Column:
+    return F.when(sort.contains("_"), F.lit("name")).otherwise(sort)
+
+
+def settled(parts: DataFrame) -> DataFrame:
+    """(sort, value) with one sort for each entity, out of (sort, value) of all mentions.
+
+    A word of a name is a given name if more mentions have it before other words than as the last of
+    several, else a surname; its gender is the one told by more titles, neutral when they are even.
+    """
+    sort = F.col("sort")
+    told = lambda yes, no: F.sum(F.when(yes, 1).when(no, -1).otherwise(0))
+    each = parts.groupBy(_kind_of_sort(sort).alias("kind"), "value").agg(
+        told(sort.startswith("given_"), sort.startswith("surname_")).alias("given"),
+        told(sort.endswith("_f"), sort.endswith("_m")).alias("female"),
+    )
+    gender = F.when(F.col("female") > 0, "f").when(F.col("female") < 0, "m").otherwise("n")
+    name = F.concat_ws("_", F.when(F.col("given") > 0, "given").otherwise("surname"), gender)
+    return each.select(F.when(F.col("kind") == "name", name).otherwise(F.col("kind")).alias("sort"), "value")
 
 
 def draw(key: str, sort: Column, value: Column, attempt: Column) -> Column:
@@ -156,23 +214,23 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     real value or taken draw again. Nearly all settle at the first draw, so the rounds are few and
     the later ones small. Every round is a written table.
     """
-    group = F.when(F.col("sort").contains("_"), F.lit("name")).otherwise(F.col("sort"))
-    waiting = staged(entities.select("sort", "value", group.alias("kind")).distinct(), "entities")
+    kind = _kind_of_sort(F.col("sort")).alias("kind")
+    waiting = staged(entities.select("sort", "value", kind).distinct(), "entities")
     real = waiting.select("kind", F.col("value").alias("surrogate")).distinct()
-    settled = None
+    done = None
     attempt = 0
     while attempt == 0 or not waiting.isEmpty():
         drawn = waiting.withColumn("surrogate", draw(key, F.col("sort"), F.col("value"), F.lit(attempt)))
         free = drawn.join(real, ["kind", "surrogate"], "left_anti")
-        if settled is not None:
-            free = free.join(settled.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        if done is not None:
+            free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         first = F.min(F.struct("sort", "value")).alias("first")
         won = free.groupBy("kind", "surrogate").agg(first).select("kind", "first.sort", "first.value", "surrogate")
         won = staged(won, "surrogates")
-        settled = won if settled is None else settled.unionByName(won)
+        done = won if done is None else done.unionByName(won)
         waiting = staged(waiting.join(won.select("sort", "value"), ["sort", "value"], "left_anti"), "entities")
         attempt += 1
-    return settled.select("sort", "value", "surrogate")
+    return done.select("sort", "value", "surrogate")
 
 
 def _rendered(mention: Column, parts: Column) -> Column:
@@ -187,19 +245,26 @@ def _rendered(mention: Column, parts: Column) -> Column:
         ),
         "",
     )
-    name = F.concat(F.regexp_extract(mention, rf"^{TITLE}", 0), F.array_join(parts, " "))
+    between = F.split(F.regexp_replace(mention, rf"^{TITLE}", ""), PART, -1)
+    made = F.zip_with(
+        _words(mention), parts, lambda w, p: F.when(w.endswith("."), F.concat(F.left(p, F.lit(1)), F.lit("."))).otherwise(p)
+    )
+    words = F.zip_with(between, made, lambda b, m: F.concat(b, F.coalesce(m, F.lit(""))))
+    name = F.concat(F.regexp_extract(mention, rf"^{TITLE}", 0), F.array_join(words, ""))
     return F.when(kind.isin("card", "phone"), digits).when(kind == "name", name).when(kind.isNotNull(), one).otherwise(mention)
 
 
 def replacements(mentions: DataFrame, key: str) -> DataFrame:
-    """(mention, new) of every distinct mention."""
+    """(mention, new) of every distinct mention, and of every word of a name as a bare mention."""
     parts = mentions.select("mention", F.posexplode(entities_of(F.col("mention"))).alias("at", "e"))
     parts = staged(parts.select("mention", "at", "e.sort", "e.value"), "entity-parts")
-    found = surrogates(parts.select("sort", "value"), key)
-    by_mention = parts.join(found, ["sort", "value"]).groupBy("mention").agg(
+    kind = _kind_of_sort(F.col("sort")).alias("kind")
+    found = surrogates(settled(parts.select("sort", "value")), key).select(kind, "value", "surrogate")
+    by_mention = parts.select("mention", "at", kind, "value").join(found, ["kind", "value"]).groupBy("mention").agg(
         F.sort_array(F.collect_list(F.struct("at", "surrogate"))).alias("parts")
     )
-    return by_mention.select("mention", _rendered(F.col("mention"), F.col("parts.surrogate")).alias("new"))
+    rendered = by_mention.select("mention", _rendered(F.col("mention"), F.col("parts.surrogate")).alias("new"))
+    return rendered.unionByName(found.filter("kind = 'name'").select(F.col("value").alias("mention"), F.col("surrogate").alias("new")))
 
 
 def with_surrogates(
@@ -208,10 +273,12 @@ def with_surrogates(
     """`docs` with personal data in its texts replaced; the columns as they are, then `n_<kind>` and
     `n_pii`, the counts of replaced mentions.
 
-    Found are mail addresses, card numbers with a right check digit, phone numbers, IPv4 addresses
-    and names after a title. A surrogate follows from the key alone, is of the same sort, format,
-    script and gender, differs from all surrogates of other entities and from all real values, and is
-    the same for every mention of its entity in the whole corpus.
+    Found are mail addresses, card numbers with a right check digit, phone numbers, IPv4 addresses,
+    names after a title, and in the same text the words of such names without one, initials and
+    single letters aside. A surrogate follows from the key and what is told of its entity, is of the
+    same sort, format, script and gender, differs from all surrogates of other entities and from all
+    real values, and is the same for every mention of its entity in the whole corpus. A name never
+    said with a title in a text is not found there.
 
     Rows without a mention are passed on as they lie. The others meet their surrogates by two hashes
     of the text, since equal texts get equal texts; a mention that many rows share is one row before
@@ -225,15 +292,23 @@ def with_surrogates(
     docs = docs.drop(*counts)
     some = text.rlike(MENTION)
     keyed = docs.filter(some).select("*", F.xxhash64(text).alias(keys[0]), F.xxhash64(text, F.lit(1)).alias(keys[1]))
-    listed = keyed.select(*keys, F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)).alias("all"))
+    named = text.rlike(NAME)
+    every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    listed = keyed.select(*keys, F.when(named, every(MENTION_OR_WORD)).otherwise(every(MENTION)).alias("all"))
     by_text = staged(listed.groupBy(*keys).agg(F.first("all").alias("all")), "mentions")
     each = by_text.select(*keys, F.posexplode("all").alias("at", "mention"))
-    new = staged(replacements(each.select("mention").distinct(), key), "replacements")
-    kind = F.when(F.col("new").isNotNull(), kind_of(F.col("mention")))
-    row = F.struct("at", F.coalesce("new", "mention").alias("new"), kind.alias("kind"))
-    news = each.join(new, "mention", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("__new"))
+    kind = kind_of(F.col("mention"))
+    new = staged(replacements(each.filter(kind.isNotNull()).select("mention").distinct(), key), "replacements")
+    # A bare word counts where a titled name of the same text has it.
+    titled = each.filter(kind == "name").select(*keys, F.explode(_words(F.col("mention"))).alias("mention"))
+    known = titled.filter(F.char_length("mention") > 1).filter("mention not like '%.'").distinct()
+    marked = each.join(known.withColumn("known", F.lit(True)), [*keys, "mention"], "left")
+    found_new = F.when(kind.isNotNull() | F.col("known"), F.col("new"))
+    found_kind = F.when(found_new.isNotNull(), F.coalesce(kind, F.lit("name")))
+    row = F.struct("at", F.coalesce(found_new, "mention").alias("new"), found_kind.alias("kind"))
+    news = marked.join(new, "mention", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("__new"))
     joined = keyed.join(news, keys)
-    between = F.split(text, MENTION, -1)
+    between = F.when(named, F.split(text, MENTION_OR_WORD, -1)).otherwise(F.split(text, MENTION, -1))
     rebuilt = F.array_join(
         F.zip_with(between, F.col("__new.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
     )

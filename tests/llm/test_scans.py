@@ -125,6 +125,45 @@ def test_names_match_gender_script_and_coreference(spark):
         assert old not in new
 
 
+def test_whole_names_and_their_bare_mentions(spark):
+    texts = [
+        "Ms Anna Smith left. Anna Smith returned, and Smith's car too. Paris stayed.",
+        "Mr John Quincy Adams, Mr McDonald and Dr O'Brien met Prof J. R. Weber-Klein and Herr Ludwig van Beethoven.",
+        "Dr Smith and Ms Smith and Dr Anna know Karl, Anna and O'Brien.",
+        "Anna Smith O'Brien, never with a title",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.with_surrogates(docs, "k").collect()}
+    one = re.fullmatch(r"Ms (\w+na) (\w+) left\. (\w+) (\w+) returned, and (\w+)'s car too\. Paris stayed\.", rows[0].text)
+    assert one and one[1] == one[3] and one[2] == one[4] == one[5] and rows[0].n_name == 4
+    assert not re.search("John|Quincy|Adams|Donald|Brien|J\\.|Weber|Klein|Ludwig|Beethoven", rows[1].text)
+    two = re.fullmatch(
+        r"Mr (\w+rd) (\w+rd) (\w+), Mr (\w+) and Dr (\w+) met Prof ([A-Z])\. ([A-Z])\. (\w+) and Herr (\w+rd) van (\w+)\.",
+        rows[1].text,
+    )
+    assert two and rows[1].n_name == 5
+    assert rows[2].text == f"Dr {one[2]} and Ms {one[2]} and Dr {one[1]} know Karl, {one[1]} and O'Brien."
+    assert rows[3].text == texts[3] and rows[3].n_pii == 0
+
+
+def test_long_runs_of_names(spark):
+    text = "Mr" + " Ab" * 10_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert re.fullmatch(r"Mr( \w+)\1+", pii.with_surrogates(docs, "k").first().text)
+
+
+def test_national_phones_and_other_groups_of_cards(spark):
+    text = "call 555-123-4567, 555.123.4567, 212 555 0187 or 020 7946 0958; 3782 822463 10005; on 2024-01-01 10:15, 1.200.3000"
+    new = pii.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    shape = lambda t: re.sub(r"[0-9]", "9", t)
+    assert shape(new.text) == shape(text) and new.text.endswith("; on 2024-01-01 10:15, 1.200.3000")
+    assert (new.n_phone, new.n_card) == (4, 1)
+    a, b = re.findall(r"\d{3}[-.]\d{3}[-.]\d{4}", new.text)
+    assert a.replace("-", ".") == b != "555.123.4567"
+    assert luhn(re.search(r"3\d{3} \d{6} \d{5}", new.text)[0].replace(" ", ""))
+    assert not any(old in new.text for old in ("555 0187", "7946 0958", "822463 10005"))
+
+
 def test_collisions_draw_again(spark):
     """One-digit octets leave few draws, so many collide; all come out distinct and unlike real ones."""
     values = [f"{a}.{b}.{c}.{d}" for a in range(5) for b in range(5) for c in range(10) for d in range(10)]
