@@ -56,6 +56,15 @@ def test_ownership_separates_copies_from_credentials(spark):
     assert masked[0] == f"see {run} here [EXAMPLE_SECRET]"
 
 
+def test_one_owners_token_in_many_documents_stays_its_own(spark):
+    run = "Qw3rTy_9kLmN2pXz7Vb4"
+    docs = spark.createDataFrame([(i, f"n {i} {run} x", "s") for i in range(150)], "doc_id long, text string, source string")
+    assert {r.text for r in secret_scan.masked(docs).collect()} == {f"n {i} [SECRET] x" for i in range(150)}
+    assert all("token:" in r.spans and r.n_live == 1 for r in secret_scan.span_digests(secret_scan.secret_spans(docs)).collect())
+    # A real column of repositories still counts.
+    assert secret_scan.masked(docs, repo_col="doc_id").filter("text like '%SECRET%'").isEmpty()
+
+
 def test_long_rows_of_matches(spark):
     text = "é " + "password=abcd1234 " * 3000
     docs = spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")
