@@ -25,10 +25,10 @@ MAX_RANGES = 4096
 _UNIT = re.compile(r"\S{1,8}")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
-_PLACE = np.uint64((1 << 22) - 1)
 _rng = np.random.default_rng(20)
 _FLIPS = _rng.integers(0, 1 << 63, ENTRIES, dtype=np.uint64)
 _FACTORS = _rng.integers(0, 1 << 63, ENTRIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_INVERSES = np.array([pow(int(f), -1, 1 << 64) for f in _FACTORS], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -36,20 +36,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _PRIME
 
 
+def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the units of all texts, in order, and how many each text has."""
+    cut = [_UNIT.findall(t) for t in texts]
+    number = {u: i for i, u in enumerate(set().union(*cut))}
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(u.encode("utf-8", "replace")) for u in number), np.uint64, len(number))
+    sizes = np.array([len(c) for c in cut], np.int64)
+    return hashes[np.fromiter((number[u] for c in cut for u in c), np.int64, int(sizes.sum()))], sizes
+
+
 def signatures(texts: list[str]) -> np.ndarray:
-    """ENTRIES numbers of 16 bits for each text.
+    """ENTRIES numbers of 16 bits for each text, whatever the texts beside it.
 
     K-mers are pairs of neighbouring units, numbered by occurrence in their text: the second time a
     k-mer occurs it is another one. For each entry all numbered k-mers get a random order; the two
     least are taken, put back into the order they have in the text, and hashed. A text of fewer
     units is one k-mer, an empty one a k-mer of nothing; an entry of one k-mer hashes that alone.
     """
-    cut = [_UNIT.findall(t) for t in texts]
-    number = {u: i for i, u in enumerate(set().union(*cut))}
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(u.encode("utf-8", "replace")) for u in number), np.uint64, len(number))
-    sizes = np.array([len(c) for c in cut], np.int64)
-    units = hashes[np.fromiter((number[u] for c in cut for u in c), np.int64, int(sizes.sum()))]
+    cuts = [_signatures(texts[lo:hi]) for lo, hi in slices(texts, AT_ONCE)]
+    return np.concatenate(cuts) if cuts else np.empty((0, ENTRIES), np.uint16)
+
+
+def _signatures(texts: list[str]) -> np.ndarray:
+    units, sizes = _units(texts)
     # Each text's k-mers begin where its units do; short texts get one, made of what there is.
     counts = np.maximum(sizes - KMER_UNITS + 1, 1)
     starts = np.cumsum(counts) - counts
@@ -61,23 +71,35 @@ def signatures(texts: list[str]) -> np.ndarray:
     for k in range(KMER_UNITS):
         there = place + k < sizes[owner]
         kmers = _mixed(kmers + np.where(there, units[at + k], np.uint64(k + 1)))
+    del units, place, at, there
     # Occurrence numbers: places of one k-mer of one text lie together, in order, after a stable sort.
-    of_text = kmers ^ _mixed(owner.astype(np.uint64) + np.uint64(1))
+    salts = _mixed(np.arange(1, len(texts) + 1, dtype=np.uint64))
+    of_text = kmers ^ salts[owner]
     order = np.argsort(of_text, kind="stable")
     same = np.concatenate(([False], of_text[order][1:] == of_text[order][:-1]))
     firsts = np.flatnonzero(~same)
     occurrence = np.empty(len(order), np.uint64)
     occurrence[order] = np.arange(len(order)) - firsts[np.cumsum(~same) - 1]
     numbered = _mixed(kmers + occurrence * _PRIME)
-    places = np.arange(len(owner), dtype=np.uint64)
+    del of_text, order, same, firsts, occurrence
+    # An order is a bijection of 64 bits, so its least value tells the k-mer, and the k-mer its place.
+    of_text = numbered ^ salts[owner]
+    del owner
+    order = np.argsort(of_text, kind="stable")
+    of_text = of_text[order]
+
+    def places(least: np.ndarray, m: int) -> np.ndarray:
+        return order[np.searchsorted(of_text, ((least * _INVERSES[m]) ^ _FLIPS[m]) ^ salts)]
+
+    alone = counts == 1
     out = np.empty((len(texts), ENTRIES), np.uint16)
     for m in range(ENTRIES):
-        value = (((numbered ^ _FLIPS[m]) * _FACTORS[m]) & ~_PLACE) | places
-        one = (np.minimum.reduceat(value, starts) & _PLACE).astype(np.int64)
-        value[one] = _LAST
+        value = (numbered ^ _FLIPS[m]) * _FACTORS[m]
         least = np.minimum.reduceat(value, starts)
-        alone = least == _LAST
-        two = np.where(alone, one, (least & _PLACE).astype(np.int64))
+        one = places(least, m)
+        value[one] = _LAST
+        least = np.where(alone, least, np.minimum.reduceat(value, starts))
+        two = places(least, m)
         left, right = kmers[np.minimum(one, two)], kmers[np.maximum(one, two)]
         joined = _mixed(left) * np.uint64(3) + np.where(alone, np.uint64(m), right)
         out[:, m] = (_mixed(joined ^ _FLIPS[m]) >> np.uint64(48)).astype(np.uint16)

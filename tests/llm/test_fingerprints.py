@@ -144,6 +144,18 @@ def test_likeness_falls_with_edits():
     assert all(a >= b - 0.1 for a, b in itertools.pairwise(shares))
 
 
+def test_places_of_a_long_text_do_not_spill():
+    rng = np.random.default_rng(6)
+    letters = rng.integers(97, 123, 4_500_000).astype(np.uint8).tobytes().decode()
+    long = " ".join(letters)
+    small = words(2, 50)
+    both = order_minhash.signatures([small, long, small])
+    alone = order_minhash.signatures([small])[0]
+    assert (both[0] == alone).all() and (both[2] == alone).all()
+    # The letters follow each other in many pairs; changing the last ones changes little.
+    assert (both[1] == order_minhash.signatures([long[:-200]])[0]).mean() > 0.9
+
+
 @pytest.mark.parametrize("partitions", ["4", "40"])
 def test_fingerprinted_equals_plain_order(spark, edge_docs, no_docs, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
