@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +20,9 @@ ENTRIES = 64  # entries of a signature, 16 bits each
 AT_ONCE = 1_000_000  # characters whose k-mers a task holds
 MAX_RANGES = 4096
 
-# A unit is a run of characters that are not white space, longer runs in pieces of eight.
-_UNIT = re.compile(r"\S{1,8}")
+# A unit is a run of characters that are not white space; of a longer run, every eight neighbouring ones.
+_WIDTH = 8
+_SPACE = np.array([chr(c).isspace() for c in range(sys.maxunicode + 1)])
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _rng = np.random.default_rng(20)
@@ -38,12 +38,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the units of all texts, in order, and how many each text has."""
-    cut = [_UNIT.findall(t) for t in texts]
-    number = {u: i for i, u in enumerate(set().union(*cut))}
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(u.encode("utf-8", "replace")) for u in number), np.uint64, len(number))
-    sizes = np.array([len(c) for c in cut], np.int64)
-    return hashes[np.fromiter((number[u] for c in cut for u in c), np.int64, int(sizes.sum()))], sizes
+    codes = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate(([False], ~_SPACE[codes]))  # the last character is a space
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    begins, ends = turns[::2], turns[1::2]
+    text_ends = np.cumsum([len(t) + 1 for t in texts])
+    each = np.maximum(ends - begins - _WIDTH + 1, 1)
+    sizes = np.bincount(np.searchsorted(text_ends, begins, side="right"), each, len(texts)).astype(np.int64)
+    at = np.arange(int(each.sum())) + np.repeat(begins - (np.cumsum(each) - each), each)
+    width = np.repeat(np.minimum(ends - begins, _WIDTH), each)
+    hashes = width.astype(np.uint64) * _PRIME
+    for k in range(_WIDTH):
+        there = np.flatnonzero(width > k)
+        hashes[there] = _mixed(hashes[there] + codes[at[there] + k])
+    return hashes, sizes
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -53,6 +61,7 @@ def signatures(texts: list[str]) -> np.ndarray:
     k-mer occurs it is another one. For each entry all numbered k-mers get a random order; the two
     least are taken, put back into the order they have in the text, and hashed. A text of fewer
     units is one k-mer, an empty one a k-mer of nothing; an entry of one k-mer hashes that alone.
+    Units slide within long runs, so an inserted character changes those that hold it and no others.
     """
     cuts = [_signatures(texts[lo:hi]) for lo, hi in slices(texts, AT_ONCE)]
     return np.concatenate(cuts) if cuts else np.empty((0, ENTRIES), np.uint16)

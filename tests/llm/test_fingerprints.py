@@ -144,6 +144,14 @@ def test_likeness_falls_with_edits():
     assert all(a >= b - 0.1 for a, b in itertools.pairwise(shares))
 
 
+def test_one_character_in_a_text_without_spaces():
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(4000))
+    cut = rng.randrange(10, 40)
+    x, y, z = order_minhash.signatures([text, text[:cut] + "z" + text[cut:], text[::-1]])
+    assert (x == y).mean() > 0.9 and (x == z).mean() < 0.1
+
+
 def test_places_of_a_long_text_do_not_spill():
     rng = np.random.default_rng(6)
     letters = rng.integers(97, 123, 4_500_000).astype(np.uint8).tobytes().decode()
