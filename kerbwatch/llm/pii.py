@@ -149,7 +149,11 @@ def settled(parts: DataFrame) -> DataFrame:
 
 
 def draw(key: str, sort: Column, value: Column, attempt: Column) -> Column:
-    """The surrogate of an entity at some attempt: of its sort, and like it in length and format."""
+    """The surrogate of an entity at some attempt: of its sort, and like it in length and format.
+
+    A format has only so many draws. Names, and every fourth attempt addresses, phones and mail too,
+    get longer, so there is always room.
+    """
     said = F.concat_ws("\x1f", F.lit(key), sort, value, attempt.cast("string"))
     stream = F.concat(F.sha2(said, 256), F.sha2(F.concat(said, F.lit("\x1fmore")), 256))
 
@@ -161,9 +165,11 @@ def draw(key: str, sort: Column, value: Column, attempt: Column) -> Column:
 
     digit = lambda i, lo=0: (number(i, 10 - lo) + lo).cast("string")
     chars = F.split(value, "")
+    longer = F.floor(attempt / 4).cast("int")
+    dialled = F.split(F.concat(value, F.repeat(F.lit("0"), longer)), "")
     # Phone: the country's digits stay. Card: the network's digit stays, the last is the check digit.
     kept = F.when(value.rlike("^[17]"), 1).otherwise(2)
-    phone = F.array_join(F.transform(chars, lambda c, i: F.when(i < kept, c).when(i == kept, digit(i, 2)).otherwise(digit(i))), "")
+    phone = F.array_join(F.transform(dialled, lambda c, i: F.when(i < kept, c).when(i == kept, digit(i, 2)).otherwise(digit(i))), "")
     last = F.char_length(value) - 1
     open_card = F.array_join(
         F.transform(chars, lambda c, i: F.when(i == 0, c).when(i == last, F.lit("0")).otherwise(digit(i))), ""
@@ -173,8 +179,8 @@ def draw(key: str, sort: Column, value: Column, attempt: Column) -> Column:
     ip = F.array_join(
         F.transform(
             F.split(value, r"\."),
-            lambda o, i: F.when(F.char_length(o) == 3, number(i, 156) + 100)
-            .when(F.char_length(o) == 2, number(i, 90) + 10)
+            lambda o, i: F.when(F.char_length(o) + longer >= 3, number(i, 156) + 100)
+            .when(F.char_length(o) + longer == 2, number(i, 90) + 10)
             .otherwise(number(i, 10))
             .cast("string"),
         ),
@@ -182,7 +188,7 @@ def draw(key: str, sort: Column, value: Column, attempt: Column) -> Column:
     )
     letter = lambda i: F.char(number(i, 26) + 97)
     shaped = F.transform(
-        F.split(F.regexp_replace(value, r"\.[^.]*$", ""), ""),
+        F.split(F.concat(F.repeat(F.lit("a"), longer), F.regexp_replace(value, r"\.[^.]*$", "")), ""),
         lambda c, i: F.when(c.rlike("[a-z]"), letter(i)).when(c.rlike("[0-9]"), digit(i)).otherwise(c),
     )
     # The last label is one that no mail reaches.
@@ -245,6 +251,8 @@ def _rendered(mention: Column, parts: Column) -> Column:
         ),
         "",
     )
+    # A surrogate that had to be longer ends in its further digits.
+    digits = F.concat(digits, F.substr(one, F.char_length(_digits_of(mention)) + 1))
     between = F.split(F.regexp_replace(mention, rf"^{TITLE}", ""), PART, -1)
     made = F.zip_with(
         _words(mention), parts, lambda w, p: F.when(w.endswith("."), F.concat(F.left(p, F.lit(1)), F.lit("."))).otherwise(p)

@@ -183,6 +183,17 @@ def test_collisions_draw_again(spark):
     assert set(values).isdisjoint(made.values())
 
 
+def test_a_full_format_gets_longer(spark):
+    """More entities than a format has draws: addresses of one-digit octets, mail x@y.tld, short phones."""
+    values = [("ip", ".".join(f"{i:04d}")) for i in range(6000)]
+    values += [("email", f"{chr(97 + i % 26)}@{chr(97 + i // 26 % 26)}.{'com' if i < 676 else 'org'}") for i in range(700)]
+    values += [("phone", f"49{i:04d}") for i in range(5000)]
+    rows = pii.surrogates(spark.createDataFrame(values, "sort string, value string"), "k").collect()
+    made = {(r.sort, r.surrogate) for r in rows}
+    assert len(rows) == len(values) == len(made) and made.isdisjoint(values)
+    assert all(int(o) < 256 for sort, s in made if sort == "ip" for o in s.split("."))
+
+
 def test_pii_edge_rows(edge_docs, no_docs):
     rows = pii.with_surrogates(edge_docs, "k")
     assert rows.schema.names[: len(edge_docs.schema.names)] == edge_docs.schema.names
