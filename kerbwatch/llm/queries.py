@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbwatch.llm import langid, pii, secret_scan
+from kerbwatch.llm import centroids, filter_audit, langid, pii, secret_scan
 from kerbwatch.llm.ann import neighbours
 from kerbwatch.llm.bpe import round_trip_digests
 from kerbwatch.llm.common import table
@@ -81,3 +81,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.with_surrogates(docs, key="documents")
+
+
+@registered
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_centroids"] = centroids.sql()
+
+
+@registered
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = filter_audit.sql()
