@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 
 # Characters that a task holds in unpacked form at once.
 SLICE_CHARS = 4_000_000
+# Bytes of the rows that go to a Python worker at once; a longer row goes alone.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """Batches of rows that go to Python workers are bounded by bytes too, not by their number alone."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the key and the text, under fixed names; a null text becomes empty.
 

@@ -15,6 +15,7 @@ from kerbwatch.llm.order_minhash import fingerprinted
 from kerbwatch.llm.packing import pack
 from kerbwatch.llm.quality import quality
 from kerbwatch.llm.simhash import near_duplicates
+from kerbwatch.llm.substrings import removal_digests
 from kerbwatch.llm.toxicity import toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +84,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_surrogates(docs, key="documents")
 
 
+@registered
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 @registered
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))

@@ -10,7 +10,7 @@ def test_stages_are_named_and_registered():
     assert names == ["language ID", "toxicity", "SimHash near-dedup", "secret scans", "packing"]
     registered = driver.queries()
     assert set(queries.REGISTRY) | {"pipeline"} <= set(registered)
-    assert [n.split("_")[0] for n in queries.REGISTRY] and len(queries.REGISTRY) == 10
+    assert [n.split("_")[0] for n in queries.REGISTRY] and len(queries.REGISTRY) == 13
     assert set(driver.oracle_sql()) >= {"op4_secrets"}
 
 
