@@ -16,10 +16,10 @@ from kerbwatch.llm.common import batches, bounded, slices, texts_of
 from kerbwatch.llm.fm_index import FmIndex
 
 WINDOW = 20
-ANCHOR = 5  # words whose hash decides which shard a window goes to
+ANCHOR = 4  # words whose hash decides which shard a window goes to
 # Characters of a slice of texts that is cut into segments at once, and of a shard's own segments.
 SLICE_CHARS = 6_000_000
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 10_000_000
 # Segments of an index that are searched in together.
 INDEX_WORDS = 400_000
 # An anchor is crowded if more segments than this hold it in a sample of one document in so many.
@@ -144,7 +144,7 @@ class Segments:
 
 def _packed(arrays: list[np.ndarray], contents: list[bytes]) -> bytes:
     raw = struct.pack("<I", len(contents)) + b"".join(a.tobytes() for a in arrays) + b"\n".join(contents)
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=6).compress(raw)
 
 
 _TYPES = ("<u4", "<i8", "<i8", "<i4", "<i4", "?")
