@@ -84,11 +84,6 @@ class BoostSettings:
     l2_regularization: float = 1.0
     zero_to_positive_ratio: float = 2.0
 
-    @property
-    def depth(self) -> int:
-        """Trees grow level by level here, so a leaf budget becomes the depth that reaches it."""
-        return max(1, math.ceil(math.log2(self.max_leaf_nodes)))
-
 
 @dataclass(frozen=True)
 class ModelSettings:

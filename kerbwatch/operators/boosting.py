@@ -1,61 +1,109 @@
-"""Poisson boosting on MLlib regression trees.
+"""Gradient boosting of leaf-limited trees on binned features, for volumes and for log obstruction.
 
-MLlib's own boosting has no Poisson loss, so the loop is here: every round fits one distributed
-tree to the current residuals and adds its leaf values to the log of the forecast.
+MLlib grows trees by level, has no Poisson loss, no L2 term and finds bins again for every tree. Here
+features are binned once. A pass over the data adds up gradients per leaf, feature and bin; the driver
+holds those sums (leaves x features x bins numbers, set by parameters), gets a sibling's by
+subtraction and opens the leaf with the largest gain first.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbwatch.config import BoostSettings, ModelSettings
-from kerbwatch.functions.scoring import clip
 from kerbwatch.session import staged
 
-# The log of a forecast stays within this range, so that its exponential stays finite.
+POISSON, SQUARED = "poisson", "squared_error"
+# The log of a forecast volume stays within this range, so that its exponential stays finite.
 _LOG_RANGE = 20.0
-# Rounds between two writes of the training state; keeps the recomputation chain short.
-_ROUNDS_PER_STAGE = 5
-_BINS = 128
+# Rounds between two writes of the training state; in between, trees are applied on the way.
+_ROUNDS_PER_STAGE = 10
+BINS = 128
+# Rows from which bin edges are taken; all rows are binned.
+_EDGE_ROWS = 50_000
+# Gradients are added as whole steps of this size, so sums do not depend on the partitions.
+_STEPS = float(1 << 20)
+_LEAST_HESSIAN = 1e-3
+# Tasks of a pass over the training state.
+_PASS_TASKS = 64
 
 
 @dataclass
-class PoissonBoost:
-    start: float
-    trees: list[DecisionTreeRegressionModel]
-    leaf_values: list[list[float]]
+class Tree:
+    """Nodes in order of creation; `feature` is -1 at a leaf, whose `value` is added."""
+
+    feature: list[int] = field(default_factory=lambda: [-1])
+    threshold: list[float] = field(default_factory=lambda: [0.0])
+    bin: list[int] = field(default_factory=lambda: [0])
+    left: list[int] = field(default_factory=lambda: [0])
+    right: list[int] = field(default_factory=lambda: [0])
+    value: list[float] = field(default_factory=lambda: [0.0])
+
+    def split(self, node: int, feature: int, bin_: int, threshold: float) -> tuple[int, int]:
+        left = len(self.feature)
+        self.feature[node], self.bin[node], self.threshold[node] = feature, bin_, threshold
+        self.left[node], self.right[node] = left, left + 1
+        for column, empty in ((self.feature, -1), (self.threshold, 0.0), (self.bin, 0), (self.left, 0), (self.right, 0), (self.value, 0.0)):
+            column += [empty, empty]
+        return left, left + 1
+
+    @property
+    def leaves(self) -> int:
+        return self.feature.count(-1)
 
-    def predict(self, df: DataFrame, output: str) -> DataFrame:
-        """Adds the forecast; needs a `features` vector column."""
-        leaves = [f"_leaf_{i}" for i in range(len(self.trees))]
-        for leaf, tree in zip(leaves, self.trees):
-            df = _with_leaf(df, tree, leaf)
-        total = F.lit(self.start)
-        for leaf, values in zip(leaves, self.leaf_values):
-            total = total + _leaf_value(leaf, values)
-        return df.withColumn(output, F.exp(clip(total, -_LOG_RANGE, _LOG_RANGE))).drop(*leaves)
+    def leaf_of(self, x: np.ndarray, binned: bool = False) -> np.ndarray:
+        """The leaf of every row of features, or of their bins."""
+        feature, left, right = (np.array(c) for c in (self.feature, self.left, self.right))
+        cut = np.array(self.bin if binned else self.threshold)
+        node = np.zeros(len(x), np.int64)
+        rows = np.arange(len(x)) if feature[0] >= 0 else np.empty(0, np.int64)
+        while len(rows):
+            at = node[rows]
+            goes_left = x[rows, feature[at]] <= cut[at]
+            node[rows] = np.where(goes_left, left[at], right[at])
+            rows = rows[feature[node[rows]] >= 0]
+        return node
 
-    def as_pipeline(self) -> PipelineModel:
-        return PipelineModel(stages=list(self.trees))
+    def add_to(self, x: np.ndarray, binned: bool = False) -> np.ndarray:
+        return np.array(self.value)[self.leaf_of(x, binned)]
 
 
-def _with_leaf(df: DataFrame, tree: DecisionTreeRegressionModel, leaf: str) -> DataFrame:
-    tree.setLeafCol(leaf).setFeaturesCol("features").setPredictionCol("_tree")
-    return tree.transform(df).drop("_tree")
+@dataclass
+class BoostedTrees:
+    """`start` plus the trees: the log of a volume, or log1p of obstruction units."""
+
+    loss: str
+    start: float
+    trees: list[Tree]
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        total = np.full(len(x), self.start)
+        for tree in self.trees:
+            total += tree.add_to(x)
+        return total
 
-def _leaf_value(leaf: str, values: list[float]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col(leaf).cast("int") + 1)
+    def forecast(self, margin: np.ndarray) -> np.ndarray:
+        return np.exp(np.clip(margin, -_LOG_RANGE, _LOG_RANGE)) if self.loss == POISSON else np.expm1(margin)
 
+    def predict(self, x: Column) -> Column:
+        """The forecast for an array of the features, by batches in a Python worker."""
 
-def _poisson_loss(y: Column, log_mean: Column) -> Column:
-    return F.exp(log_mean) - y * log_mean
+        @F.arrow_udf("double")
+        def score(values: pa.Array) -> pa.Array:
+            return pa.array(self.forecast(self.margin(matrix(values))))
+
+        return score(x)
+
+
+def matrix(values: pa.Array) -> np.ndarray:
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
 def held_out_share(share: float, keys: list[str], seed: int) -> Column:
@@ -63,80 +111,242 @@ def held_out_share(share: float, keys: list[str], seed: int) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
 
 
-def fit_poisson(
-    sample: DataFrame, label: str, weight: str, boost: BoostSettings, model: ModelSettings
-) -> PoissonBoost:
-    """Fit on `sample`, which has `features`, the label, the weight and the row keys.
+def bin_edges(values: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
+    """Upper edges of the bins of every feature: between neighbouring values where they are few,
+    else at quantiles."""
+    out = []
+    for column in values.T:
+        some = np.unique(column)
+        if len(some) > bins:
+            some = np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1], method="midpoint"))
+            out.append(some)
+        else:
+            out.append((some[:-1] + some[1:]) / 2)
+    return out
+
+
+def _binned(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """`bins` (a byte per feature) in place of `x`."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("x"))
+            codes = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+            raw = pa.array([r.tobytes() for r in codes.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [raw, *[batch.column(c) for c in ("y", "w", "held", "m")]], ["bins", "y", "w", "held", "m"]
+            )
+
+    return rows.mapInArrow(run, "bins binary, y double, w double, held boolean, m double")
+
+
+def _codes(column: pa.Array, features: int) -> np.ndarray:
+    lo, hi = (int.from_bytes(column.buffers()[1][4 * i : 4 * i + 4].to_pybytes(), "little") for i in (column.offset, column.offset + len(column)))
+    return np.frombuffer(column.buffers()[2], np.uint8)[lo:hi].reshape(-1, features)
+
+
+def gradients(loss: str, y: np.ndarray, w: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivative of the weighted loss by the margin."""
+    if loss == POISSON:
+        mean = np.exp(np.clip(m, -_LOG_RANGE, _LOG_RANGE))
+        return w * (mean - y), w * mean
+    return w * (m - y), w.copy()
+
+
+def losses(loss: str, y: np.ndarray, w: np.ndarray, m: np.ndarray) -> np.ndarray:
+    if loss == POISSON:
+        m = np.clip(m, -_LOG_RANGE, _LOG_RANGE)
+        return w * (np.exp(m) - y * m)
+    return w * (m - y) ** 2 / 2
+
+
+def _whole(values: np.ndarray) -> np.ndarray:
+    return np.rint(values * _STEPS)
+
+
+def leaf_sums(
+    loss: str, codes: np.ndarray, y: np.ndarray, w: np.ndarray, m: np.ndarray, slot: np.ndarray, slots: int, bins: int
+) -> np.ndarray:
+    """Sums of gradient, curvature and rows: (features, 3, slots, bins); rows of slot -1 are left out."""
+    inside = slot >= 0
+    codes, slot = codes[inside], slot[inside]
+    g, h = (_whole(a) for a in gradients(loss, y[inside], w[inside], m[inside]))
+    out = np.empty((codes.shape[1], 3, slots * bins), np.int64)
+    for f in range(codes.shape[1]):
+        at = slot * bins + codes[:, f]
+        for k, weights in enumerate((g, h, None)):
+            out[f, k] = np.bincount(at, weights, slots * bins)
+    return out.reshape(codes.shape[1], 3, slots, bins)
+
+
+def _moved(batch: pa.RecordBatch, trees: list[Tree], features: int) -> tuple[np.ndarray, ...]:
+    codes = _codes(batch.column("bins"), features)
+    y, w, m = (batch.column(c).to_numpy() for c in ("y", "w", "m"))
+    for tree in trees:
+        m = m + tree.add_to(codes, binned=True)
+    return codes, y, w, m, batch.column("held").to_numpy(zero_copy_only=False)
 
-    Rows set aside for early stopping never enter a tree. The driver receives one row per leaf
-    and round, at most 2^depth.
+
+def _pass(state: DataFrame, loss: str, trees: list[Tree], tree: Tree, nodes: list[int], features: int, bins: int) -> tuple[np.ndarray, float]:
+    """Sums of some nodes of a growing tree, and the held-out loss before it.
+
+    Every task adds up its rows. There are few tasks, as what each sends to the driver is
+    nodes x features x bins x 24 bytes, and a row only costs a byte per feature.
     """
-    early = model.early_stopping
-    held = held_out_share(model.validation_fraction, ["zone_id", "window_start"], model.random_seed)
-    base = staged(
+    slot_of = np.full(len(tree.feature), -1)
+    slot_of[nodes] = np.arange(len(nodes))
+    size = 3 * len(nodes) * bins
+
+    def add(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((features + 1, size), np.int64)
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            codes, y, w, m, held = _moved(batch, trees, features)
+            slot = np.where(held, -1, slot_of[tree.leaf_of(codes, binned=True)])
+            total[:-1] += leaf_sums(loss, codes, y, w, m, slot, len(nodes), bins).reshape(features, size)
+            total[-1, 0] += int(_whole(losses(loss, y[held], w[held], m[held])).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    total = np.zeros((features + 1) * size, np.int64)
+    for r in state.coalesce(_PASS_TASKS).mapInArrow(add, "sums binary").collect():
+        total += np.frombuffer(r["sums"], np.int64)
+    sums = total.reshape(features + 1, 3, len(nodes), bins)
+    return sums[:-1], float(sums[-1].flat[0]) / _STEPS
+
+
+def best_split(sums: np.ndarray, least_rows: int, l2: float) -> tuple[float, int, int]:
+    """(gain, feature, bin) of a node's best split, from sums of (features, 3, bins); gain 0 for none.
+
+    Rows up to the bin go left. Equal gains go to the first feature and bin.
+    """
+    g, h, n = (sums[:, k].cumsum(axis=1) for k in range(3))
+    g, h = g / _STEPS, h / _STEPS
+    all_g, all_h, all_n = (a[:, -1:] for a in (g, h, n))
+    right_h = all_h - h
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = g**2 / (h + l2) + (all_g - g) ** 2 / (right_h + l2) - all_g**2 / (all_h + l2)
+    fits = (n >= least_rows) & (all_n - n >= least_rows) & (h >= _LEAST_HESSIAN) & (right_h >= _LEAST_HESSIAN)
+    gain = np.where(fits & np.isfinite(gain), gain, 0.0)
+    at = int(gain.argmax())
+    return float(gain.flat[at]), at // gain.shape[1], at % gain.shape[1]
+
+
+def leaf_step(sums: np.ndarray, l2: float) -> float:
+    """Newton step of a leaf: less its gradients, over its curvature plus `l2`."""
+    g, h = sums[0, 0].sum() / _STEPS, sums[0, 1].sum() / _STEPS
+    return float(-g / (h + l2)) if h + l2 > 0 else 0.0
+
+
+def grow(sums_of, edges: list[np.ndarray], boost: BoostSettings) -> tuple[Tree, float]:
+    """One tree of at most `max_leaf_nodes` leaves, the leaf with the largest gain opened first.
+
+    `sums_of(tree, nodes)` gives the sums of nodes and the held-out loss. The leaves that could still
+    be opened are opened together on trial, so a pass serves many; a trial that turns out not to
+    be next is not part of the tree. Only one child of a split is added up, the other is the rest.
+    """
+    trial = Tree()
+    sums, held_loss = sums_of(trial, [0])
+    known = {0: sums[:, :, 0]}
+    splits = {0: best_split(known[0], boost.min_samples_leaf, boost.l2_regularization)}
+    open_leaves, chosen = [0], []  # chosen: nodes of the trial tree that are split, in order
+    while open_leaves and len(chosen) + 1 < boost.max_leaf_nodes:
+        node = max(open_leaves, key=lambda i: (splits[i][0], -i))
+        if splits[node][0] <= 0:
+            break
+        if trial.feature[node] < 0:
+            room = boost.max_leaf_nodes - 1 - len(chosen)
+            likely = sorted(open_leaves, key=lambda i: (-splits[i][0], i))[:room]
+            fresh = [i for i in likely if trial.feature[i] < 0 and splits[i][0] > 0]
+            for i in fresh:
+                _, f, b = splits[i]
+                trial.split(i, f, b, float(edges[f][b]))
+            sums, _ = sums_of(trial, [trial.left[i] for i in fresh])
+            for k, i in enumerate(fresh):
+                known[trial.left[i]] = sums[:, :, k]
+                known[trial.right[i]] = known[i] - sums[:, :, k]
+                for child in (trial.left[i], trial.right[i]):
+                    splits[child] = best_split(known[child], boost.min_samples_leaf, boost.l2_regularization)
+        open_leaves.remove(node)
+        open_leaves += [trial.left[node], trial.right[node]]
+        chosen.append(node)
+    tree, place = Tree(), {0: 0}
+    for node in chosen:
+        a, b = tree.split(place[node], trial.feature[node], trial.bin[node], trial.threshold[node])
+        place[trial.left[node]], place[trial.right[node]] = a, b
+    for node, at in place.items():
+        if tree.feature[at] < 0:
+            tree.value[at] = boost.learning_rate * leaf_step(known[node], boost.l2_regularization)
+    return tree, held_loss
+
+
+class Patience:
+    """Ends a fit after `rounds` rounds without a smaller held-out loss, and knows the best size."""
+
+    def __init__(self, rounds: int):
+        self.rounds, self.best, self.size = rounds, math.inf, 0
+
+    def out_of(self, loss: float, trees: int) -> bool:
+        """Takes the loss of a model of so many trees; true if it is time to end."""
+        if loss < self.best:
+            self.best, self.size = loss, trees
+        return trees - self.size >= self.rounds
+
+
+def fit_boosted(
+    sample: DataFrame, x: Column, y: Column, weight: str, loss: str, boost: BoostSettings, model: ModelSettings, seed: int
+) -> BoostedTrees:
+    """Fit on `sample`, which has the row keys, the weight and what `x` (array) and `y` refer to.
+
+    Rows set aside for early stopping, by a hash of the key, never enter a tree; a fit that ends early
+    goes back to the trees with the smallest held-out loss.
+    """
+    held = held_out_share(model.validation_fraction, ["zone_id", "window_start"], seed)
+    rows = staged(
         sample.select(
-            "features",
-            F.col(label).cast("double").alias("y"),
-            F.col(weight).alias("w"),
-            (held if early else F.lit(False)).alias("held"),
+            x.alias("x"), y.cast("double").alias("y"), F.col(weight).cast("double").alias("w"),
+            (held if model.early_stopping else F.lit(False)).alias("held"), F.xxhash64("zone_id", "window_start").alias("turn"),
         ),
         "boost-sample",
-    )
-    mean = base.filter("NOT held").agg(F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()[0]
-    start = math.log(max(mean or 0.0, 1e-9))
-    state = base.withColumn("m", F.lit(start)).persist()
-    tree = DecisionTreeRegressor(
-        featuresCol="features",
-        labelCol="_label",
-        weightCol="_weight",
-        predictionCol="_tree",
-        maxDepth=boost.depth,
-        maxBins=_BINS,
-        minInstancesPerNode=boost.min_samples_leaf,
-        seed=model.random_seed,
-    )
-    trees: list[DecisionTreeRegressionModel] = []
-    leaf_values: list[list[float]] = []
-    best_loss, best_size = math.inf, 0
-    older: DataFrame | None = None
-    for round_number in range(boost.max_iter):
-        mean_now = F.exp("m")
-        targets = state.withColumns(
-            {"_label": (F.col("y") - mean_now) / mean_now, "_weight": F.col("w") * mean_now}
-        ).filter("NOT held")
-        fitted = tree.fit(targets)
-        leafed = _with_leaf(state, fitted, "_leaf")
-        open_rows = ~F.col("held")
-        sums = leafed.groupBy("_leaf").agg(
-            F.sum(F.when(open_rows, F.col("w") * (F.col("y") - F.exp("m")))).alias("g"),
-            F.sum(F.when(open_rows, F.col("w") * F.exp("m"))).alias("h"),
-            F.sum(F.when(F.col("held"), F.col("w") * _poisson_loss(F.col("y"), F.col("m")))).alias("l"),
-        )
-        rows = sums.collect()
-        if older is not None:
-            older.unpersist()
-        if early:
-            # Loss of the model before this round's tree.
-            loss = sum(r["l"] or 0.0 for r in rows)
-            if loss < best_loss:
-                best_loss, best_size = loss, len(trees)
-            elif len(trees) - best_size >= model.rounds_without_gain:
-                break
-        values = [0.0] * (max(int(r["_leaf"]) for r in rows) + 1)
-        for r in rows:
-            if r["h"]:
-                step = r["g"] / (r["h"] + boost.l2_regularization)
-                values[int(r["_leaf"])] = boost.learning_rate * step
-        trees.append(fitted)
-        leaf_values.append(values)
-        moved = clip(F.col("m") + _leaf_value("_leaf", values), -_LOG_RANGE, _LOG_RANGE)
-        older = state
-        state = leafed.select("features", "y", "w", "held", moved.alias("m"))
-        if (round_number + 1) % _ROUNDS_PER_STAGE == 0:
-            state = staged(state, "boost-state")
-        # Each round reads its state once per tree level.
-        state = state.persist()
-    if older is not None:
-        older.unpersist()
-    state.unpersist()
-    return PoissonBoost(start, trees, leaf_values)
+    )
+    seen = rows.agg(
+        F.count("*").alias("n"), F.sum(F.when(~F.col("held"), F.col("w") * F.col("y"))).alias("wy"),
+        F.sum(F.when(~F.col("held"), F.col("w"))).alias("w"),
+    ).first()
+    mean = (seen["wy"] / seen["w"]) if seen["w"] else 0.0
+    start = math.log(max(mean, 1e-9)) if loss == POISSON else mean
+    if not seen["w"]:
+        return BoostedTrees(loss, start, [])
+    share = min(1_000_000, 1_000_000 * _EDGE_ROWS // seen["n"])
+    some = rows.filter(F.pmod("turn", F.lit(1_000_000)) < share).select("x").limit(4 * _EDGE_ROWS).toArrow()
+    if not len(some):
+        some = rows.select("x").limit(_EDGE_ROWS).toArrow()
+    edges = bin_edges(matrix(some.column("x").combine_chunks()))
+    features, bins = len(edges), 1 + max(map(len, edges))
+    state = staged(_binned(rows.withColumn("m", F.lit(start)), edges), "boost-state")
+    trees: list[Tree] = []
+    recent: list[Tree] = []  # not yet part of the state
+    patience = Patience(model.rounds_without_gain)
+    for _ in range(boost.max_iter):
+        tree, held_loss = grow(lambda t, nodes: _pass(state, loss, recent, t, nodes, features, bins), edges, boost)
+        if model.early_stopping and patience.out_of(held_loss, len(trees)):
+            break
+        if tree.leaves == 1:
+            break
+        trees.append(tree)
+        recent.append(tree)
+        if len(recent) == _ROUNDS_PER_STAGE:
+            state, recent = staged(_advanced(state, recent, features), "boost-state"), []
+    return BoostedTrees(loss, start, trees[: patience.size] if model.early_stopping and len(trees) - patience.size >= patience.rounds else trees)
+
+
+def _advanced(state: DataFrame, trees: list[Tree], features: int) -> DataFrame:
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            if batch.num_rows:
+                m = _moved(batch, trees, features)[3]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(m)], batch.schema.names)
+
+    return state.mapInArrow(run, state.schema)

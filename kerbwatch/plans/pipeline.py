@@ -140,7 +140,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, output: str, settings: Set
             "data_summary", "evaluation_coverage", "feature_importance", "metrics", "patrol_plan",
             "predictions", "station_summary", "zone_history", "zone_reference",
         ],
-        "models": ["hotspot", "impact", "metadata", "numbers"],
+        "models": ["metadata", "numbers", "trees"],
     }
     _write_document(spark, manifest, f"{artifacts}/run_manifest")
     return RunResult(metrics, summary, plan, predictions)

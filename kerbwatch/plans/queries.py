@@ -847,6 +847,18 @@ def feature_vector(spark, sf_dir):
     ).transform(rounded, 3)
 
 
+_FITTED: dict[tuple[str, str], tuple] = {}
+
+
+def _fitted(spark, sf_dir):
+    """Training rows, test rows and the models fitted to them; once per session and table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        train, test = _full_split(spark, sf_dir)
+        _FITTED[key] = (train, test, forecasting.fit_pair(train, S))
+    return _FITTED[key]
+
+
 def _outside(forecast: str, cap=None):
     """How many forecasts are missing, negative, not finite or above the cap."""
     good = (F.col(forecast) >= 0) & (F.col(forecast) < float("inf"))
@@ -858,14 +870,13 @@ def _outside(forecast: str, cap=None):
 @query
 def hotspot_model(spark, sf_dir):
     """Per test window: rows, their volume, and how many forecasts are no possible volume."""
-    train, test = _full_split(spark, sf_dir)
-    model, info = forecasting.hotspot_model(train, S)
-    df = model.predict(forecasting.feature_vector(test, S), "predicted_violation_count")
+    _, test, (models, info) = _fitted(spark, sf_dir)
+    df = test.withColumn("predicted_violation_count", models.hotspot.predict(forecasting.feature_array(S)))
     return df.groupBy("target_window_start").agg(
         F.count("*").alias("rows"),
         F.sum("target_violation_count").cast("bigint").alias("actual"),
         _outside("predicted_violation_count"),
-        F.lit(info.model_fit_rows).cast("bigint").alias("fit_rows"),
+        F.lit(info.hotspot_sample.model_fit_rows).cast("bigint").alias("fit_rows"),
     )
 
 
@@ -876,9 +887,8 @@ def impact_model(spark, sf_dir):
     boost = S.model.impact_members[0]
     single = replace(S, model=replace(S.model, impact_members=(), impact_base=boost))
     members, cap, _ = forecasting.impact_ensemble(train, single)
-    df = forecasting.feature_vector(test, S)
-    df = members[0].model.setPredictionCol("_p").transform(df)
-    df = df.withColumn("_v", scoring.clip(F.expm1("_p"), 0.0, cap))
+    made = members[0].model.predict(forecasting.feature_array(S))
+    df = test.withColumn("_v", scoring.clip(made, 0.0, cap))
     return df.groupBy("target_window_start").agg(
         F.count("*").alias("rows"),
         scoring.snapped(F.sum("target_impact_units")).alias("actual"),
@@ -890,9 +900,8 @@ def impact_model(spark, sf_dir):
 @query
 def impact_ensemble(spark, sf_dir):
     """Fitted members: normalised weights, sample sizes and the shared prediction cap."""
-    train, _ = _full_split(spark, sf_dir)
-    members, cap, infos = forecasting.impact_ensemble(train, S)
-    rows = [(m.name, m.weight, infos[m.name].model_fit_rows, cap) for m in members]
+    _, _, (models, info) = _fitted(spark, sf_dir)
+    rows = [(m.name, m.weight, info.impact_samples[m.name].model_fit_rows, models.impact_cap) for m in models.impact]
     return spark.createDataFrame(
         rows, "member string, weight double, fit_rows bigint, impact_cap double"
     )
@@ -901,8 +910,7 @@ def impact_ensemble(spark, sf_dir):
 @query
 def score_models(spark, sf_dir):
     """Per test window: rows, the cap, and forecasts of either kind that are impossible."""
-    train, test = _full_split(spark, sf_dir)
-    models, _ = forecasting.fit_pair(train, S)
+    _, test, (models, _) = _fitted(spark, sf_dir)
     df = forecasting.score_models(models, test, S)
     return df.groupBy("target_window_start").agg(
         F.count("*").alias("rows"),
@@ -917,8 +925,8 @@ def train_models(spark, sf_dir):
     """All systems evaluated on the test period after the blend was chosen on the last training
     windows. What the forecast scores depends on trees, so only that it is finite is told; the
     baselines' scores are told in full."""
-    train, test = _full_split(spark, sf_dir)
-    models, _ = forecasting.train_models(train, S)
+    train, test, pair = _fitted(spark, sf_dir)
+    models, _ = forecasting.train_models(train, S, pair)
     frame = staged(forecasting.score_models(models, test, S), "predictions")
     metrics = evaluation.evaluate_systems(frame, list(S.deployment.top_k))
     finite = F.when(F.abs("value") < float("inf"), 1.0).otherwise(0.0)
@@ -927,8 +935,7 @@ def train_models(spark, sf_dir):
 
 
 def _importance(spark, sf_dir):
-    train, test = _full_split(spark, sf_dir)
-    models, _ = forecasting.fit_pair(train, S)
+    _, test, (models, _) = _fitted(spark, sf_dir)
     return forecasting.feature_importance(models, test, S)
 
 
@@ -957,8 +964,7 @@ def importance_topn(spark, sf_dir):
 @query
 def model_store(spark, sf_dir):
     """Per test window: forecasts of saved and loaded models, and how many differ from the originals."""
-    train, test = _full_split(spark, sf_dir)
-    models, _ = forecasting.fit_pair(train, S)
+    _, test, (models, _) = _fitted(spark, sf_dir)
     path = saved.save_models(spark, models, scratch_path(spark, "models"))
     names = ["predicted_violation_count", "predicted_impact_units"]
     before = forecasting.score_models(models, test, S).select(*TARGET, *names)

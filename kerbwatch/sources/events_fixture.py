@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbwatch.config import (
-    BoostSettings,
     GridSettings,
     ModelSettings,
     Settings,
@@ -19,17 +18,12 @@ from kerbwatch.sources.records import record_contract
 
 
 def fixture_settings() -> Settings:
-    """Settings that suit one month of test events: lower zone threshold, short boosting."""
+    """Settings that suit one month of test events: a lower zone threshold."""
     return Settings(
         grid=GridSettings(min_zone_observations=10),
         temporal=TemporalSettings(test_start="2024-01-24 00:00:00", test_end="2024-01-31 00:00:00"),
         model=replace(
             ModelSettings(),
-            hotspot=BoostSettings("hotspot", 1.0, 6, 0.2, 15, 40, 2.0, 3.0),
-            impact_members=(
-                BoostSettings("compact_ranker", 0.3, 4, 0.2, 8, 30, 1.0, 2.0),
-                BoostSettings("regularized_ranker", 0.7, 6, 0.2, 15, 40, 2.0, 1.0),
-            ),
             calibration_windows=24,
             minimum_model_blend_weight=0.0,
         ),
