@@ -35,6 +35,7 @@ from kerbwatch.session import scratch_path, staged, tune
 from kerbwatch.sources import exports, records
 from kerbwatch.sources import model_store as saved
 from kerbwatch.sources.events_fixture import event_records, fixture_settings
+from kerbwatch.streaming import zone_windows as stream
 
 S = fixture_settings()
 T = S.temporal
@@ -827,6 +828,38 @@ def run_summary(spark, sf_dir):
     )
 
 
+# Streams
+
+
+def replayed_changes(spark, sf_dir):
+    """Changes of the whole table streamed in three batches.
+
+    The earlier half of the events comes first, then the later half; a correction comes a batch after
+    the row it corrects. Every batch is a run of its own that goes on from the state of the last.
+    """
+    arrived, log, checkpoint = (scratch_path(spark, n) for n in ("arrived", "changes", "stream"))
+    events = event_records(spark, sf_dir)
+    created = F.unix_seconds(F.col("created_datetime").cast("timestamp"))
+    ends = events.agg(F.min(created), F.max(created)).first()
+    turn = F.when(created < (ends[0] + ends[1]) // 2, 0).otherwise(1) + F.col("ingest_seq").cast("int")
+    turns = staged(events.withColumn("turn", turn), "turns")
+    for k in range(3):
+        turns.filter(F.col("turn") == k).drop("turn").write.mode("append").parquet(arrived)
+        streamed = spark.readStream.schema(turns.drop("turn").schema).parquet(arrived)
+        stream.run_stream(streamed, log, checkpoint, S)
+    return stream.read_changes(spark, log)
+
+
+@query
+def stream_zone_window_agg(spark, sf_dir):
+    return stream.zone_windows(replayed_changes(spark, sf_dir))
+
+
+@query
+def stream_dedupe_last(spark, sf_dir):
+    return stream.live_records(replayed_changes(spark, sf_dir))
+
+
 # Fitted forecasts
 
 

@@ -555,6 +555,11 @@ oracle("zone_window_agg", f"""
 SELECT {SLOT}, violation_count, {nums("impact_units", "mean_record_confidence")}, high_severity_count,
   junction_count, junction_offence_count, main_road_count, heavy_vehicle_count, unique_vehicles,
   active_devices, active_officers FROM zw""")
+oracle("stream_zone_window_agg", f"""
+SELECT {SLOT}, violation_count, {nums("impact_units", "mean_record_confidence")}, high_severity_count,
+  junction_count, junction_offence_count, main_road_count, heavy_vehicle_count, unique_vehicles,
+  active_devices, active_officers FROM zw""")
+oracle("stream_dedupe_last", "SELECT id, CAST(ingest_seq AS BIGINT) AS ingest_seq FROM cln")
 oracle("active_zones", "SELECT * FROM act")
 oracle("active_zone_semijoin", "SELECT id, zone_id, window_start FROM kept")
 REF = f"""zone_id, cell_x, cell_y, police_station, primary_junction, total_records, zone_name,
