@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kerbwatch.config import Settings
@@ -11,9 +11,14 @@ from kerbwatch.functions.scoring import OFFENCE_WEIGHTS, snapped
 from kerbwatch.operators.panel import densify
 
 
-def cleaning_summary(raw: DataFrame, clean: DataFrame, settings: Settings) -> DataFrame:
-    """One row about the cleaning. The raw count reads no columns."""
-    source = raw.agg(F.count("*").alias("n")).scalar()
+def with_row_count(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same rows, and how many went by as `rows` once something has read them."""
+    seen = Observation()
+    return df.observe(seen, F.count("*").alias("rows")), seen
+
+
+def cleaning_summary(clean: DataFrame, source_rows: int, settings: Settings) -> DataFrame:
+    """One row about the cleaning; the source rows are counted by the pass that cleans them."""
     named = F.when(F.col("is_named_junction") == 1, F.col("junction_name"))
     summary = clean.agg(
         F.count("*").alias("clean_rows"),
@@ -23,6 +28,7 @@ def cleaning_summary(raw: DataFrame, clean: DataFrame, settings: Settings) -> Da
         F.count_distinct("police_station").alias("police_stations"),
         F.count_distinct(named).alias("named_junctions"),
     )
+    source = F.lit(source_rows).cast("bigint")
     return summary.withColumns(
         {
             "source_rows": source,

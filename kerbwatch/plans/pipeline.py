@@ -48,9 +48,11 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, output: str, settings: Set
     """
     tune(spark)
     temporal = settings.temporal
+    source, seen = summaries.with_row_count(raw)
     cleaned_at = exports.write_intermediate(
-        clean_records(raw, settings), f"{output}/processed/cleaned"
+        clean_records(source, settings), f"{output}/processed/cleaned"
     )
+    source_rows = seen.get["rows"]
     clean = spark.read.parquet(cleaned_at).drop("window_date")
 
     windows = stages.active_windows(clean, settings)
@@ -111,7 +113,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, output: str, settings: Set
         F.lit(info.model_fit_rows).cast("bigint"),
         settings,
     )
-    about_data = summaries.cleaning_summary(raw, clean, settings)
+    about_data = summaries.cleaning_summary(clean, source_rows, settings)
     summary = _one_row(
         spark,
         _as_text(about_data, ["date_min", "date_max"], zone),

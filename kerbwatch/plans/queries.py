@@ -32,7 +32,7 @@ from kerbwatch.operators import (
 from kerbwatch.operators import features as feats
 from kerbwatch.plans import stages
 from kerbwatch.session import scratch_path, staged, tune
-from kerbwatch.sources import exports, records
+from kerbwatch.sources import exports, panel_store, records
 from kerbwatch.sources import model_store as saved
 from kerbwatch.sources.events_fixture import event_records, fixture_settings
 from kerbwatch.streaming import zone_windows as stream
@@ -382,7 +382,11 @@ def clean_records(spark, sf_dir):
 
 @query
 def cleaning_summary(spark, sf_dir):
-    return summaries.cleaning_summary(raw(spark, sf_dir), clean(spark, sf_dir), S)
+    """The cleaned columns it reads are written by the one pass that counts the source rows."""
+    source, seen = summaries.with_row_count(raw(spark, sf_dir))
+    needed = ["created_at", "zone_id", "police_station", "is_named_junction", "junction_name"]
+    kept = staged(cleaning.clean_records(source, S).select(*needed), "summary")
+    return summaries.cleaning_summary(kept, seen.get["rows"], S)
 
 
 @query
@@ -468,6 +472,14 @@ def rolling_means(spark, sf_dir):
     return df.select(*SLOT, *[f"{k}_roll_mean_{w}" for k in ("count", "impact") for w in T.rolls])
 
 
+@query
+def stored_panel_rolling(spark, sf_dir):
+    """Rolling means over the panel stored by zone, which needs no exchange any more."""
+    name = panel_store.store_panel(dense(spark, sf_dir), scratch_path(spark, "panel"))
+    df = feats.rolling_means(spark.table(name), T)
+    return df.select(*SLOT, *[f"{k}_roll_mean_{w}" for k in ("count", "impact") for w in T.rolls])
+
+
 @query
 def rolling_shares(spark, sf_dir):
     return feats.rolling_shares(dense(spark, sf_dir), T).select(*SLOT, *feats.SHARES)

@@ -587,6 +587,7 @@ SELECT {SLOT}, {nums("violation_count", "centroid_latitude", "centroid_longitude
 oracle("repeat_vehicle_rate", f"SELECT {SLOT}, {nums('repeat_vehicle_rate_window')} FROM rep")
 oracle("lag_features", f"SELECT {SLOT}, {nums(*LAG_NAMES)} FROM fea")
 oracle("rolling_means", f"SELECT {SLOT}, {nums(*ROLL_NAMES)} FROM fea")
+oracle("stored_panel_rolling", f"SELECT {SLOT}, {nums(*ROLL_NAMES)} FROM fea")
 oracle("rolling_shares", f"SELECT {SLOT}, {nums(*SHARES)} FROM fea")
 oracle("rolling_context_means", f"SELECT {SLOT}, {nums(*CONTEXT)} FROM fea")
 oracle("trend_ratios", f"SELECT {SLOT}, {nums('trend_ratio', 'impact_trend_ratio')} FROM fea")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbwatch.config import Settings, TemporalSettings
 from kerbwatch.operators import features, panel, split, zones
+from kerbwatch.sources.panel_store import store_panel
 from kerbwatch.sources.events_fixture import event_records, fixture_settings
 from kerbwatch.operators.cleaning import clean_records
 
@@ -190,3 +191,17 @@ def test_nearest_window_prefers_the_earlier(spark):
     times = pd.date_range("2024-01-01", periods=4, freq="2h")
     df = spark.createDataFrame([(t.to_pydatetime(),) for t in times], "target_window_start timestamp_ntz")
     assert str(nearest_window(df, "2024-01-01 03:00:00").first()[0]) == "2024-01-01 02:00:00"
+
+
+def test_stored_panel_needs_no_exchange(spark, tmp_path):
+    rows = [(f"Z{z}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=2 * w), *[float(z * w % 5)] * len(panel.MEASURES)) for z in range(6) for w in range(40)]
+    schema = "zone_id string, window_start timestamp_ntz" + "".join(f", {m} double" for m in panel.MEASURES)
+    wide = spark.createDataFrame(rows, schema)
+    temporal = TemporalSettings(rolling_windows=(3, 12))
+    name = store_panel(wide, str(tmp_path / "panel"))
+    stored = features.rolling_means(spark.table(name), temporal)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    names = ["zone_id", "window_start", "count_roll_mean_3", "impact_roll_mean_12"]
+    plain = features.rolling_means(wide, temporal).select(*names)
+    assert sorted(map(tuple, stored.select(*names).collect())) == sorted(map(tuple, plain.collect()))
