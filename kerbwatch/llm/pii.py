@@ -296,10 +296,13 @@ def with_surrogates(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     counts = [f"n_{k}" for k in KINDS] + ["n_pii"]
-    keys = ["__hash", "__hash_2"]
+    keys = ["hash", "hash_2"]
     docs = docs.drop(*counts)
     some = text.rlike(MENTION)
-    keyed = docs.filter(some).select("*", F.xxhash64(text).alias(keys[0]), F.xxhash64(text, F.lit(1)).alias(keys[1]))
+    # The row's own columns stay in one of their own, whatever their names.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    keyed = docs.filter(some).select(whole, text.alias("text"), F.xxhash64(text).alias(keys[0]), F.xxhash64(text, F.lit(1)).alias(keys[1]))
+    text = F.col("text")
     named = text.rlike(NAME)
     every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     listed = keyed.select(*keys, F.when(named, every(MENTION_OR_WORD)).otherwise(every(MENTION)).alias("all"))
@@ -314,23 +317,23 @@ def with_surrogates(
     found_new = F.when(kind.isNotNull() | F.col("known"), F.col("new"))
     found_kind = F.when(found_new.isNotNull(), F.coalesce(kind, F.lit("name")))
     row = F.struct("at", F.coalesce(found_new, "mention").alias("new"), found_kind.alias("kind"))
-    news = marked.join(new, "mention", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("__new"))
+    news = marked.join(new, "mention", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("new"))
     joined = keyed.join(news, keys)
     between = F.when(named, F.split(text, MENTION_OR_WORD, -1)).otherwise(F.split(text, MENTION, -1))
     rebuilt = F.array_join(
-        F.zip_with(between, F.col("__new.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
+        F.zip_with(between, F.col("new.new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
     )
-    found = F.array_compact("__new.kind")
+    found = F.array_compact("new.kind")
     count = {k: (F.size(found) - F.size(F.array_remove(found, k))).cast("bigint") for k in KINDS}
     total = F.size(found).cast("bigint")
-    changed = joined.withColumn("__text", rebuilt)
+    changed = joined.withColumn("made", rebuilt)
     columns = []
     for field in docs.schema:
-        own = F.col(f"`{field.name}`")
+        own = F.col(f"own.`{field.name}`")
         if field.name == text_col:
-            own = F.col("__text")
+            own = F.col("made")
         elif field.name == size_col:
-            own = F.char_length("__text").cast(field.dataType)
+            own = F.char_length("made").cast(field.dataType)
         columns.append(own.alias(field.name))
     columns += [count[k].alias(f"n_{k}") for k in KINDS] + [total.alias("n_pii")]
     none = {c: F.lit(0).cast("bigint") for c in counts}

@@ -217,24 +217,24 @@ def masked(
     found = scanned(docs, id_col, text_col, owner_col, repo_col)
     by_row = islands(judged_spans(found, rule))
     by_text = (
-        found.select("row", F.col("hash").alias("__hash"), F.col("hash_2").alias("__hash_2"))
-        .join(by_row, "row").groupBy("__hash", "__hash_2").agg(F.first("spans").alias("__spans"))
+        found.select("row", "hash", "hash_2")
+        .join(by_row, "row").groupBy("hash", "hash_2").agg(F.first("spans").alias("spans"))
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
     maybe = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(TOKEN)
-    keyed = docs.filter(maybe).select(
-        "*", F.xxhash64(text).alias("__hash"), F.xxhash64(text, F.lit(1)).alias("__hash_2")
-    )
-    joined = keyed.join(by_text, ["__hash", "__hash_2"], "left")
-    changed = joined.withColumn("__new", _rebuilt(text, F.col("__spans"), live_mask, copied_mask))
+    # The row's own columns stay in one of their own, whatever their names.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    keyed = docs.filter(maybe).select(whole, text.alias("text"), F.xxhash64(text).alias("hash"), F.xxhash64(text, F.lit(1)).alias("hash_2"))
+    joined = keyed.join(by_text, ["hash", "hash_2"], "left")
+    changed = joined.withColumn("new", _rebuilt(F.col("text"), F.col("spans"), live_mask, copied_mask))
     columns = []
     for field in docs.schema:
-        own = F.col(f"`{field.name}`")
+        own = F.col(f"own.`{field.name}`")
         if field.name == text_col:
-            own = F.when(F.col("__spans").isNull(), own).otherwise(F.col("__new"))
+            own = F.when(F.col("spans").isNull(), own).otherwise(F.col("new"))
         elif field.name == size_col:
-            size = F.char_length("__new").cast(field.dataType)
-            own = F.when(F.col("__spans").isNull(), own).otherwise(size)
+            size = F.char_length("new").cast(field.dataType)
+            own = F.when(F.col("spans").isNull(), own).otherwise(size)
         columns.append(own.alias(field.name))
     return docs.filter(~maybe).unionByName(changed.select(*columns))
 
@@ -278,7 +278,7 @@ k AS (SELECT r, doc_id, source, kind, CAST(fin - size AS BIGINT) AS beg, CAST(fi
           AND list_aggregate(string_split(val, ''), 'entropy') >= 3.0 ELSE true END),
 a AS (SELECT * FROM k WHERE kind < 3 OR NOT EXISTS (
       SELECT 1 FROM k b WHERE b.r = k.r AND b.kind < 3 AND k.beg < b.fin AND b.beg < k.fin)),
-o AS (SELECT val, count(DISTINCT source) <= 2 AND count(DISTINCT (source, doc_id)) <= 20 AS live FROM a GROUP BY val),
+o AS (SELECT val, count(DISTINCT source) <= 2 AS live FROM a GROUP BY val),
 j AS (SELECT a.*, live, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || beg || ':' || fin AS shown
       FROM a JOIN o USING (val) WHERE kind < 3 OR live),
 x AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from kerbwatch.llm.common import batches, texts_of
+from kerbwatch.llm.common import batches, bounded, texts_of
 from kerbwatch.llm.components import connected_components
 from kerbwatch.llm.covering import anchors
 from kerbwatch.session import staged
@@ -64,7 +64,7 @@ def fingerprints(
             )
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    narrow = docs.select(
+    narrow = bounded(docs).select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")
     )
     kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -251,20 +251,21 @@ def one_of_each(
         )
     )
     key = ["__id", "__none", "__hash"]
+    # The row's own columns stay in one of their own, whatever their names.
     marked = docs.select(
-        "*",
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"),
         _known(F.col(id_col)).alias("__id"),
         F.col(id_col).isNull().alias("__none"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"),
     )
     plain = [
-        F.col(f"`{f.name}`")
+        F.col(f"own.`{f.name}`")
         for f in docs.schema
         if f.name not in (id_col, text_col) and not isinstance(f.dataType, (MapType, VariantType))
     ]
     turn = F.row_number().over(W.partitionBy(*key).orderBy(*(plain or [F.lit(0)])))
     once = marked.join(kept, key, "left_semi").withColumn("__turn", turn).filter("__turn = 1")
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.select(*[F.col(f"own.`{c}`").alias(c) for c in docs.columns])
 
 
 def _known(column: Column) -> Column:

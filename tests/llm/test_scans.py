@@ -218,3 +218,17 @@ def test_secrets_equal_their_sql(spark):
     columns = [c[0] for c in result.description]
     got = REGISTRY["op4_secrets"](spark, "/root/testdata/sf0.001").select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(result.fetchall())
+
+
+def test_clashing_columns(spark):
+    """Columns named like what the operators use inside stay as they are."""
+    from kerbwatch.llm.simhash import one_of_each
+
+    names = ["__hash", "__hash_2", "__text", "__new", "__id", "__turn", "own", "hash", "new", "spans", "made"]
+    texts = ["call password=abcd1234efgh now", "mail Mr John Smith at jo@example.org", "plain", None]
+    rows = [(i, t, "s", *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for made in (one_of_each(docs), secret_scan.masked(docs), pii.with_surrogates(docs, key="k")):
+        assert made.columns[: len(docs.columns)] == docs.columns
+        for r in made.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
