@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -61,9 +62,11 @@ class UnitIds:
     def _learn(self, units: list[str]) -> None:
         parts = []
         for unit in units:
-            stem = unit.rstrip(_MARKS)
-            if stem and stem[-1].lower()[-1].isalnum():  # a letter may turn into one and a mark
-                marks = unit[len(stem) :]
+            # As the tokenizer does; a letter may be taken apart into one and a mark.
+            form = unit if unit.isascii() else unicodedata.normalize("NFC", unit)
+            stem = form.rstrip(_MARKS)
+            if stem and stem[-1].lower()[-1].isalnum():
+                marks = form[len(stem) :]
             else:
                 stem, marks = unit, ""
             if _is_word(stem):

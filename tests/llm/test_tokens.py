@@ -111,3 +111,16 @@ def test_packing_holds_every_id_once(edge_docs, no_docs, group_rows):
         assert window["offset"].tolist() == [0, *window["length"].cumsum().tolist()[:-1]]
         assert window["length"].sum() <= 4096
     assert pack(no_docs, WORDS).collect() == []
+
+
+def test_every_letter_before_marks_equals_the_library():
+    """Also letters that normalisation takes apart."""
+    letters = [chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"ab{c}," for c in letters] + [f"{c}.{c}!" for c in letters]
+    units, library = UnitIds(WORDS), Tokenizer.from_file(WORDS)
+    expected = library.encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [
+        t for t, made, want in zip(texts, units.encode(texts), expected, strict=True)
+        if np.frombuffer(made, "<u4").tolist() != want.ids
+    ]
+    assert not wrong
