@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Characters that a task holds in unpacked form at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 # Bytes of the rows that go to a Python worker at once; a longer row goes alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Other columns of the input, whatever their names, go no further.
     """
-    return docs.select(
+    return bounded(docs).select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
 
@@ -75,11 +75,17 @@ def chosen(known: DataFrame, turn: Column, per_label: int) -> DataFrame:
     as wanted; nothing is sorted or shuffled but the counts, of which there is one for each label.
     """
     counts = known.groupBy("label").count().collect()
-    keep = F.lit(False)
-    for r in counts:
-        cut = min(_TURNS, _TURNS * per_label // r["count"])
-        keep = keep | ((F.col("label") == F.lit(r["label"])) & (turn < cut))
-    return known.filter(keep)
+    if not counts:
+        return known
+    cuts = [F.lit(min(_TURNS, _TURNS * per_label // r["count"])) for r in counts]
+    names = [F.lit(r["label"]) for r in counts]
+    return known.filter(turn < F.try_element_at(F.map_from_arrays(F.array(*names), F.array(*cuts)), F.col("label")))
+
+
+def stretch(text: Column, most: int, key: str) -> Column:
+    """The text, or of a longer one `most` characters from a place that the key's hash decides."""
+    room = F.greatest(F.char_length(text) - most, F.lit(0)) + 1
+    return F.substring(text, (F.pmod(F.xxhash64(key, F.lit(most)), room) + 1).cast("int"), F.lit(most))
 
 
 def collected(rows: DataFrame, per_label: int, labels: int) -> list[tuple[str, object]]:
@@ -93,15 +99,15 @@ def labelled_sample(
 ) -> list[tuple[str, object]]:
     """(text, label) of about `per_label` labelled documents of each label, for a fit on the driver.
 
-    Only keys whose remainder is not `left_out` are taken, and texts of at most `max_chars`. The sample
-    is drawn from the table of labels alone and then broadcast, as its size is set by the parameters
+    Only keys whose remainder is not `left_out` are taken, and of long texts a stretch of `max_chars`.
+    The sample is drawn from the table of labels alone and then broadcast, as its size is set by the parameters
     (two labels), so no text is shuffled. What comes to the driver is bounded by their product.
     """
     key = F.col("doc_id")
     known = labels.filter(key.isNotNull() & F.col(label).isNotNull() & (remainder(key, divisor) != left_out))
     known = known.select("doc_id", F.col(label).alias("label"))
     some = chosen(known, _turn("doc_id"), per_label).withColumn("turn", _turn("doc_id"))
-    texts = keyed_text(docs, "doc_id", "text").filter(F.char_length("text") <= max_chars)
+    texts = keyed_text(docs, "doc_id", "text").select("doc_id", stretch(F.col("text"), max_chars, "doc_id").alias("text"))
     return collected(texts.join(F.broadcast(some), "doc_id"), per_label, 2)
 
 
@@ -110,7 +116,7 @@ def own_sample(docs: DataFrame, label: str, divisor: int, left_out: int, per_lab
     key = F.col("doc_id")
     known = docs.filter(key.isNotNull() & F.col(label).isNotNull() & (remainder(key, divisor) != left_out))
     known = known.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(label).alias("label"))
-    some = chosen(known, _turn("doc_id"), per_label).filter(F.char_length("text") <= max_chars)
+    some = chosen(known, _turn("doc_id"), per_label).withColumn("text", stretch(F.col("text"), max_chars, "doc_id"))
     return collected(some.withColumn("turn", _turn("doc_id")), per_label, known.select("label").distinct().count())
 
 
@@ -155,4 +161,4 @@ def kept_rows(
             mask = np.concatenate([keep(texts[lo:hi]) for lo, hi in slices(texts)])
             yield batch.filter(pa.array(mask.astype(bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

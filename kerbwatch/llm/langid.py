@@ -98,7 +98,14 @@ def emissions(crf: Crf, words: list[str]) -> np.ndarray:
 def posteriors(
     scores: np.ndarray, lengths: np.ndarray, switch: np.ndarray, begin: np.ndarray
 ) -> np.ndarray:
-    """Forward-backward: probability of each language at each word of many chains.
+    """Forward-backward: probability of each language at each word of many chains."""
+    return marginals(scores, lengths, switch, begin, pairs=False)[0]
+
+
+def marginals(
+    scores: np.ndarray, lengths: np.ndarray, switch: np.ndarray, begin: np.ndarray, pairs: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each language at each word, and how often each is expected to follow each.
 
     `scores` holds the chains one after the other. All chains go through a place together, the longer
     ones further; numbers are scaled at every place, so no chain is too long.
@@ -133,7 +140,13 @@ def posteriors(
     both = forward * back
     out = np.empty_like(local)
     out[source] = both / both.sum(axis=1, keepdims=True)
-    return out
+    follows = np.zeros_like(step)
+    for t in range(1, longest if pairs else 0):
+        lo, hi = offset[t], offset[t + 1]
+        before = forward[offset[t - 1] : offset[t - 1] + hi - lo]
+        pair = before[:, :, None] * step * (local[lo:hi] * back[lo:hi])[:, None, :]
+        follows += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return out, follows
 
 
 def _training_sequences(rows: list[tuple[str, object]], languages: list[str], rng) -> list[list[tuple[str, int]]]:
@@ -195,7 +208,7 @@ def _learn_from(crf: Crf, chosen: list[list[tuple[str, int]]], squares: list[np.
     scores = np.add.reduceat(crf.weights[buckets], starts[:-1], axis=0)
     known = np.array([crf.lexicon_of.get(w, -1) for w in words])
     scores[known >= 0] += crf.lexicon[known[known >= 0]]
-    marginal = posteriors(scores, lengths, crf.switch, crf.begin)
+    marginal, follows = marginals(scores, lengths, crf.switch, crf.begin)
     wrong = marginal.copy()
     wrong[np.arange(len(truth)), truth] -= 1
     step = [np.zeros_like(x) for x in (crf.lexicon, crf.switch, crf.begin)]
@@ -205,10 +218,7 @@ def _learn_from(crf: Crf, chosen: list[list[tuple[str, int]]], squares: list[np.
     inner = np.ones(len(truth), bool)
     inner[firsts] = False
     here = np.flatnonzero(inner)
-    # Expected pairs of neighbours, from the marginals of both and the switch weights.
-    pair = marginal[here - 1][:, :, None] * marginal[here][:, None, :] * np.exp(crf.switch - crf.switch.max())
-    pair /= pair.sum(axis=(1, 2), keepdims=True)
-    step[1] += pair.sum(0)
+    step[1] += follows
     np.add.at(step[1], (truth[here - 1], truth[here]), -1)
     size = len(chosen)
     rows, inverse = np.unique(buckets, return_inverse=True)

@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pytest
 
 from kerbwatch.llm import langid, quality, toxicity
 
@@ -132,3 +133,60 @@ def test_quality_of_held_out_documents(corpus, edge_docs, no_docs):
     edge = quality.quality(edge_docs, labels).collect()
     assert len(edge) == edge_docs.count() and all(0 <= r.score <= 1 for r in edge)
     assert quality.quality(no_docs, labels).collect() == []
+
+
+def test_expected_pairs_are_the_gradient_of_the_likelihood():
+    """The log of the sum over all paths, moved by a little in each switch weight."""
+    rng = np.random.default_rng(6)
+    lengths = np.array([4, 1, 3])
+    scores, switch, begin = rng.normal(size=(8, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+
+    def log_total(weights):
+        total, at = 0.0, 0
+        for n in lengths:
+            paths = itertools.product(range(3), repeat=int(n))
+            values = [
+                begin[p[0]] + sum(scores[at + t, k] for t, k in enumerate(p)) + sum(weights[a, b] for a, b in zip(p, p[1:]))
+                for p in paths
+            ]
+            total += np.log(np.exp(values).sum())
+            at += n
+        return total
+
+    _, follows = langid.marginals(scores, lengths, switch, begin)
+    for a, b in itertools.product(range(3), repeat=2):
+        moved = np.zeros((3, 3))
+        moved[a, b] = 1e-5
+        slope = (log_total(switch + moved) - log_total(switch - moved)) / 2e-5
+        assert follows[a, b] == pytest.approx(slope, abs=1e-6)
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    words = {"aa": "lorem ipsum dolor amet magna tempor".split(), "bb": "zwick krauz schwor blitzk wurzt knarz".split()}
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(words[lang], 2500)), lang) for i in range(40) for lang in [("aa", "bb")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(r[1]) for r in rows) > langid.FIT_CHARS
+    got = {r.doc_id: r.lang_pred for r in langid.language(docs, langid.learn(docs)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_samples_of_very_many_labels(spark):
+    from pyspark.sql import functions as F
+
+    from kerbwatch.llm.common import own_sample
+
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("words").alias("text"), (F.col("id") % 5000).cast("string").alias("lang"))
+    rows = own_sample(docs, "lang", 4, 2, 300, 100)
+    assert len({label for _, label in rows}) > 4500
+
+
+def test_stretches_of_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    from kerbwatch.llm.common import stretch
+
+    text = "".join(chr(97 + i % 26) for i in range(1000))
+    docs = spark.createDataFrame([(i, text if i else "short") for i in range(30)], "doc_id long, text string")
+    got = [r.t for r in docs.select(stretch(F.col("text"), 50, "doc_id").alias("t")).collect()]
+    assert got[0] == "short" and all(len(t) == 50 and t in text for t in got[1:]) and len(set(got)) > 10
