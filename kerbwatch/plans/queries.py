@@ -155,6 +155,7 @@ def export_zone_history(spark, sf_dir):
 
 @query
 def export_tables(spark, sf_dir):
+    """The names and whole numbers of every row of the exported tables, as read back from the files."""
     records_ = cleaned_once(spark, sf_dir)
     seen = stages.active_windows(records_, S)
     reference = stages.active_reference(records_, seen, S)
@@ -163,18 +164,20 @@ def export_tables(spark, sf_dir):
         prioritise.add_operational_scores(stages.baseline_predictions(features, S)), "scored"
     )
     tables = {
-        "zone_reference": reference,
-        "patrol_plan": patrol.patrol_plan(results, TEAMS, SPACING, S),
-        "station_summary": summaries.station_summary(records_),
-    }
-    counts = None
-    for name, table in tables.items():
+        "zone_reference": (reference, ["zone_id", "cell_x", "cell_y", "police_station", "primary_junction", "total_records", "zone_name"]),
+        "patrol_plan": (
+            patrol.patrol_plan(results, TEAMS, SPACING, S),
+            ["zone_id", "team", "rank", "zone_name", "police_station", "recommended_window", "impact_score", "risk_level", "top_reason", "recommended_action"],
+        ),
+        "station_summary": (summaries.station_summary(records_), ["police_station", "violation_records", "unique_zones"]),
+    }
+    told = None
+    for name, (table, columns) in tables.items():
         path = exports.write_table(table, scratch_path(spark, name))
-        count = spark.read.option("header", True).csv(path).agg(
-            F.lit(name).alias("artifact"), F.count("*").alias("rows")
-        )
-        counts = count if counts is None else counts.unionByName(count)
-    return counts
+        back = spark.read.option("header", True).option("escape", '"').csv(path)
+        rows = back.select(F.lit(name).alias("artifact"), F.concat_ws("|", *columns).alias("content"))
+        told = rows if told is None else told.unionByName(rows)
+    return told
 
 
 @query

@@ -479,10 +479,6 @@ oracle("export_zone_history", f"""
 SELECT w.zone_id, w.window_start, {nums("violation_count", "impact_units")}, r.police_station, r.zone_name
 FROM war w JOIN kept_ref r USING (zone_id)
 WHERE window_start >= {TEST_START} - INTERVAL 35 DAY AND window_start < {TEST_END}""")
-oracle("export_tables", """
-SELECT 'zone_reference' AS artifact, count(*) AS rows FROM kept_ref
-UNION ALL SELECT 'patrol_plan', count(*) FROM pln
-UNION ALL SELECT 'station_summary', count(DISTINCT police_station) FROM cln""", PLAN)
 oracle("export_json", f"SELECT system, target, metric, {nums('value')} FROM met")
 oracle("read_artifacts", f"""
 SELECT zone_id, cell_x, cell_y, police_station, primary_junction, total_records, zone_name,
@@ -684,6 +680,13 @@ SELECT {W}, 'Team ' || rank AS team, rank, zone_id, zone_name, police_station,
   strftime({W}, '%d %b, %I:%M %p') || '–' || strftime({W} + INTERVAL 2 HOUR, '%I:%M %p') AS recommended_window,
   impact_score, risk_level, top_reason, {ACTION} AS recommended_action FROM pln"""
 oracle("patrol_plan", PLAN_SELECT, PLAN)
+oracle("export_tables", f"""
+SELECT 'zone_reference' AS artifact,
+  concat_ws('|', zone_id, cell_x, cell_y, police_station, primary_junction, total_records, zone_name) AS content FROM kept_ref
+UNION ALL SELECT 'patrol_plan', concat_ws('|', zone_id, team, rank, zone_name, police_station, recommended_window,
+  impact_score, risk_level, top_reason, recommended_action) FROM ({PLAN_SELECT})
+UNION ALL SELECT 'station_summary', concat_ws('|', police_station, count(*), count(DISTINCT zone_id)) FROM cln
+  GROUP BY police_station""", PLAN)
 oracle("patrol_plan_wide", PLAN_SELECT, plan_steps("2.5e3"))
 oracle("patrol_plan_station", PLAN_SELECT, plan_steps("6e2", "police_station = 'Station 1'"))
 
