@@ -9,27 +9,29 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kerbwatch.llm.common import batches
+from kerbwatch.llm.common import batches, bounded
 from kerbwatch.session import staged
 
 K = 20
 QUERY_DIVISOR = 20
-# Vectors the index is fitted on (centroids, graph, pruning); every row is indexed.
-FIT_ROWS = 20_000
+# Vectors the index is fitted on (centroids, graph, pruning); every row is indexed. Many lists take more.
+FIT_ROWS, FIT_ROWS_PER_LIST = 20_000, 12
 CALIBRATION_QUERIES = 200
-ROWS_PER_LIST = 20_000
-LEAST_LISTS, MOST_LISTS = 64, 4096
+ROWS_PER_LIST = 4_000
+LEAST_LISTS, MOST_LISTS = 64, 16_384
 # A vector near a border goes to several lists: at most so many, none much farther than the nearest.
-REPLICAS, REPLICA_RATIO = 4, 1.15
+# How much farther is decided by the fit, see `fit`.
+REPLICAS, REPLICA_RATIOS = 4, (1.01, 1.03, 1.06, 1.15)
 SHARD_ROWS = 8_192  # rows of a list that one group holds; longer lists lie in several shards
-BLOCK_QUERIES = 4_096  # queries that one group holds
+BLOCK_QUERIES = 4_096  # queries of a list that one group holds; more of them make several blocks
 DEGREE = 16  # edges of a centroid in the graph
 LEAST_EXPANDED = 24  # centroids a graph search looks at before it may stop
-WANTED = 0.97  # share of true neighbours the pruning is calibrated to reach on the fit sample
+WANTED = 0.96  # share of true neighbours the pruning is calibrated to reach on the fit sample
+AT_ONCE = 1 << 21  # distances held at once
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,7 @@ class Index:
     graph: list[np.ndarray]
     norm: float
     ratio: float
+    replica_ratio: float
 
 
 def lifted(vectors: np.ndarray, norm: float) -> np.ndarray:
@@ -60,18 +63,26 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def blocks_of(rows: int, lists: int) -> Iterator[slice]:
+    """Ranges of rows whose distances to all lists are few enough to be held at once."""
+    step = max(1, AT_ONCE // max(1, lists))
+    return (slice(lo, lo + step) for lo in range(0, rows, step))
+
+
 def balanced_centroids(points: np.ndarray, lists: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     """k-means whose crowded clusters push points away, so that lists come out of like length."""
     rng = np.random.default_rng(seed)
     centroids = points[rng.choice(len(points), lists, replace=len(points) < lists)].copy()
     price = np.zeros(lists)
     for _ in range(rounds):
-        away = distances(points, centroids)
-        nearest = (away + price).argmin(axis=1)
-        counts = np.bincount(nearest, minlength=lists)
-        price += 0.02 * away.min(axis=1).mean() * (counts / (len(points) / lists) - 1)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, nearest, points)
+        counts, sums, least = np.zeros(lists, np.int64), np.zeros_like(centroids), 0.0
+        for some in blocks_of(len(points), lists):
+            away = distances(points[some], centroids)
+            nearest = (away + price).argmin(axis=1)
+            counts += np.bincount(nearest, minlength=lists)
+            np.add.at(sums, nearest, points[some])
+            least += away.min(axis=1).sum()
+        price += 0.02 * least / len(points) * (counts / (len(points) / lists) - 1)
         filled = counts > 0
         centroids[filled] = sums[filled] / counts[filled, None]
     return centroids
@@ -81,9 +92,10 @@ def centroid_graph(centroids: np.ndarray, degree: int = DEGREE) -> list[np.ndarr
     """Neighbours of each centroid: the nearest ones, those it is near to, and a ring through all."""
     n = len(centroids)
     edges: list[set[int]] = [{(i + 1) % n, (i - 1) % n} for i in range(n)]
-    for lo in range(0, n, 512):
-        away = distances(centroids[lo : lo + 512], centroids)
-        for i, near in enumerate(np.argsort(away, axis=1, kind="stable")[:, : degree + 1].tolist(), lo):
+    few = min(degree + 1, n)
+    for some in blocks_of(n, n):
+        away = distances(centroids[some], centroids)
+        for i, near in enumerate(np.argpartition(away, few - 1, axis=1)[:, :few].tolist(), some.start):
             for j in near:
                 edges[i].add(j)
                 edges[j].add(i)
@@ -129,52 +141,72 @@ def enough(found: np.ndarray, query: np.ndarray, index: Index, sizes: np.ndarray
     return order[: int(np.searchsorted(np.cumsum(sizes[order]), wanted)) + 1]
 
 
-def lists_of(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _lists_taken(points: np.ndarray, centroids: np.ndarray, replica_ratio: float) -> np.ndarray:
+    """Lists of each point, REPLICAS columns, -1 where there are fewer."""
+    few = min(4 * REPLICAS, len(centroids))
+    taken = np.full((len(points), REPLICAS), -1)
+    for some in blocks_of(len(points), max(len(centroids), 64 * points.shape[1])):
+        away = distances(points[some], centroids)
+        near = np.argpartition(away, few - 1, axis=1)[:, :few]
+        near = np.take_along_axis(near, np.argsort(np.take_along_axis(away, near, 1), axis=1, kind="stable"), 1)
+        own = taken[some]  # a view
+        own[:, 0] = near[:, 0]
+        rows = np.arange(len(own))
+        count = np.ones(len(own), np.int64)
+        least = away[rows, near[:, 0]]
+        for k in range(1, few):
+            c = near[:, k]
+            d = away[rows, c]
+            ok = (count < REPLICAS) & (d <= replica_ratio * least)
+            if not ok.any():
+                break
+            for r in range(REPLICAS):
+                between = np.sqrt(((centroids[own[:, r]] - centroids[c]) ** 2).sum(axis=1))
+                ok &= (own[:, r] < 0) | (between > 0.5 * d)
+            own[rows[ok], count[ok]] = c[ok]
+            count[ok] += 1
+    return taken
+
+
+def lists_of(points: np.ndarray, centroids: np.ndarray, replica_ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """(point, list): the nearest list, and further ones across a border.
 
     A further list is taken if it is little farther than the nearest and the point is nearer to it
     than it is to the lists taken already, which would be searched along with it.
     """
-    away = distances(points, centroids)
-    between = distances(centroids, centroids)
-    few = min(4 * REPLICAS, len(centroids))
-    near = np.argpartition(away, few - 1, axis=1)[:, :few]
-    near = np.take_along_axis(near, np.argsort(np.take_along_axis(away, near, 1), axis=1, kind="stable"), 1)
-    taken = np.full((len(points), REPLICAS), -1)
-    taken[:, 0] = near[:, 0]
-    count = np.ones(len(points), np.int64)
-    rows = np.arange(len(points))
-    least = away[rows, near[:, 0]]
-    for k in range(1, few):
-        c = near[:, k]
-        d = away[rows, c]
-        ok = (count < REPLICAS) & (d <= REPLICA_RATIO * least)
-        for r in range(REPLICAS):
-            ok &= (taken[:, r] < 0) | (between[taken[:, r], c] > 0.5 * d)
-        taken[rows[ok], count[ok]] = c[ok]
-        count[ok] += 1
+    taken = _lists_taken(points, centroids, replica_ratio)
     point, slot = np.nonzero(taken >= 0)
     return point, taken[point, slot]
 
 
 def fit(sample: np.ndarray, norm: float, lists: int, seed: int = 3) -> Index:
-    """Centroids and graph of a sample, and the pruning ratio that finds WANTED of its neighbours."""
+    """Centroids and graph of a sample, and the ratios of replication and of pruning.
+
+    For each way to replicate, the pruning ratio is the one that finds WANTED of the sample's
+    neighbours; the way that then leaves fewest rows to compare is kept. Vectors with clear clusters
+    gain by replicas at the borders, vectors without any would only be compared several times.
+    """
     points = lifted(sample, norm)
     centroids = balanced_centroids(points, min(lists, len(points)), seed=seed)
     graph = centroid_graph(centroids)
     rng = np.random.default_rng(seed)
     chosen = rng.choice(len(sample), min(CALIBRATION_QUERIES, len(sample)), replace=False)
-    queries = lifted_queries(sample[chosen], norm)
-    away = distances(queries, centroids)
-    member = np.zeros((len(sample), len(centroids)), bool)
-    member[lists_of(points, centroids)] = True
+    away = distances(lifted_queries(sample[chosen], norm), centroids)
+    away /= np.maximum(away.min(axis=1), 1e-300)[:, None]
     products = sample[chosen] @ sample.T
     products[np.arange(len(chosen)), chosen] = -np.inf
     top = np.argsort(-products, axis=1, kind="stable")[:, : min(K, max(1, len(sample) - 1))]
-    # A neighbour is found as soon as the ratio reaches the nearest list that it lies in.
-    reach = np.stack([np.where(member[t], a / a.min(), np.inf).min(axis=1) for t, a in zip(top, away, strict=True)])
-    ratio = float(np.quantile(reach, WANTED)) if reach.size else 1.0
-    return Index(centroids, graph, norm, ratio * (1 + 1e-9))
+    ways = []
+    for replica_ratio in REPLICA_RATIOS:
+        taken = _lists_taken(points, centroids, replica_ratio)
+        sizes = np.bincount(taken[taken >= 0], minlength=len(centroids))
+        # A neighbour is found as soon as the ratio reaches the nearest list that it lies in.
+        reach = np.stack([np.where(taken[t] >= 0, a[taken[t]], np.inf).min(axis=1) for t, a in zip(top, away, strict=True)])
+        ratio = float(np.quantile(reach, WANTED)) * (1 + 1e-9)
+        compared = float(((away <= ratio) * sizes).sum(axis=1).mean())
+        ways.append((compared, replica_ratio, ratio))
+    _, replica_ratio, ratio = min(ways)
+    return Index(centroids, graph, norm, ratio, replica_ratio)
 
 
 def _valid(vector: Column, size: int) -> Column:
@@ -199,10 +231,13 @@ def neighbours(
     """query_id, rank, vec_id, score: the `k` nearest found of every vector whose id is divisible.
 
     Nearness is the largest inner product, computed in double precision on the original vectors;
-    ties go to the smaller id. The index (centroids, their graph, the pruning ratio; 2 MB for 64
-    dimensions) is fitted on a bounded sample. Every row is put into the lists it is near to; lists
-    that are long, as for a vector that many rows share, lie in shards of bounded size, all of which
-    are searched. Queries meet the lists that the graph search and the ratio leave, in blocks.
+    ties go to the smaller id. The index (centroids, their graph, the ratios; 2 MB for 64 dimensions
+    and 4,096 lists) is fitted on a bounded sample. Every row is put into the lists it is near to, but
+    of rows with equal vectors those that `k + 1` smaller ids precede can be nobody's neighbour and are
+    left out. Lists that are long lie in shards of bounded size, all of which are searched. Queries
+    meet the lists that the graph search and the ratio leave; lists that many queries ask meet them
+    in blocks. Blocks follow the queries of a list, so rows travel in proportion to the table while
+    lists do (up to MOST_LISTS).
 
     Vectors that are null, zero, hold a null or non-finite component, or have another size than
     most, take no part, nor do null ids. Of rows of one id the largest vector counts. With fewer
@@ -222,17 +257,17 @@ def neighbours(
     about = valid.agg(F.count("*").alias("rows"), F.max(length).alias("norm")).first()
     if not about["rows"]:
         return spark.createDataFrame([], out)
-    turn = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1_000_000))
-    share = min(1.0, FIT_ROWS / about["rows"])
-    sample = valid.filter(turn < int(1_000_000 * share)).select("vec_id", "v")
-    rows = sorted(sample.collect() or valid.limit(FIT_ROWS).collect(), key=lambda r: (r["vec_id"], r["v"]))
     lists = max(LEAST_LISTS, min(MOST_LISTS, about["rows"] // ROWS_PER_LIST))
+    turn = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1_000_000_000))
+    share = min(1.0, max(FIT_ROWS, FIT_ROWS_PER_LIST * lists) / about["rows"])
+    sample = valid.filter(turn < int(1_000_000_000 * share)).select("vec_id", "v")
+    rows = sorted(sample.collect() or valid.limit(FIT_ROWS).collect(), key=lambda r: (r["vec_id"], r["v"]))
     index = fit(np.array([r["v"] for r in rows], np.float64), float(about["norm"]) * (1 + 1e-12), lists)
 
     def assign(batch_rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batch_rows):
             points = lifted(_stacked(batch.column("v")), index.norm)
-            point, of = lists_of(points, index.centroids)
+            point, of = lists_of(points, index.centroids, index.replica_ratio)
             kept = [batch.column(c).take(pa.array(point)) for c in ("vec_id", "v")]
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), *kept], ["list", "vec_id", "v"])
 
@@ -246,26 +281,29 @@ def neighbours(
             yield pa.RecordBatch.from_arrays([of, *kept], ["list", "vec_id", "v"])
 
     schema = "list int, vec_id bigint, v array<double>"
-    listed = staged(valid.mapInArrow(assign, schema), "lists")
-    # Rows of each list: at most MOST_LISTS numbers.
-    rows_of = np.zeros(len(index.centroids), np.int64)
-    for r in listed.groupBy("list").count().collect():
-        rows_of[r["list"]] = r["count"]
+    # Equal vectors score alike, so of them only the smallest ids can be among the best; the first
+    # of a vector that a third of all rows share are found before anything is shuffled.
+    alike = W.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    first = valid.withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= k + 1)
+    listed = staged(bounded(first.select("vec_id", "v")).mapInArrow(assign, schema), "lists")
+    rows_of = _counted(listed, len(index.centroids))
     asked = valid.filter(F.pmod("vec_id", F.lit(query_divisor)) == 0)
-    sent = staged(asked.mapInArrow(choose, schema), "queries")
-    shards = F.get(F.lit([int(n) for n in -(-rows_of // SHARD_ROWS)]), F.col("list"))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    left = listed.withColumns(
-        {
-            "shard": F.pmod(F.xxhash64("vec_id"), shards).cast("int"),
-            "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
-        }
+    sent = staged(bounded(asked).mapInArrow(choose, schema), "queries")
+    asked_of = _counted(sent, len(index.centroids))
+    parts = _parts_of_lists(spark, rows_of, asked_of)
+    left = listed.join(parts, "list").select(
+        "list",
+        F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        "vec_id",
+        "v",
     )
-    right = sent.filter(shards > 0).withColumns(
-        {
-            "shard": F.explode(F.sequence(F.lit(0), shards - 1)),
-            "block": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"),
-        }
+    right = sent.join(parts, "list").select(
+        "list",
+        F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
+        F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").cast("int").alias("block"),
+        "vec_id",
+        "v",
     )
     keys = ["list", "shard", "block"]
 
@@ -286,12 +324,35 @@ def neighbours(
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         compare, "query_id bigint, vec_id bigint, score double"
     )
-    once = met.dropDuplicates(["query_id", "vec_id"])  # found in several lists, with equal scores
+    # Found in several lists, with equal scores; all three steps share one exchange by query.
     nearest = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = met.withColumn("rank", F.dense_rank().over(nearest)).filter(F.col("rank") <= k)
+    once = near.dropDuplicates(["query_id", "vec_id"])
     ranked = once.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _counted(listed: DataFrame, lists: int) -> np.ndarray:
+    """Rows of each list: at most MOST_LISTS numbers."""
+    rows = np.zeros(lists, np.int64)
+    for r in listed.groupBy("list").count().collect():
+        rows[r["list"]] = r["count"]
+    return rows
+
+
+def parts_of(rows_of: np.ndarray, asked_of: np.ndarray) -> list[tuple[int, int, int]]:
+    """(list, shards of its rows, blocks of its queries) of the lists that hold rows and are asked."""
+    used = np.flatnonzero((rows_of > 0) & (asked_of > 0))
+    shards, blocks = -(-rows_of[used] // SHARD_ROWS), -(-asked_of[used] // BLOCK_QUERIES)
+    return list(zip(used.tolist(), shards.tolist(), blocks.tolist(), strict=True))
+
+
+def _parts_of_lists(spark: SparkSession, rows_of: np.ndarray, asked_of: np.ndarray) -> DataFrame:
+    """The same as a table of at most MOST_LISTS short rows, to be broadcast."""
+    table = spark.createDataFrame(parts_of(rows_of, asked_of), "list int, shards int, blocks int")
+    return F.broadcast(table)
+
+
 def best_of(
     query: int, vector: np.ndarray, rough: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 ) -> pd.DataFrame:

@@ -68,7 +68,7 @@ def test_graph_search_finds_what_the_ratio_allows():
         found += len(exact & set(ann.probed(index, q).tolist()))
         wanted += len(exact)
     assert found / wanted > 0.98
-    counts = np.bincount(ann.lists_of(ann.lifted(sample, norm), index.centroids)[1], minlength=64)
+    counts = np.bincount(ann.lists_of(ann.lifted(sample, norm), index.centroids, index.replica_ratio)[1], minlength=64)
     assert counts.max() < 6 * counts.mean()
 
 
@@ -86,3 +86,41 @@ def test_odd_vectors_take_no_part(spark):
     assert ann.neighbours(spark.createDataFrame(odd[:5], SCHEMA)).collect() == []
     assert ann.neighbours(spark.createDataFrame([(1, [1.0, 2.0], 0)], SCHEMA)).collect() == []
     assert ann.neighbours(spark.createDataFrame([(20, [1.0, 2.0], 0)], SCHEMA)).collect() == []
+
+
+def test_blocks_follow_the_queries_of_a_list():
+    rows, asked = np.array([20_000, 100, 0, 50]), np.array([4_097, 40_000_000, 7, 0])
+    parts = ann.parts_of(rows, asked)
+    assert parts == [(0, 3, 2), (1, 1, 9766)]  # lists without rows or without queries take no part
+    # Ten times the table in ten times the lists, each asked as often: ten times the copies.
+    copies = sum(rows[i] * blocks for i, _, blocks in parts)
+    grown = ann.parts_of(np.tile(rows, 10), np.tile(asked, 10))
+    assert sum(np.tile(rows, 10)[i] * blocks for i, _, blocks in grown) == 10 * copies
+
+
+def test_equal_vectors_beyond_the_best_are_left_out_exactly(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(300, 6)).astype(np.float32).astype(np.float64)
+    vectors[rng.permutation(300)[:200]] = vectors[7]  # queries among the copies too
+    ids = np.arange(300)
+    rows = [(int(i), [float(x) for x in v], 0) for i, v in zip(ids, vectors, strict=True)]
+    got = ann.neighbours(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    expected = brute(ids, vectors)
+    copies = np.flatnonzero((vectors == vectors[7]).all(axis=1))
+    for q in set(copies[copies % 20 == 0].tolist()):
+        own = got[got["query_id"] == q].sort_values("rank")
+        equal = [int(c) for c in copies if c != q]
+        kept = [v for v in own["vec_id"] if v in set(equal)]
+        assert kept == [v for v in expected[q] if v in set(equal)]
+
+
+def test_distances_in_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    sample = rng.normal(size=(700, 10))
+    norm = float(np.sqrt((sample * sample).sum(axis=1)).max())
+    whole = ann.fit(sample, norm, 32)
+    monkeypatch.setattr(ann, "AT_ONCE", 32 * 50)
+    cut = ann.fit(sample, norm, 32)
+    assert np.allclose(whole.centroids, cut.centroids) and whole.replica_ratio == cut.replica_ratio
+    points = ann.lifted(sample, norm)
+    assert len(ann.lists_of(points, cut.centroids, 1.15)[0]) == len(ann.lists_of(points, whole.centroids, 1.15)[0])
