@@ -33,6 +33,8 @@ CONTEXT_MEANS = {
     "active_officers_mean_84": "active_officers",
     "record_confidence_mean_84": "mean_record_confidence",
 }
+# What running sums are kept of.
+RUNNING = ["violation_count", "impact_units", *SHARES.values(), *CONTEXT_MEANS.values()]
 
 
 def _by_zone() -> WindowSpec:
@@ -53,6 +55,19 @@ def _with_running(panel: DataFrame, columns: list[str]) -> DataFrame:
     return panel.withColumns(new) if new else panel
 
 
+def with_history(panel: DataFrame, carried: DataFrame, rows_before: int) -> DataFrame:
+    """Running sums of a panel that starts in the middle, going on from what came before it.
+
+    `carried` has one row per zone with sums of the `RUNNING` columns over the time before (stepped
+    ones in whole steps; zones without a row had nothing), `rows_before` is the number of windows.
+    """
+    before = carried.select("zone_id", *[F.col(c).alias(f"_old_{c}") for c in RUNNING])
+    df = _with_running(repeat_vehicle_rate(panel), RUNNING).join(before, "zone_id", "left")
+    added = {f"_run_{c}": F.col(f"_run_{c}") + F.coalesce(f"_old_{c}", F.lit(0)) for c in RUNNING}
+    df = df.withColumns(added | {"_row": F.col("_row") + rows_before})
+    return df.drop(*[f"_old_{c}" for c in RUNNING])
+
+
 def _rolling_sum(column: str, width: int, by_zone: WindowSpec, scale: float = 1e8) -> Column:
     run = f"_run_{column}"
     past = F.coalesce(F.lag(run, width).over(by_zone), F.lit(0))
@@ -170,10 +185,7 @@ def warmup_filter(panel: DataFrame, temporal: TemporalSettings) -> DataFrame:
 
 def build_features(panel: DataFrame, temporal: TemporalSettings) -> DataFrame:
     df = repeat_vehicle_rate(panel)
-    df = _with_running(
-        df, ["violation_count", "impact_units", *SHARES.values(), *CONTEXT_MEANS.values()]
-    )
-    df = lag_features(df, temporal)
+    df = lag_features(_with_running(df, RUNNING), temporal)
     df = rolling_means(df, temporal)
     df = rolling_shares(df, temporal)
     df = rolling_context_means(df, temporal)

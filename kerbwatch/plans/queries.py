@@ -30,6 +30,7 @@ from kerbwatch.operators import (
     zones,
 )
 from kerbwatch.operators import features as feats
+from kerbwatch.plans import refresh as store
 from kerbwatch.plans import stages
 from kerbwatch.session import scratch_path, staged, tune
 from kerbwatch.sources import exports, panel_store, records
@@ -875,6 +876,44 @@ def stream_dedupe_last(spark, sf_dir):
     return stream.live_records(replayed_changes(spark, sf_dir))
 
 
+# Refreshed tables
+
+
+_REFRESHED: dict[tuple[str, str], str] = {}
+
+
+def refreshed_store(spark, sf_dir):
+    """A store that took in the table in two batches: then the corrections and one day of late records.
+
+    Once per session and table.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _REFRESHED:
+        root = scratch_path(spark, "store")
+        arrived = staged(event_records(spark, sf_dir), "arrived")
+        store.create_store(spark, root, arrived, S)
+        late = (F.col("created_datetime").substr(1, 10) == "2024-01-27") | (F.col("ingest_seq") > 0)
+        for batch in (arrived.filter(~late), arrived.filter(late)):
+            store.refresh(batch, root, S)
+        _REFRESHED[key] = root
+    return _REFRESHED[key]
+
+
+@query
+def refresh_intermediate(spark, sf_dir):
+    """Records and units per day after a refresh."""
+    days = store.read_stored(spark, refreshed_store(spark, sf_dir), "records").groupBy("window_date")
+    return days.agg(F.count("*").alias("records"), F.sum("obstruction_units").alias("units"))
+
+
+@query
+def refresh_features(spark, sf_dir):
+    """Every feature of every kept row after a refresh, but for the columns of the zone."""
+    df = store.read_stored(spark, refreshed_store(spark, sf_dir), "features")
+    of_zone = ("cell_x", "cell_y", "centroid_latitude", "centroid_longitude")
+    return df.select(*TARGET, *[c for c in feats.feature_columns(T) if c not in of_zone])
+
+
 # Fitted forecasts
 
 

@@ -599,6 +599,13 @@ SELECT {TGT}, cell_x, cell_y, target_is_weekend, target_is_peak, {nums(
     "centroid_latitude", "centroid_longitude", *ANGLES, *LAG_NAMES, *ROLL_NAMES, "trend_ratio",
     "impact_trend_ratio", *SHARES, *CONTEXT, *EXPANDING)}
 FROM war JOIN kept_ref USING (zone_id)""")
+oracle("refresh_features", f"""
+SELECT {TGT}, target_is_weekend, target_is_peak, {nums(
+    *ANGLES, *LAG_NAMES, *ROLL_NAMES, "trend_ratio", "impact_trend_ratio", *SHARES, *CONTEXT, *EXPANDING)}
+FROM war""")
+oracle("refresh_intermediate", f"""
+SELECT CAST(window_start AS DATE) AS window_date, count(*) AS records, {num("sum(obstruction_units)", "units")}
+FROM cln GROUP BY 1""")
 
 # Splits and samples
 SIDE = f"zone_id, count(*) AS rows, min({W}) AS first_target, max({W}) AS last_target"
