@@ -50,6 +50,43 @@ def laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(padded, np.uint8), halves
 
 
+def combined(net: Net, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities and hidden layer of pooled replies."""
+    hidden = np.maximum(pooled @ net["hidden"] + net["hidden_bias"], 0)
+    raw = (hidden @ net["out"] + net["out_bias"])[:, 0]
+    return 1 / (1 + np.exp(-np.clip(raw, -30, 30))), hidden
+
+
+def score_long(net: Net, text: str, at_once: int) -> float:
+    """Probability of one text as `forward` gives it, with the replies to about `at_once` bytes held.
+
+    Running best and sum of the chunks go from piece to piece, and so does the last half-chunk, which
+    makes a chunk with the first of the next piece.
+    """
+    size = STEP * HALF
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    halves = max(1, -(-(len(raw) + STEP) // size))
+    piece = max(1, at_once // size)
+    best, total, before = np.zeros(FILTERS, np.float32), np.zeros(FILTERS), np.empty((0, FILTERS), np.float32)
+    for lo in range(0, halves, piece):
+        hi = min(halves, lo + piece)
+        data = np.zeros((hi - lo) * size + STEP, np.uint8)  # the block after the last is looked at too
+        own = raw[lo * size : hi * size + STEP]
+        data[: len(own)] = own
+        blocks = net["bytes"][data].reshape(-1, STEP * WIDTH)
+        reply = blocks[:-1] @ net["near"] + blocks[1:] @ net["far"] + net["filter_bias"]
+        half_max = np.maximum(reply, 0).reshape(-1, HALF, FILTERS).max(axis=1)
+        rows = np.concatenate((before, half_max))
+        chunks = np.maximum(rows[:-1], rows[1:])
+        before = rows[-1:]
+        if hi == halves:
+            chunks = np.concatenate((chunks, before))  # the last half stands alone
+        best = np.maximum(best, chunks.max(axis=0, initial=0))
+        total += chunks.sum(axis=0, dtype=np.float64)
+    pooled = np.concatenate((best, (total / halves).astype(np.float32)))
+    return float(combined(net, pooled[None])[0][0])
+
+
 def forward(net: Net, data: np.ndarray, halves: np.ndarray) -> dict[str, np.ndarray]:
     """Probabilities of the texts and what the backward step needs.
 
@@ -76,10 +113,9 @@ def forward(net: Net, data: np.ndarray, halves: np.ndarray) -> dict[str, np.ndar
     top = np.maximum.reduceat(chunk_max, starts, axis=0)
     mean = np.add.reduceat(chunk_max, starts, axis=0) / halves[:, None].astype(np.float32)
     pooled = np.concatenate((top, mean), axis=1)
-    hidden = np.maximum(pooled @ net["hidden"] + net["hidden_bias"], 0)
-    raw = (hidden @ net["out"] + net["out_bias"])[:, 0]
+    p, hidden = combined(net, pooled)
     return {
-        "p": 1 / (1 + np.exp(-np.clip(raw, -30, 30))), "hidden": hidden, "pooled": pooled,
+        "p": p, "hidden": hidden, "pooled": pooled,
         "reply": reply, "half_max": half_max, "chunk_max": chunk_max, "blocks": blocks,
         "starts": starts, "ends": ends,
     }
@@ -155,14 +191,16 @@ def fit(rows: list[tuple[str, object]], epochs: int = EPOCHS, seed: int = 7) ->
 
 
 def score_texts(net: Net, texts: list[str], at_once: int = 1 << 19) -> np.ndarray:
-    """Probability of each text, whole texts, about `at_once` bytes of them at a time."""
+    """Probability of each text, whole texts, about `at_once` bytes at a time; longer texts in pieces."""
     order = np.argsort([len(t) for t in texts], kind="stable")
     out = np.empty(len(texts))
     lo, held = 0, 0
     for i in range(len(order) + 1):
         if i == len(order) or held and held + len(texts[order[i]]) > at_once:
             some = order[lo:i]
-            if len(some):
+            if len(some) == 1 and held > at_once:
+                out[some] = score_long(net, texts[some[0]], at_once)
+            elif len(some):
                 out[some] = forward(net, *laid_out([texts[k] for k in some]))["p"]
             lo, held = i, 0
         if i < len(order):

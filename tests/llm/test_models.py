@@ -190,3 +190,28 @@ def test_stretches_of_long_texts(spark):
     docs = spark.createDataFrame([(i, text if i else "short") for i in range(30)], "doc_id long, text string")
     got = [r.t for r in docs.select(stretch(F.col("text"), 50, "doc_id").alias("t")).collect()]
     assert got[0] == "short" and all(len(t) == 50 and t in text for t in got[1:]) and len(set(got)) > 10
+
+
+def test_replies_of_the_network_equal_plain_loops():
+    net = quality.new_net(seed=3)
+    rng = np.random.default_rng(5)
+    net["filter_bias"] = rng.normal(size=quality.FILTERS).astype(np.float32)
+    for text in ("", "abc", "x" * 253, "Grüße an alle. " * 40):
+        raw = text.encode()
+        size = quality.STEP * quality.HALF
+        halves = max(1, -(-(len(raw) + quality.STEP) // size))
+        padded = raw.ljust(halves * size + quality.STEP, b"\0")
+        best = []
+        for half in range(halves):
+            replies = []
+            for at in range(half * size, (half + 1) * size, quality.STEP):
+                near = np.concatenate([net["bytes"][b] for b in padded[at : at + quality.STEP]])
+                far = np.concatenate([net["bytes"][b] for b in padded[at + quality.STEP : at + 2 * quality.STEP]])
+                replies.append(np.maximum(near @ net["near"] + far @ net["far"] + net["filter_bias"], 0))
+            best.append(np.max(replies, axis=0))
+        chunks = [np.maximum(a, b) for a, b in itertools.pairwise(best)] + [best[-1]]
+        pooled = np.concatenate((np.max(chunks, axis=0), np.mean(chunks, axis=0)))
+        expected = quality.combined(net, pooled[None])[0][0]
+        assert np.isclose(quality.forward(net, *quality.laid_out([text]))["p"][0], expected, atol=1e-5)
+        for at_once in (1, 700, 1 << 19):
+            assert np.isclose(quality.score_long(net, text, at_once), expected, atol=1e-5)
