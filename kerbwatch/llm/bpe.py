@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from kerbwatch.llm.common import batches, keyed_text, slices, texts_of
 from kerbwatch.llm.pairs import MergeTable, encode_words
@@ -28,12 +30,54 @@ AT_ONCE = 1_500_000
 _INNER_SPACE = re.compile(r"\s \s|\s \Z")
 
 
+@lru_cache(maxsize=1)
+def unknown_letters() -> str:
+    """Letters and digits of the `regex` module's tables that the tokenizers library does not know as such.
+
+    The two follow different versions of Unicode. The library is asked about the code points that
+    Python's own tables, older than both, leave open.
+    """
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+
+    def unknown(pattern: str, like: str) -> Iterator[str]:
+        open_ones = (c for c in regex.findall(pattern, every) if unicodedata.category(c) == "Cn")
+        return (c for c in open_ones if len(cut(like + c)) > 1)
+
+    return "".join(sorted({*unknown(r"\p{L}", "a"), *unknown(r"\p{N}", "1")}))
+
+
+def char_class(chars: str) -> str:
+    """The sorted characters as ranges of a character class."""
+    points = np.array([ord(c) for c in chars])
+    runs = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1)
+    return "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs if len(run))
+
+
+class WordCutter:
+    """Cuts texts into words with letters and digits as the tokenizers library has them."""
+
+    def __init__(self):
+        self.words = regex.compile(WORDS)
+        unknown = char_class(unknown_letters())
+        self.unknown = re.compile(f"[{unknown}]") if unknown else None
+        known = WORDS.replace(r"[^\s\p{L}\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{unknown}]]")
+        for kind in (r"?\p{L}", r"?\p{N}"):
+            known = known.replace(kind, f"?[{kind[1:]}--[{unknown}]]")
+        self.pinned = regex.compile(known, regex.V1) if unknown else self.words
+
+    def __call__(self, text: str) -> list[str]:
+        if self.unknown and not text.isascii() and self.unknown.search(text):
+            return self.pinned.findall(text)
+        return self.words.findall(text)
+
+
 class Coder:
     """Encoder and decoder of one vocabulary, kept by a Python worker."""
 
     def __init__(self, path: str):
         self.table = MergeTable(path)
-        self.words = regex.compile(WORDS)
+        self.words = WordCutter()
         self.bytes_of = self.table.token_bytes()
         specials = sorted(self.table.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
@@ -51,14 +95,14 @@ class Coder:
     def _units(self, part: str) -> tuple[list[str], list[str]]:
         """Units as they stand, then units that follow a space; words never cross their borders."""
         if _INNER_SPACE.search(part):
-            return self.words.findall(part), []
+            return self.words(part), []
         first, *rest = part.split(" ")
         return [first], rest
 
     def _learn(self, plain: set[str], spaced: set[str]) -> None:
         """Ids of units not met before, all at once through the pair index."""
         wanted = [*plain, *(" " + u for u in spaced)]
-        cut = [self.words.findall(u) for u in wanted]
+        cut = [self.words(u) for u in wanted]
         words = list({w for ws in cut for w in ws})
         ids, starts = encode_words([w.encode() for w in words], self.table)
         raw, starts = ids.astype("<i4").tobytes(), (4 * starts).tolist()

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from kerbwatch.llm.bpe import Coder, bpe_decode, bpe_encode, round_trip_digests
+from kerbwatch.llm.bpe import Coder, bpe_decode, bpe_encode, round_trip_digests, unknown_letters
 from kerbwatch.llm.packing import CapacityTree, UnitIds, best_fit_decreasing, pack
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -124,3 +124,15 @@ def test_every_letter_before_marks_equals_the_library():
         if np.frombuffer(made, "<u4").tolist() != want.ids
     ]
     assert not wrong
+
+
+def test_letters_are_those_of_the_library():
+    """Code points on which tables of different Unicode versions disagree, and all their neighbours."""
+    library = Tokenizer.from_file(BYTES)
+    unknown = {ord(c) for c in unknown_letters()}
+    asked = sorted({p + d for p in unknown for d in (-1, 0, 1)} | set(range(0x20, 0x20000, 7)))
+    texts = [t for p in asked if not 0xD800 <= p < 0xE000 and p < 0x110000 for t in (f"a{chr(p)}'t", f"1{chr(p)} x")]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    coder = Coder(BYTES)
+    got = [np.frombuffer(ids, "<i4").tolist() for ids in coder.encode(texts)]
+    assert [t for t, a, b in zip(texts, got, expected, strict=True) if a != b] == []
