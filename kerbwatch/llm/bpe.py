@@ -24,7 +24,7 @@ WORDS = (
 # Units whose ids a Python worker keeps between batches; beyond it the memory starts afresh.
 KEPT_UNITS = 200_000
 # Characters that are cut into units at once.
-AT_ONCE = 1_500_000
+AT_ONCE = 4_000_000
 
 # A space inside a run of white space, or after one at the end: cutting before it would split a word.
 _INNER_SPACE = re.compile(r"\s \s|\s \Z")
@@ -101,15 +101,23 @@ class Coder:
 
     def _learn(self, plain: set[str], spaced: set[str]) -> None:
         """Ids of units not met before, all at once through the pair index."""
-        wanted = [*plain, *(" " + u for u in spaced)]
-        cut = [self.words(u) for u in wanted]
-        words = list({w for ws in cut for w in ws})
+        # A unit of letters is one word; Python's letters are letters to the library too.
+        whole = [u for u in plain if u.isalpha()]
+        spaced_whole = [u for u in spaced if u.isalpha()]
+        mixed = [u for u in plain if not u.isalpha()]
+        spaced_mixed = [u for u in spaced if not u.isalpha()]
+        cut = [self.words(u) for u in (*mixed, *(" " + u for u in spaced_mixed))]
+        parts = list({w for ws in cut for w in ws})
+        words = [*whole, *(" " + u for u in spaced_whole), *parts]
         ids, starts = encode_words([w.encode() for w in words], self.table)
         raw, starts = ids.astype("<i4").tobytes(), (4 * starts).tolist()
-        of = {w: raw[a:b] for w, a, b in zip(words, starts, starts[1:], strict=False)}
-        made = [of[ws[0]] if len(ws) == 1 else b"".join([of[w] for w in ws]) for ws in cut]
-        self.plain.update(zip(plain, made, strict=False))
-        self.spaced.update(zip(spaced, made[len(plain) :], strict=False))
+        made = [raw[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+        self.plain.update(zip(whole, made, strict=False))
+        self.spaced.update(zip(spaced_whole, made[len(whole) :], strict=False))
+        of = dict(zip(parts, made[len(whole) + len(spaced_whole) :], strict=True))
+        joined = [b"".join([of[w] for w in ws]) for ws in cut]
+        self.plain.update(zip(mixed, joined, strict=False))
+        self.spaced.update(zip(spaced_mixed, joined[len(mixed) :], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of little-endian 32-bit integers."""

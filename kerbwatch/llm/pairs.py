@@ -74,7 +74,8 @@ def encode_words(words: Sequence[bytes], table: MergeTable) -> tuple[np.ndarray,
     taken in ascending order from a heap; one step merges all places of a pair and enters the
     pairs this makes into the lists of their ranks. A merge can only make pairs of higher rank,
     since a token is made by a single merge, so one ascending pass gives what merging word by word
-    gives. Places that a merge has changed meanwhile are recognised by their symbols.
+    gives. Places that a merge has changed meanwhile are recognised by their symbols. No place is in
+    the lists of a rank twice: it is entered when its pair has changed, and what a pair spans only grows.
     """
     if not words:
         return np.empty(0, np.int64), np.zeros(1, np.int64)
@@ -88,6 +89,7 @@ def encode_words(words: Sequence[bytes], table: MergeTable) -> tuple[np.ndarray,
     n = len(sym)
     after = np.arange(1, n + 1)
     before = np.arange(-1, n - 1)
+    changed = np.zeros(n, bool)
 
     found = table.ranks(sym[:-1], sym[1:])
     places = np.flatnonzero(found >= 0)
@@ -102,7 +104,7 @@ def encode_words(words: Sequence[bytes], table: MergeTable) -> tuple[np.ndarray,
     while active:
         rank = heapq.heappop(active)
         lists = index.pop(rank)
-        at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        at = lists[0] if len(lists) == 1 else np.concatenate(lists)  # of different places, see above
         a, b, new = table.left[rank], table.right[rank], table.made[rank]
         at = at[(sym[at] == a) & (sym[after[at]] == b)]
         if a == b and len(at) > 1:
@@ -115,7 +117,10 @@ def encode_words(words: Sequence[bytes], table: MergeTable) -> tuple[np.ndarray,
         sym[gone] = _DEAD
         after[at] = beyond
         before[beyond] = at
-        starts = np.unique(np.concatenate((before[at], at)))  # neighbours may merge in one step
+        changed[at] = True
+        left_of = before[at]
+        starts = np.concatenate((left_of[~changed[left_of]], at))  # neighbours may merge in one step
+        changed[at] = False
         ranks = table.ranks(sym[starts], sym[after[starts]])
         starts, ranks = starts[ranks >= 0], ranks[ranks >= 0]
         if not len(starts):
