@@ -41,12 +41,15 @@ PHONE = (
     rf"|(?<!\w)\(\d{{2,5}}\) ?\d{{3,4}}[ -]?\d{{3,5}}(?!\d)|{NATIONAL}"
 )
 IP = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)"
-NAME = rf"(?<!\p{{L}}){TITLE}{PARTICLES}{PART}(?:(?: |(?<=\.)-?){PARTICLES}{PART})*+"
+# A look at one character first spares nearly all places the attempt at the patterns that follow.
+_CAPITAL = "".join(sorted({t[0] for t in f"{FEMALE}|{MALE}|{NEUTRAL}".split("|")}))
+NAME = rf"(?=[{_CAPITAL}])(?<!\p{{L}}){TITLE}{PARTICLES}{PART}(?:(?: |(?<=\.)-?){PARTICLES}{PART})*+"
 # At one place the first of these that fits is the mention.
-MENTION = "|".join(f"(?:{p})" for p in (EMAIL, CARD, PHONE, IP, NAME))
+NUMBER = rf"(?=[\d+(])(?:(?:{CARD})|(?:{PHONE})|(?:{IP}))"
+MENTION = "|".join(f"(?:{p})" for p in (EMAIL, NUMBER, NAME))
 KINDS = ("email", "card", "phone", "ip", "name")
 # In texts that hold a titled name every capitalised word may be a bare mention of it.
-MENTION_OR_WORD = rf"{MENTION}|(?:(?<![\p{{L}}\p{{M}}\p{{N}}_]){WORD})"
+MENTION_OR_WORD = rf"{MENTION}|(?:(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}_]){WORD})"
 
 # Syllables of invented names, and their endings by gender.
 SYLLABLES = {
