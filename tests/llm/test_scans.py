@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+import regex
 
 from kerbwatch.llm import pii, secret_scan
 
@@ -122,6 +123,91 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert other != new
 
 
+def plain_mentions(text):
+    """(start, end, kind) of all mentions: every pattern in turn is tried at every place, one after the other."""
+    # As in Java, \w and \d mean ASCII, other classes all of Unicode.
+    made = lambda p: regex.compile(p.replace(r"\w", "[A-Za-z0-9_]").replace(r"\d", "[0-9]"), regex.V1)
+    patterns = {
+        kind: made(p)
+        for kind, p in zip(pii.KINDS, (pii.EMAIL, pii.CARD, pii.PHONE, pii.IP, pii.NAME), strict=True)
+    }
+    word = made(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]){pii.WORD}")
+    found, bare, at = [], [], 0
+    while at < len(text):
+        hit = next(((k, m) for k, p in patterns.items() if (m := p.match(text, at)) and m.end() > at), None)
+        if hit:
+            kind, m = hit
+            if kind != "card" or luhn(re.sub(r"\D", "", m[0])):
+                found.append((m.start(), m.end(), kind))
+            at = m.end()
+        elif m := word.match(text, at):
+            bare.append((m.start(), m.end(), "name"))
+            at = m.end()
+        else:
+            at += 1
+    # Bare words count where a titled name of the text has them.
+    known = {w for a, b, k in found if k == "name" for w in text[a:b].split(" ")[1:]}
+    return sorted(found + [x for x in bare if text[x[0] : x[1]] in known])
+
+
+def mixed_texts():
+    """Texts of parts that stand alone between bars, of mentions, near-mentions and their joins."""
+    rng = random.Random(5)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    names = ["Anna", "Smith", "Weber", "Анна", "Петрова", "Lee"]
+    makers = [
+        lambda: f"{rng.choice('abc')}{number(2)}@{rng.choice(['x', 'Mail'])}.{rng.choice(['com', 'org'])}",
+        lambda: f"+{number(1)} {number(3)} {number(3)}-{number(4)}",
+        lambda: f"({number(3)}) {number(3)}-{number(4)}",
+        lambda: f"{number(3)}-{number(3)}-{number(4)}",
+        lambda: ".".join(str(rng.randrange(280)) for _ in range(rng.choice((4, 4, 4, 3, 5)))),
+        lambda: number(16),
+        lambda: "4918-1871-2863-5271",
+        lambda: f"{rng.choice(['Mr', 'Ms.', 'Dr', 'Госпожа', 'XMr'])} {' '.join(rng.sample(names, rng.randint(1, 2)))}",
+        lambda: rng.choice(names),
+        lambda: rng.choice(["no data", "Ms", "a@b", "x4918187128635271", "€", "", "(", "Mr. smith", "Smithson"]),
+    ]
+    parts = lambda: [rng.choice(["{}", "{}", "{},", "see {}", "{}."]).format(rng.choice(makers)()) for _ in range(12)]
+    return [" ¦ ".join(parts()) for _ in range(150)]
+
+
+def test_surrogates_equal_plain_search(spark):
+    texts = mixed_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.with_surrogates(docs, "k").collect()}
+    drawn, seen = {}, dict.fromkeys(pii.KINDS, 0)
+    digits = lambda t: re.sub(r"\D", "", t)
+    for i, text in enumerate(texts):
+        mentions = plain_mentions(text)
+        for kind in pii.KINDS:
+            wanted = sum(k == kind for _, _, k in mentions)
+            assert rows[i][f"n_{kind}"] == wanted, (kind, text)
+            seen[kind] += wanted
+        start = 0
+        for old, new in zip(text.split(" ¦ "), rows[i].text.split(" ¦ "), strict=True):
+            here = [(a - start, b - start, k) for a, b, k in mentions if start <= a < start + len(old)]
+            start += len(old) + 3
+            if not here:
+                assert new == old
+            if len(here) != 1:
+                continue
+            a, b, kind = here[0]
+            assert new.startswith(old[:a]) and new.endswith(old[b:])
+            mention, made = old[a:b], new[a : len(new) - len(old) + b]
+            if kind == "name":
+                titled = regex.match(pii.TITLE, mention)
+                pairs = list(zip(mention.split(" ")[bool(titled) :], made.split(" ")[bool(titled) :], strict=True))
+            else:
+                same = {"card": digits, "phone": digits, "email": str.lower, "ip": str}[kind]
+                pairs = [(same(mention), same(made))]
+            for value, surrogate in pairs:
+                assert drawn.setdefault((kind, value), surrogate) == surrogate
+    assert min(seen.values()) > 20
+    for kind in pii.KINDS:
+        made = [s for (k, _), s in drawn.items() if k == kind]
+        assert len(set(made)) == len(made) and not set(made) & {v for k, v in drawn if k == kind}
+
+
 def test_names_match_gender_script_and_coreference(spark):
     text = "Ms. Anna Smith met Mr Smith, Herr Karl Weber and Госпожа Анна Петрова; Ms Smith left"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
