@@ -1,19 +1,21 @@
 """Gradient boosting of leaf-limited trees on binned features, for volumes and for log obstruction.
 
 MLlib grows trees by level, has no Poisson loss, no L2 term and finds bins again for every tree. Here
-features are binned once. A pass over the data adds up gradients per leaf, feature and bin; the driver
-holds those sums (leaves x features x bins numbers, set by parameters), gets a sibling's by
-subtraction and opens the leaf with the largest gain first.
+features are binned once, and blocks of rows are kept where they are read. A pass over them adds up
+gradients per leaf, feature and bin; the driver holds those sums (leaves x features x bins numbers, set
+by parameters), gets a sibling's by subtraction and opens the leaf with the largest gain first.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from kerbwatch.session import staged
 POISSON, SQUARED = "poisson", "squared_error"
 # The log of a forecast volume stays within this range, so that its exponential stays finite.
 _LOG_RANGE = 20.0
-# Rounds between two writes of the training state; in between, trees are applied on the way.
+# Rounds between two writes of the margins; a lost block is made again from the last write.
 _ROUNDS_PER_STAGE = 10
 BINS = 128
 # Rows from which bin edges are taken; all rows are binned.
@@ -31,8 +33,9 @@ _EDGE_ROWS = 50_000
 # Gradients are added as whole steps of this size, so sums do not depend on the partitions.
 _STEPS = float(1 << 20)
 _LEAST_HESSIAN = 1e-3
-# Tasks of a pass over the training state.
+# Tasks of a pass over the training state, and rows for which another task is worth its start.
 _PASS_TASKS = 64
+_TASK_ROWS = 16_384
 
 
 @dataclass
@@ -125,8 +128,34 @@ def bin_edges(values: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
     return out
 
 
-def _binned(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
-    """`bins` (a byte per feature) in place of `x`."""
+@dataclass
+class Block:
+    """Some rows of the training state: a byte per feature, and the numbers of each row."""
+
+    codes: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    held: np.ndarray
+    m: np.ndarray
+
+
+_BLOCK = "rows long, codes binary, y binary, w binary, held binary, m binary"
+_BLOCK_TYPES = (np.uint8, np.float64, np.float64, np.bool_, np.float64)
+
+
+def _packed(block: Block) -> pa.RecordBatch:
+    parts = (block.codes, block.y, block.w, block.held, block.m)
+    raw = [pa.array([np.ascontiguousarray(a, t).tobytes()], pa.binary()) for a, t in zip(parts, _BLOCK_TYPES, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([len(block.y)], pa.int64()), *raw], ["rows", "codes", "y", "w", "held", "m"])
+
+
+def _unpacked(row: tuple) -> Block:
+    codes, *numbers = (np.frombuffer(raw, t) for raw, t in zip(row[1:], _BLOCK_TYPES, strict=True))
+    return Block(codes.reshape(row[0], -1), *numbers)
+
+
+def _binned(rows: DataFrame, edges: list[np.ndarray], start: float) -> DataFrame:
+    """One row per block: `bins` of its rows in place of `x`, and the margin to start from."""
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -134,17 +163,24 @@ def _binned(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
                 continue
             x = matrix(batch.column("x"))
             codes = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
-            raw = pa.array([r.tobytes() for r in codes.astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [raw, *[batch.column(c) for c in ("y", "w", "held", "m")]], ["bins", "y", "w", "held", "m"]
-            )
+            y, w, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "held"))
+            yield _packed(Block(codes, y, w, held, np.full(len(x), start)))
+
+    return rows.mapInArrow(run, _BLOCK)
+
+
+def _kept(blocks: DataFrame) -> RDD:
+    """Written blocks, held by the executors from their first use on; on disk, where memory is short."""
+    return blocks.rdd.map(_unpacked).persist(StorageLevel.MEMORY_AND_DISK)
+
 
-    return rows.mapInArrow(run, "bins binary, y double, w double, held boolean, m double")
+def _moved(state: RDD, tree: Tree) -> RDD:
+    """The state after one more tree, held like the state."""
 
+    def move(block: Block) -> Block:
+        return Block(block.codes, block.y, block.w, block.held, block.m + tree.add_to(block.codes, binned=True))
 
-def _codes(column: pa.Array, features: int) -> np.ndarray:
-    lo, hi = (int.from_bytes(column.buffers()[1][4 * i : 4 * i + 4].to_pybytes(), "little") for i in (column.offset, column.offset + len(column)))
-    return np.frombuffer(column.buffers()[2], np.uint8)[lo:hi].reshape(-1, features)
+    return state.map(move).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def gradients(loss: str, y: np.ndarray, w: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +217,7 @@ def leaf_sums(
     return out.reshape(codes.shape[1], 3, slots, bins)
 
 
-def _moved(batch: pa.RecordBatch, trees: list[Tree], features: int) -> tuple[np.ndarray, ...]:
-    codes = _codes(batch.column("bins"), features)
-    y, w, m = (batch.column(c).to_numpy() for c in ("y", "w", "m"))
-    for tree in trees:
-        m = m + tree.add_to(codes, binned=True)
-    return codes, y, w, m, batch.column("held").to_numpy(zero_copy_only=False)
-
-
-def _pass(state: DataFrame, loss: str, trees: list[Tree], tree: Tree, nodes: list[int], features: int, bins: int) -> tuple[np.ndarray, float]:
+def _pass(state: RDD, loss: str, tree: Tree, nodes: list[int], features: int, bins: int) -> tuple[np.ndarray, float]:
     """Sums of some nodes of a growing tree, and the held-out loss before it.
 
     Every task adds up its rows. There are few tasks, as what each sends to the driver is
@@ -199,20 +227,17 @@ def _pass(state: DataFrame, loss: str, trees: list[Tree], tree: Tree, nodes: lis
     slot_of[nodes] = np.arange(len(nodes))
     size = 3 * len(nodes) * bins
 
-    def add(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(blocks: Iterable[Block]) -> Iterator[bytes]:
         total = np.zeros((features + 1, size), np.int64)
-        for batch in parts:
-            if not batch.num_rows:
-                continue
-            codes, y, w, m, held = _moved(batch, trees, features)
-            slot = np.where(held, -1, slot_of[tree.leaf_of(codes, binned=True)])
-            total[:-1] += leaf_sums(loss, codes, y, w, m, slot, len(nodes), bins).reshape(features, size)
-            total[-1, 0] += int(_whole(losses(loss, y[held], w[held], m[held])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+        for b in blocks:
+            slot = np.where(b.held, -1, slot_of[tree.leaf_of(b.codes, binned=True)])
+            total[:-1] += leaf_sums(loss, b.codes, b.y, b.w, b.m, slot, len(nodes), bins).reshape(features, size)
+            total[-1, 0] += int(_whole(losses(loss, b.y[b.held], b.w[b.held], b.m[b.held])).sum())
+        yield total.tobytes()
 
     total = np.zeros((features + 1) * size, np.int64)
-    for r in state.coalesce(_PASS_TASKS).mapInArrow(add, "sums binary").collect():
-        total += np.frombuffer(r["sums"], np.int64)
+    for raw in state.mapPartitions(add).collect():
+        total += np.frombuffer(raw, np.int64)
     sums = total.reshape(features + 1, 3, len(nodes), bins)
     return sums[:-1], float(sums[-1].flat[0]) / _STEPS
 
@@ -240,12 +265,30 @@ def leaf_step(sums: np.ndarray, l2: float) -> float:
     return float(-g / (h + l2)) if h + l2 > 0 else 0.0
 
 
+def _next_to_open(trial: Tree, splits: dict[int, tuple[float, int, int]], open_leaves: list[int], room: int) -> list[int]:
+    """Leaves of the trial tree among the next `room` splits, as far as gains are known."""
+    line = [(-splits[i][0], i) for i in open_leaves]
+    heapq.heapify(line)
+    fresh = []
+    for _ in range(room):
+        if not line or line[0][0] >= 0:
+            break
+        node = heapq.heappop(line)[1]
+        if trial.feature[node] < 0:
+            fresh.append(node)
+        else:
+            for child in (trial.left[node], trial.right[node]):
+                heapq.heappush(line, (-splits[child][0], child))
+    return fresh
+
+
 def grow(sums_of, edges: list[np.ndarray], boost: BoostSettings) -> tuple[Tree, float]:
     """One tree of at most `max_leaf_nodes` leaves, the leaf with the largest gain opened first.
 
-    `sums_of(tree, nodes)` gives the sums of nodes and the held-out loss. The leaves that could still
-    be opened are opened together on trial, so a pass serves many; a trial that turns out not to
-    be next is not part of the tree. Only one child of a split is added up, the other is the rest.
+    `sums_of(tree, nodes)` gives the sums of nodes and the held-out loss. All leaves that are next by
+    what is known are opened together on trial, below earlier trials too, so a pass serves many; a trial
+    that turns out not to be next is not part of the tree. Only one child of a split is added up, the
+    other is the rest. Children of the last split are never opened: the split itself tells their steps.
     """
     trial = Tree()
     sums, held_loss = sums_of(trial, [0])
@@ -256,10 +299,13 @@ def grow(sums_of, edges: list[np.ndarray], boost: BoostSettings) -> tuple[Tree,
         node = max(open_leaves, key=lambda i: (splits[i][0], -i))
         if splits[node][0] <= 0:
             break
-        if trial.feature[node] < 0:
-            room = boost.max_leaf_nodes - 1 - len(chosen)
-            likely = sorted(open_leaves, key=lambda i: (-splits[i][0], i))[:room]
-            fresh = [i for i in likely if trial.feature[i] < 0 and splits[i][0] > 0]
+        room = boost.max_leaf_nodes - 1 - len(chosen)
+        if trial.feature[node] < 0 and room == 1:
+            _, f, b = splits[node]
+            for child, of_child in zip(trial.split(node, f, b, float(edges[f][b])), (slice(b + 1), slice(b + 1, None)), strict=True):
+                known[child] = known[node][f : f + 1, :, of_child]
+        elif trial.feature[node] < 0:
+            fresh = _next_to_open(trial, splits, open_leaves, room)
             for i in fresh:
                 _, f, b = splits[i]
                 trial.split(i, f, b, float(edges[f][b]))
@@ -325,28 +371,42 @@ def fit_boosted(
         some = rows.select("x").limit(_EDGE_ROWS).toArrow()
     edges = bin_edges(matrix(some.column("x").combine_chunks()))
     features, bins = len(edges), 1 + max(map(len, edges))
-    state = staged(_binned(rows.withColumn("m", F.lit(start)), edges), "boost-state")
+    tasks = max(1, min(_PASS_TASKS, sample.sparkSession.sparkContext.defaultParallelism, -(-seen["n"] // _TASK_ROWS)))
+    rows = rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows.coalesce(_PASS_TASKS)
+    written = staged(_binned(rows, edges, start), "boost-state")
+    state = _kept(written)
+    held_states = [state]  # since the last write
     trees: list[Tree] = []
-    recent: list[Tree] = []  # not yet part of the state
     patience = Patience(model.rounds_without_gain)
     for _ in range(boost.max_iter):
-        tree, held_loss = grow(lambda t, nodes: _pass(state, loss, recent, t, nodes, features, bins), edges, boost)
+        tree, held_loss = grow(lambda t, nodes: _pass(state, loss, t, nodes, features, bins), edges, boost)
+        while len(held_states) > 1:
+            held_states.pop(0).unpersist()
         if model.early_stopping and patience.out_of(held_loss, len(trees)):
             break
         if tree.leaves == 1:
             break
         trees.append(tree)
-        recent.append(tree)
-        if len(recent) == _ROUNDS_PER_STAGE:
-            state, recent = staged(_advanced(state, recent, features), "boost-state"), []
+        if len(trees) % _ROUNDS_PER_STAGE:
+            state = _moved(state, tree)
+        else:
+            written = staged(_advanced(written, trees[-_ROUNDS_PER_STAGE:]), "boost-state")
+            state = _kept(written)
+        held_states.append(state)
+    for old in held_states:
+        old.unpersist()
     return BoostedTrees(loss, start, trees[: patience.size] if model.early_stopping and len(trees) - patience.size >= patience.rounds else trees)
 
 
-def _advanced(state: DataFrame, trees: list[Tree], features: int) -> DataFrame:
+def _advanced(written: DataFrame, trees: list[Tree]) -> DataFrame:
+    """Written blocks with their margins moved by the trees since."""
+
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            if batch.num_rows:
-                m = _moved(batch, trees, features)[3]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(m)], batch.schema.names)
+            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                block = _unpacked(row)
+                for tree in trees:
+                    block.m = block.m + tree.add_to(block.codes, binned=True)
+                yield _packed(block)
 
-    return state.mapInArrow(run, state.schema)
+    return written.mapInArrow(run, written.schema)

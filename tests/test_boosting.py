@@ -132,3 +132,28 @@ def test_many_values_are_binned_by_quantiles():
     counts = np.bincount(np.searchsorted(edges, x[:, 0]))
     assert len(counts) == 16 and counts.min() > 250
     assert boosting.bin_edges(np.array([[1.0], [3.0], [1.0]]))[0].tolist() == [2.0]
+
+
+def test_a_pass_opens_all_that_is_next():
+    """A tree of 23 leaves on noise: trials go on below trials, and the last split needs no pass."""
+    rng = np.random.default_rng(4)
+    codes, y = rng.integers(0, 64, (4000, 6)).astype(np.uint8), rng.poisson(1.0, 4000).astype(float)
+    boost = BoostSettings("b", 1.0, 1, 1.0, 23, 40, 2.0, 3.0)
+    asked = []
+
+    def sums_of(tree, nodes):
+        slot_of = np.full(len(tree.feature), -1)
+        slot_of[nodes] = np.arange(len(nodes))
+        asked.append(len(nodes))
+        at = slot_of[tree.leaf_of(codes, binned=True)]
+        return boosting.leaf_sums(SQUARED, codes, y, np.ones(4000), np.zeros(4000), at, len(nodes), 64), 0.0
+
+    tree, _ = boosting.grow(sums_of, [np.arange(64) + 0.5] * 6, boost)
+    depth = [0] * len(tree.feature)
+    for node, feature in enumerate(tree.feature):
+        if feature >= 0:
+            depth[tree.left[node]] = depth[tree.right[node]] = depth[node] + 1
+    assert tree.leaves == 23 and len(asked) <= max(depth) + 1
+    leaf = tree.leaf_of(codes, binned=True)
+    for node in np.unique(leaf):
+        assert tree.value[node] == pytest.approx(y[leaf == node].sum() / ((leaf == node).sum() + 2.0), abs=1e-4)
