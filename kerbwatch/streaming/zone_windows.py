@@ -9,6 +9,8 @@ counts are exact too.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,7 +41,10 @@ _VERSION = (
     + ", ".join(f"{c} string" for c in ACTORS)
 )
 _NAMES = [part.split()[0] for part in _VERSION.split(", ")]
+_WHOLE = [part.split()[0] for part in _VERSION.split(", ") if part.split()[1] in ("int", "long")]
 _CHANGE = f"id string, sign int, {_VERSION}"
+# Groups of ids that share one state: 36 million ids are 35,000 in each.
+_BUCKETS = 1024
 # How far behind the newest record a correction may come, unless told otherwise.
 LATENESS = "60 days"
 
@@ -62,39 +67,65 @@ def versions(records: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def _rows(frame: pd.DataFrame) -> Iterator[tuple]:
+    """(id, time in ms, version) of every row; whole numbers beside nulls arrive as floats."""
+    columns = [[None if v != v else v for v in frame[c].tolist()] for c in ("id", *_NAMES)]
+    for n, name in enumerate(("id", *_NAMES)):
+        if name in _WHOLE and frame[name].dtype.kind != "i":
+            columns[n] = [None if v is None else int(v) for v in columns[n]]
+    stamps = pd.to_datetime(frame["event_time"])
+    stamps = stamps.to_numpy("datetime64[ms]").astype("int64").tolist()
+    times = [None if missing else t for t, missing in zip(stamps, frame["event_time"].isna(), strict=True)]
+    return zip(columns[0], times, zip(*columns[1:], strict=True), strict=True)
+
+
 def _replace(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes from the version known so far to the last one seen; versions that come late are older."""
-    if state.hasTimedOut:
+    """Changes from the versions known so far of a bucket's ids to the last ones seen.
+
+    A version that comes late is older and changes nothing. An id is forgotten once no correction of
+    it can come any more: when the watermark has passed the newest time of what it last brought.
+    """
+    now = state.getCurrentWatermarkMs()
+    known = pickle.loads(zlib.decompress(state.get[0])) if state.exists else {}  # id -> (end, version)
+    seen: dict = {}  # id -> [newest time, version]
+    if not state.hasTimedOut:
+        for frame in frames:
+            for id_, time, version in _rows(frame):
+                entry = seen.setdefault(id_, [time, version])
+                if version[0] > entry[1][0]:
+                    entry[1] = version
+                if time is not None and (entry[0] is None or time > entry[0]):
+                    entry[0] = time
+    changes = []
+    for id_, (newest, version) in seen.items():
+        old = known[id_][1] if id_ in known else None
+        if old is None or version[0] > old[0]:
+            changes += [(id_, sign, *v) for sign, v in ((-1, old), (1, version)) if v is not None and v[1]]
+        else:
+            version = old
+        known[id_] = (None if newest is None else max(newest, now + 1), version)
+    known = {i: entry for i, entry in known.items() if entry[0] is None or entry[0] >= now}
+    if known:
+        state.update((zlib.compress(pickle.dumps(known, pickle.HIGHEST_PROTOCOL), 1),))
+        ends = [end for end, _ in known.values() if end is not None]
+        if ends:
+            state.setTimeoutTimestamp(max(min(ends), now + 1))
+    elif state.exists:
         state.remove()
-        return
-    old = state.get if state.exists else None
-    last, newest = old, None
-    for frame in frames:
-        newest = max(filter(None, (newest, *_seconds(frame["event_time"]))), default=None)
-        row = frame.loc[frame["ingest_seq"].idxmax(), _NAMES]
-        row = tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in row)
-        if last is None or row[0] > last[0]:
-            last = row
-    if newest is not None:
-        # Forgotten once no correction can come any more.
-        state.setTimeoutTimestamp(max(int(newest * 1000), state.getCurrentWatermarkMs() + 1))
-    if last is old:
-        return
-    state.update(last)
-    changes = [(key[0], sign, *v) for sign, v in ((-1, old), (1, last)) if v is not None and v[1]]
     if changes:
         yield pd.DataFrame(changes, columns=["id", "sign", *_NAMES], dtype=object)
 
 
-def _seconds(times: pd.Series) -> list[float]:
-    return [t.timestamp() for t in times.dropna()]
-
-
 def changes(records: DataFrame, settings: Settings, lateness: str = LATENESS) -> DataFrame:
-    """Stream of changes. State is one version per id for as long as the watermark allows."""
+    """Stream of changes. State is one version per id for as long as the watermark allows.
+
+    A group costs a call into Python, so it is not one id but a bucket of ids, with their versions as
+    its state. The number of buckets is part of the state's keys.
+    """
     stamped = versions(records, settings).withWatermark("event_time", lateness)
-    return stamped.groupBy("id").applyInPandasWithState(
-        _replace, _CHANGE, _VERSION, "append", GroupStateTimeout.EventTimeTimeout
+    bucket = F.pmod(F.xxhash64("id"), F.lit(_BUCKETS))
+    return stamped.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
+        _replace, _CHANGE, "versions binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

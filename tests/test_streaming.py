@@ -1,5 +1,6 @@
 """The streamed zone-window table against the batch one, whatever the order of arrival."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,52 @@ def test_corrections_beyond_the_watermark_do_not_count(spark, records, tmp_path)
 def test_an_empty_stream_is_an_empty_table(spark, records, tmp_path):
     log = replay(spark, tmp_path, [records.limit(0)])
     assert stream.zone_windows(log).count() == 0
+
+
+class Group:
+    """State of one group, as Spark hands it over."""
+
+    def __init__(self, watermark=0):
+        self.get, self.exists, self.hasTimedOut, self.timeout, self.watermark = None, False, False, None, watermark
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms > self.watermark
+        self.timeout = ms
+
+
+def told(state, rows):
+    """Runs one group over rows of (id, second, ingest_seq, keep, zone_id)."""
+    names = ["id", "event_time", "ingest_seq", "keep", "zone_id"]
+    frame = pd.DataFrame(rows, columns=names).reindex(columns=["id", "event_time", *stream._NAMES])
+    frame["event_time"] = pd.to_datetime(frame["event_time"], unit="s")
+    frame["window_second"] = [3600.0 if keep else None for keep in frame["keep"]]
+    out = [f for f in stream._replace((0,), iter([frame] if rows else []), state)]
+    return sorted((r.id or "", r.sign, r.ingest_seq, r.zone_id, r.window_second) for f in out for r in f.itertuples())
+
+
+def test_one_call_takes_the_changes_of_many_ids():
+    """A group is a bucket of ids, each with a version, an order and an end of its own."""
+    state = Group()
+    rows = [("a", 10, 0, True, "Z1"), ("b", 20, 0, True, "Z1"), (None, 30, 0, True, "Z2"), ("c", 20, 0, False, None), ("a", 5, 2, True, "Z3")]
+    want = [("", 1, 0, "Z2", 3600), ("a", 1, 2, "Z3", 3600), ("b", 1, 0, "Z1", 3600)]
+    assert told(state, rows) == want and state.timeout == 10_000
+    assert told(state, [("a", 40, 1, True, "Z9"), ("b", 20, 1, False, None), ("c", 20, 1, True, "Z4")]) == [
+        ("b", -1, 0, "Z1", 3600), ("c", 1, 1, "Z4", 3600),
+    ]
+    state.watermark, state.hasTimedOut = 25_000, True  # b and c are closed, a and the null id are not
+    assert told(state, []) == [] and state.timeout == 30_000
+    state.hasTimedOut = False
+    assert told(state, [("a", 50, 3, True, "Z5"), ("b", 50, 0, True, "Z6")]) == [
+        ("a", -1, 2, "Z3", 3600), ("a", 1, 3, "Z5", 3600), ("b", 1, 0, "Z6", 3600),
+    ]
+    state.watermark, state.hasTimedOut = 60_000, True
+    assert told(state, []) == [] and not state.exists
