@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # A zone table up to this many rows is broadcast; a row is well under 500 bytes, so 100 MB at most.
 BROADCAST_ROW_LIMIT = 200_000
+# Raw rows that a task takes at most, about: scored records are sorted by id there, some 600 bytes each.
+TASK_ROWS = 400_000
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -77,13 +79,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread the rows of an input with fewer splits than cores, such as one small file.
+def spread(df: DataFrame, rows: int = 0) -> DataFrame:
+    """Spread an input with fewer splits than cores, such as one small file, or with more rows a split than a task should sort.
 
-    Does nothing for inputs with enough splits, so large inputs never pay for a shuffle here.
+    `rows` is the number of rows, where it is known. Does nothing for inputs with enough splits. Rows
+    are dealt by a hash of all columns, which needs no sort to be the same at every try.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.repartition(wanted, *df.columns) if df.rdd.getNumPartitions() < wanted else df
 
 
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:

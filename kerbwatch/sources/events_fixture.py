@@ -31,7 +31,8 @@ def fixture_settings() -> Settings:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(events, events.count())  # told by the footers
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:

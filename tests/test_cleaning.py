@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kerbwatch import session
 from kerbwatch.config import DataSettings, Settings
 from kerbwatch.operators import cleaning
 from kerbwatch.sources import exports, records
@@ -103,3 +104,14 @@ def test_dropped_rows_travel_without_payload(spark):
     plan = cleaning.clean_records(raw(spark, {"id": "a"}), Settings()).select("zone_id")
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "vehicle_number" not in text.split("Window [row_number()")[0]
+
+
+def test_an_input_is_dealt_by_its_rows(spark, monkeypatch):
+    """No task sorts more rows than it should, however few files there are; nothing is lost or doubled."""
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    one = spark.range(1000).withColumn("x", F.col("id") % 7).coalesce(1)
+    parts = session.spread(one, 1000)
+    sizes = [r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()]
+    assert parts.rdd.getNumPartitions() == 10 and max(sizes) < 200
+    assert sorted(r.id for r in parts.collect()) == list(range(1000))
+    assert session.spread(parts, 1000) is parts
