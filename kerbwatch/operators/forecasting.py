@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -157,17 +157,17 @@ def fit_pair(train: DataFrame, settings: Settings) -> tuple[ForecastModels, Trai
 
 
 def train_models(
-    train: DataFrame, settings: Settings, pair: tuple[ForecastModels, TrainingInfo] | None = None
+    train: DataFrame, settings: Settings, pair: Future[tuple[ForecastModels, TrainingInfo]] | None = None
 ) -> tuple[ForecastModels, TrainingInfo]:
     """Choose the blend on the last windows, then fit on all rows. Pass a staged frame.
 
-    `pair` is what `fit_pair` made of the same rows, if it is known already.
+    `pair` is what `fit_pair` makes of the same rows, if that was begun already.
     """
     fit, held = validation_split(train, settings.model.calibration_windows)
     choices = {}
     calibration_rows = held.count()
     with ThreadPoolExecutor(1) as pool:
-        final = pool.submit(fit_pair, train, settings) if pair is None else None
+        final = pair or pool.submit(fit_pair, train, settings)
         if calibration_rows:
             trial, _ = fit_pair(fit, settings)
             scored = staged(score_models(trial, held, settings, apply_blend=False), "calibration")
@@ -177,7 +177,7 @@ def train_models(
                 ("impact", "predicted_impact_units", IMPACT_TARGET),
             ):
                 choices[kind] = calibrate_blend(scored, prediction, actual, kind, settings.model, k)
-        models, info = final.result() if final else pair
+        models, info = final.result()
     models, info = replace(models), replace(info)
     if choices:
         models.count_blend = choices["count"].weights

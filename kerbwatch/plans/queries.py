@@ -8,6 +8,7 @@ the edge is therefore moved by 0.0003 units of the last place.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark.ml.functions import vector_to_array
@@ -937,15 +938,23 @@ def feature_vector(spark, sf_dir):
 _FITTED: dict[tuple[str, str], tuple] = {}
 
 
-def _fitted(spark, sf_dir):
-    """Training rows, test rows and the models fitted to them; once per session and table."""
+def _fitting(spark, sf_dir) -> tuple[DataFrame, DataFrame, Future]:
+    """Training rows, test rows and the models being fitted to them; once per session and table."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
+    if key not in _FITTED or (_FITTED[key][2].done() and _FITTED[key][2].exception()):
         train, test = _full_split(spark, sf_dir)
-        _FITTED[key] = (train, test, forecasting.fit_pair(train, S))
+        pool = ThreadPoolExecutor(1)
+        _FITTED[key] = (train, test, pool.submit(forecasting.fit_pair, train, S))
+        pool.shutdown(wait=False)
     return _FITTED[key]
 
 
+def _fitted(spark, sf_dir):
+    """Training rows, test rows and the models fitted to them."""
+    train, test, pair = _fitting(spark, sf_dir)
+    return train, test, pair.result()
+
+
 def _outside(forecast: str, cap=None):
     """How many forecasts are missing, negative, not finite or above the cap."""
     good = (F.col(forecast) >= 0) & (F.col(forecast) < float("inf"))
@@ -1012,7 +1021,7 @@ def train_models(spark, sf_dir):
     """All systems evaluated on the test period after the blend was chosen on the last training
     windows. What the forecast scores depends on trees, so only that it is finite is told; the
     baselines' scores are told in full."""
-    train, test, pair = _fitted(spark, sf_dir)
+    train, test, pair = _fitting(spark, sf_dir)
     models, _ = forecasting.train_models(train, S, pair)
     frame = staged(forecasting.score_models(models, test, S), "predictions")
     metrics = evaluation.evaluate_systems(frame, list(S.deployment.top_k))

@@ -1,7 +1,9 @@
 """Blend tests, and forecast quality on made-up rates: zone effect times hour-of-day effect."""
 
 import datetime as dt
+from concurrent.futures import Future
 from dataclasses import replace
+from threading import Timer
 
 import numpy as np
 import pytest
@@ -128,3 +130,18 @@ def test_importance_finds_the_signal(spark, rate_field):
     top = [r["feature"] for r in forecasting.importance_topn(table, "hotspot", 5).collect()]
     assert any(f.startswith(("count_", "target_hour", "zone_expanding", "history")) for f in top)
     assert {r["importance_std"] for r in rows} == {0.0}
+
+
+def _flat(start=0.0):
+    return forecasting.BoostedTrees(forecasting.POISSON, start, [])
+
+
+def test_a_fit_that_was_begun_is_waited_for(spark):
+    """The fit on all rows may run beside the one that the blend is chosen with."""
+    models = forecasting.ForecastModels(_flat(), [], 3.0)
+    info = forecasting.TrainingInfo(None, {})
+    begun = Future()
+    Timer(0.5, begun.set_result, [(models, info)]).start()
+    settings = Settings(model=replace(ModelSettings(), calibration_windows=0))
+    got, told = forecasting.train_models(spark.range(3), settings, begun)
+    assert got == models and told == info
