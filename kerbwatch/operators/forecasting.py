@@ -27,6 +27,8 @@ COUNT_TARGET, IMPACT_TARGET = "target_violation_count", "target_impact_units"
 _CAP_QUANTILE, _CAP_MARGIN, _LEAST_CAP = 0.999, 1.5, 1.0
 # Rows among which a feature's values change places; more rows only mean more such groups.
 _SHUFFLE_ROWS = 100_000
+# Rows for which another task is worth its start, when rows are scored for every feature.
+_SCORED_ROWS = 4_096
 
 MODEL_ONLY = {"model": 1.0}
 
@@ -204,7 +206,8 @@ def feature_importance(
     rows = staged(
         holdout.select(*ROW_KEYS, values.alias("x"), COUNT_TARGET, IMPACT_TARGET), "importance-rows"
     )
-    groups = max(1, -(-rows.count() // group_rows))
+    count = rows.count()
+    groups = max(1, -(-count // group_rows))
     dealt = rows.withColumn("_g", F.pmod(F.xxhash64(*ROW_KEYS, F.lit(seed)), F.lit(groups)))
 
     def place(salt: int) -> Column:
@@ -213,6 +216,9 @@ def feature_importance(
     numbered = dealt.withColumn("_i", place(0))
     shuffled = dealt.select("_g", place(1).alias("_i"), F.col("x").alias("other"))
     met = numbered.join(shuffled, ["_g", "_i"]).select("x", "other", COUNT_TARGET, IMPACT_TARGET)
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, -(-count // _SCORED_ROWS))
+    if groups < tasks:
+        met = met.repartition(tasks)  # scoring is the work; a few groups would leave it to as many tasks
     scored = met.mapInArrow(
         lambda parts: _swapped_errors(models, parts), "feature_id int, rows bigint, hotspot double, impact double"
     )

@@ -145,3 +145,20 @@ def test_a_fit_that_was_begun_is_waited_for(spark):
     settings = Settings(model=replace(ModelSettings(), calibration_windows=0))
     got, told = forecasting.train_models(spark.range(3), settings, begun)
     assert got == models and told == info
+
+
+def test_rows_of_one_group_are_scored_by_several_tasks(spark, monkeypatch):
+    settings = Settings()
+    names = forecasting.feature_columns(settings.temporal)
+    rows = spark.range(40).select(
+        F.col("id").cast("string").alias("zone_id"), F.col("id").alias("window_start"),
+        *[F.lit(1.0).alias(n) for n in names if n not in ("zone_id", "window_start")],
+        F.lit(3.0).alias(forecasting.COUNT_TARGET), F.lit(2.0).alias(forecasting.IMPACT_TARGET),
+    )
+    asked, kind = [], type(rows)
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *c: asked.append(n) or plain(self, n, *c))
+    monkeypatch.setattr(forecasting, "_SCORED_ROWS", 15)
+    table = forecasting.feature_importance(forecasting.ForecastModels(_flat(), [], 1.0), rows, settings).collect()
+    assert asked == [3] and len(table) == 2 * len(names)
+    assert {r.rows_scored for r in table} == {40} and {r.importance for r in table} == {0.0}
