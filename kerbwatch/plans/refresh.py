@@ -27,7 +27,7 @@ from kerbwatch.functions import clock
 from kerbwatch.functions.scoring import in_steps
 from kerbwatch.operators import cleaning, panel, zones
 from kerbwatch.operators import features as feats
-from kerbwatch.session import small_side, staged
+from kerbwatch.session import small_side, spread, staged
 
 TABLES = ("records", "zone_windows", "day_sums", "features")
 EPOCH = date(1970, 1, 1)
@@ -88,7 +88,9 @@ def refresh(raw: DataFrame, root: str, settings: Settings) -> list[date]:
     spark = raw.sparkSession
     raw = staged(raw, "batch")
     newer = _newer_versions(raw, root)
-    added = _dated(cleaning.clean_records(raw, settings)).withColumn("key", _key())
+    # Cleaning sorts the rows of a split; written files would be read as one split per core.
+    dealt = spread(raw, raw.count())
+    added = _dated(cleaning.clean_records(dealt, settings)).withColumn("key", _key())
     added = staged(added.join(newer.select("key"), "key", "left_semi"), "batch-records")
     moved = newer.select(F.col("was").alias("window_date")).union(added.select("window_date"))
     days = sorted(r["window_date"] for r in moved.dropna().distinct().collect())  # a row per day

@@ -5,6 +5,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from kerbwatch import session
 from kerbwatch.operators import cleaning
 from kerbwatch.operators.zones import zone_window_agg
 from kerbwatch.plans import refresh as store
@@ -102,3 +103,15 @@ def test_days_that_lose_all_records_are_emptied(spark, records, tmp_path):
     store.refresh(nothing, root, FEW)
     assert all(store.read_stored(spark, root, n).isEmpty() for n in store.TABLES)
     store.refresh(base.limit(0), root, FEW)
+
+
+def test_a_batch_is_dealt_by_its_rows_for_cleaning(spark, records, tmp_path, monkeypatch):
+    """However few files the batch was written to, no task sorts more of its rows than it should."""
+    told, plain = [], store.spread
+    monkeypatch.setattr(store, "spread", lambda df, rows: told.append(rows) or plain(df, rows))
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    root, batch = str(tmp_path / "dealt"), records.filter("ingest_seq = 0")
+    store.create_store(spark, root, batch, FEW)
+    store.refresh(batch, root, FEW)
+    assert told == [batch.count()]
+    assert rows_of(store.read_stored(spark, root, "records").drop("window_date")) == rows_of(cleaning.clean_records(batch, FEW))
