@@ -4,12 +4,17 @@ MLlib grows trees by level, has no Poisson loss, no L2 term and finds bins again
 features are binned once, and blocks of rows are kept where they are read. A pass over them adds up
 gradients per leaf, feature and bin; the driver holds those sums (leaves x features x bins numbers, set
 by parameters), gets a sibling's by subtraction and opens the leaf with the largest gain first.
+
+A pass is a Spark job, which costs more than the few rows of most nodes. So there are few of them: one
+asks for sums along the splits of earlier trees, which mostly stay best, and for the rows themselves of
+nodes that have few; below those the driver goes on alone. Neither changes a tree.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +40,9 @@ _STEPS = float(1 << 20)
 _LEAST_HESSIAN = 1e-3
 # Tasks of a pass over the training state, and rows for which another task is worth its start.
 _PASS_TASKS = 64
-_TASK_ROWS = 16_384
+_TASK_ROWS = 32_768
+# Rows of a node up to which a pass sends them: they take about the bytes of its sums from two tasks.
+_SENT_ROWS = 4_096
 
 
 @dataclass
@@ -48,12 +55,14 @@ class Tree:
     left: list[int] = field(default_factory=lambda: [0])
     right: list[int] = field(default_factory=lambda: [0])
     value: list[float] = field(default_factory=lambda: [0.0])
+    # Rows it was grown on, by node; not known of a loaded tree.
+    rows: list[int] = field(default_factory=lambda: [0], compare=False)
 
     def split(self, node: int, feature: int, bin_: int, threshold: float) -> tuple[int, int]:
         left = len(self.feature)
         self.feature[node], self.bin[node], self.threshold[node] = feature, bin_, threshold
         self.left[node], self.right[node] = left, left + 1
-        for column, empty in ((self.feature, -1), (self.threshold, 0.0), (self.bin, 0), (self.left, 0), (self.right, 0), (self.value, 0.0)):
+        for column, empty in ((self.feature, -1), (self.threshold, 0.0), (self.bin, 0), (self.left, 0), (self.right, 0), (self.value, 0.0), (self.rows, 0)):
             column += [empty, empty]
         return left, left + 1
 
@@ -141,6 +150,7 @@ class Block:
 
 _BLOCK = "rows long, codes binary, y binary, w binary, held binary, m binary"
 _BLOCK_TYPES = (np.uint8, np.float64, np.float64, np.bool_, np.float64)
+_SENT_TYPES = (np.int32, np.uint8, np.float64, np.float64)
 
 
 def _packed(block: Block) -> pa.RecordBatch:
@@ -207,8 +217,11 @@ def leaf_sums(
 ) -> np.ndarray:
     """Sums of gradient, curvature and rows: (features, 3, slots, bins); rows of slot -1 are left out."""
     inside = slot >= 0
-    codes, slot = codes[inside], slot[inside]
     g, h = (_whole(a) for a in gradients(loss, y[inside], w[inside], m[inside]))
+    return _added(codes[inside], g, h, slot[inside], slots, bins)
+
+
+def _added(codes: np.ndarray, g: np.ndarray, h: np.ndarray, slot: np.ndarray, slots: int, bins: int) -> np.ndarray:
     out = np.empty((codes.shape[1], 3, slots * bins), np.int64)
     for f in range(codes.shape[1]):
         at = slot * bins + codes[:, f]
@@ -217,29 +230,61 @@ def leaf_sums(
     return out.reshape(codes.shape[1], 3, slots, bins)
 
 
-def _pass(state: RDD, loss: str, tree: Tree, nodes: list[int], features: int, bins: int) -> tuple[np.ndarray, float]:
-    """Sums of some nodes of a growing tree, and the held-out loss before it.
+@dataclass
+class NodeRows:
+    """All rows of a node with few: their bins, and both derivatives in whole steps."""
+
+    codes: np.ndarray
+    g: np.ndarray
+    h: np.ndarray
+    bins: int
+
+    def sums(self) -> np.ndarray:
+        return _added(self.codes, self.g, self.h, np.zeros(len(self.g), np.int64), 1, self.bins)[:, :, 0]
+
+    def cut(self, feature: int, bin_: int) -> tuple[NodeRows, NodeRows]:
+        left = self.codes[:, feature] <= bin_
+        return tuple(NodeRows(self.codes[some], self.g[some], self.h[some], self.bins) for some in (left, ~left))
+
+
+def _pass(
+    state: RDD, loss: str, tree: Tree, nodes: list[int], features: int, bins: int, small: list[int] | None = None
+) -> tuple[np.ndarray, float, dict[int, NodeRows]]:
+    """Sums of some leaves of a growing tree, the held-out loss before it, and the rows of `small` leaves.
 
     Every task adds up its rows. There are few tasks, as what each sends to the driver is
     nodes x features x bins x 24 bytes, and a row only costs a byte per feature.
     """
+    small = small or []
     slot_of = np.full(len(tree.feature), -1)
-    slot_of[nodes] = np.arange(len(nodes))
-    size = 3 * len(nodes) * bins
+    slot_of[[*nodes, *small]] = np.arange(len(nodes) + len(small))
+    size = 3 * max(1, len(nodes)) * bins
 
-    def add(blocks: Iterable[Block]) -> Iterator[bytes]:
+    def add(blocks: Iterable[Block]) -> Iterator[tuple[bytes, list[tuple[bytes, ...]]]]:
         total = np.zeros((features + 1, size), np.int64)
+        sent = []
         for b in blocks:
             slot = np.where(b.held, -1, slot_of[tree.leaf_of(b.codes, binned=True)])
-            total[:-1] += leaf_sums(loss, b.codes, b.y, b.w, b.m, slot, len(nodes), bins).reshape(features, size)
+            if nodes:
+                summed = np.where(slot < len(nodes), slot, -1)
+                total[:-1] += leaf_sums(loss, b.codes, b.y, b.w, b.m, summed, len(nodes), bins).reshape(features, size)
             total[-1, 0] += int(_whole(losses(loss, b.y[b.held], b.w[b.held], b.m[b.held])).sum())
-        yield total.tobytes()
+            if small:
+                at = np.flatnonzero(slot >= len(nodes))
+                parts = (slot[at] - len(nodes), b.codes[at], *map(_whole, gradients(loss, b.y[at], b.w[at], b.m[at])))
+                sent.append(tuple(np.ascontiguousarray(a, t).tobytes() for a, t in zip(parts, _SENT_TYPES, strict=True)))
+        yield total.tobytes(), sent
 
     total = np.zeros((features + 1) * size, np.int64)
-    for raw in state.mapPartitions(add).collect():
+    sent = []
+    for raw, more in state.mapPartitions(add).collect():
         total += np.frombuffer(raw, np.int64)
-    sums = total.reshape(features + 1, 3, len(nodes), bins)
-    return sums[:-1], float(sums[-1].flat[0]) / _STEPS
+        sent += more
+    sums = total.reshape(features + 1, 3, -1, bins)
+    which, codes, g, h = (np.frombuffer(b"".join(raw), t) for raw, t in zip(zip(*sent) if sent else [()] * 4, _SENT_TYPES, strict=True))
+    codes = codes.reshape(-1, features)
+    rows = {n: NodeRows(codes[which == k], g[which == k], h[which == k], bins) for k, n in enumerate(small)}
+    return sums[:-1, :, : len(nodes)], float(sums[-1].flat[0]) / _STEPS, rows
 
 
 def best_split(sums: np.ndarray, least_rows: int, l2: float) -> tuple[float, int, int]:
@@ -282,18 +327,100 @@ def _next_to_open(trial: Tree, splits: dict[int, tuple[float, int, int]], open_l
     return fresh
 
 
-def grow(sums_of, edges: list[np.ndarray], boost: BoostSettings) -> tuple[Tree, float]:
+@dataclass
+class Recall:
+    """Best splits of nodes in earlier trees, by the way from the root, and the rows of both children.
+
+    Gradients change little in a round, so they are mostly best again.
+    """
+
+    splits: dict[tuple, tuple[int, int, float, int, int]] = field(default_factory=dict)
+
+    def open_below(self, trial: Tree, ways: dict[int, tuple], nodes: Iterable[int], room: int, least: int) -> list[int]:
+        """Opens nodes with more than `least` rows by what is recalled, at most `room`; the leaves then."""
+        line, leaves = deque(nodes), []
+        while line:
+            node = line.popleft()
+            was = self.splits.get(ways[node]) if room and not 0 < trial.rows[node] <= least else None
+            if was is None:
+                leaves.append(node)
+                continue
+            children = trial.split(node, *was[:3])
+            for side, child in enumerate(children):
+                ways[child], trial.rows[child] = (*ways[node], (*was[:2], side)), was[3 + side]
+            line += children
+            room -= 1
+        return leaves
+
+
+def grow(
+    sums_of, edges: list[np.ndarray], boost: BoostSettings, sent_of=None, sent_rows: int = 0, recall: Recall | None = None
+) -> tuple[Tree, float]:
     """One tree of at most `max_leaf_nodes` leaves, the leaf with the largest gain opened first.
 
     `sums_of(tree, nodes)` gives the sums of nodes and the held-out loss. All leaves that are next by
     what is known are opened together on trial, below earlier trials too, so a pass serves many; a trial
     that turns out not to be next is not part of the tree. Only one child of a split is added up, the
     other is the rest. Children of the last split are never opened: the split itself tells their steps.
+
+    `sent_of(tree, nodes, small)`, if given, also gives the rows of nodes with at most `sent_rows`, which
+    are opened without a pass. A pass also opens nodes as `recall` has them from earlier trees; where that
+    is not the best split of the node, it is closed again.
     """
-    trial = Tree()
-    sums, held_loss = sums_of(trial, [0])
-    known = {0: sums[:, :, 0]}
-    splits = {0: best_split(known[0], boost.min_samples_leaf, boost.l2_regularization)}
+    recall = recall or Recall()
+    trial, ways = Tree(), {0: ()}
+    known: dict[int, np.ndarray] = {}
+    rows: dict[int, NodeRows] = {}
+    splits: dict[int, tuple[float, int, int]] = {}
+
+    def judge(node: int) -> None:
+        splits[node] = best_split(known[node], boost.min_samples_leaf, boost.l2_regularization)
+
+    def split(node: int) -> tuple[int, int]:
+        _, f, b = splits[node]
+        children = trial.split(node, f, b, float(edges[f][b]))
+        below = int(known[node][f, 2, : b + 1].sum())
+        for side, (child, n) in enumerate(zip(children, (below, _row_count(known[node]) - below), strict=True)):
+            ways[child], trial.rows[child] = (*ways[node], (f, b, side)), n
+        return children
+
+    def ask(tops: list[int], room: int) -> float:
+        """Makes the tops known, or the children of those that are, and what is recalled below."""
+        nodes, small, rest = [], [], {}
+        made = len(trial.feature)
+        for top in tops:
+            leaves = recall.open_below(trial, ways, split(top) if top in known else [top], room, sent_rows)
+            few = [i for i in leaves if 0 < trial.rows[i] <= sent_rows]
+            many = [i for i in leaves if i not in few]
+            if top in known and many:
+                rest[top] = many.pop(), few + many
+            small += few
+            nodes += many
+            room = max(0, room - len(leaves))
+        if sent_of is None:
+            sums, held_loss = sums_of(trial, nodes)
+        else:
+            sums, held_loss, sent = sent_of(trial, nodes, small)
+            rows.update(sent)
+            known.update((i, r.sums()) for i, r in sent.items())
+        known.update((i, sums[:, :, k]) for k, i in enumerate(nodes))
+        for top, (last, others) in rest.items():
+            known[last] = known[top] - sum(known[i] for i in others)
+        for node in [*range(len(trial.feature) - 1, made - 1, -1), *tops]:  # children come after their node
+            if node not in known:
+                known[node] = known[trial.left[node]] + known[trial.right[node]]
+        line = list(tops)
+        while line:
+            node = line.pop()
+            if node not in splits:
+                judge(node)
+            if trial.feature[node] >= 0 and splits[node][1:] == (trial.feature[node], trial.bin[node]) and splits[node][0] > 0:
+                line += (trial.left[node], trial.right[node])
+            else:
+                trial.feature[node] = -1
+        return held_loss
+
+    held_loss = ask([0], boost.max_leaf_nodes - 1)
     open_leaves, chosen = [0], []  # chosen: nodes of the trial tree that are split, in order
     while open_leaves and len(chosen) + 1 < boost.max_leaf_nodes:
         node = max(open_leaves, key=lambda i: (splits[i][0], -i))
@@ -302,19 +429,18 @@ def grow(sums_of, edges: list[np.ndarray], boost: BoostSettings) -> tuple[Tree,
         room = boost.max_leaf_nodes - 1 - len(chosen)
         if trial.feature[node] < 0 and room == 1:
             _, f, b = splits[node]
-            for child, of_child in zip(trial.split(node, f, b, float(edges[f][b])), (slice(b + 1), slice(b + 1, None)), strict=True):
+            for child, of_child in zip(split(node), (slice(b + 1), slice(b + 1, None)), strict=True):
                 known[child] = known[node][f : f + 1, :, of_child]
+        elif trial.feature[node] < 0 and node in rows:
+            _, f, b = splits[node]
+            left, right = split(node)
+            rows[left], rows[right] = rows[node].cut(f, b)
+            known[left] = rows[left].sums()
+            known[right] = known[node] - known[left]
+            judge(left)
+            judge(right)
         elif trial.feature[node] < 0:
-            fresh = _next_to_open(trial, splits, open_leaves, room)
-            for i in fresh:
-                _, f, b = splits[i]
-                trial.split(i, f, b, float(edges[f][b]))
-            sums, _ = sums_of(trial, [trial.left[i] for i in fresh])
-            for k, i in enumerate(fresh):
-                known[trial.left[i]] = sums[:, :, k]
-                known[trial.right[i]] = known[i] - sums[:, :, k]
-                for child in (trial.left[i], trial.right[i]):
-                    splits[child] = best_split(known[child], boost.min_samples_leaf, boost.l2_regularization)
+            ask([i for i in _next_to_open(trial, splits, open_leaves, room) if i not in rows], room)
         open_leaves.remove(node)
         open_leaves += [trial.left[node], trial.right[node]]
         chosen.append(node)
@@ -323,11 +449,20 @@ def grow(sums_of, edges: list[np.ndarray], boost: BoostSettings) -> tuple[Tree,
         a, b = tree.split(place[node], trial.feature[node], trial.bin[node], trial.threshold[node])
         place[trial.left[node]], place[trial.right[node]] = a, b
     for node, at in place.items():
+        tree.rows[at] = _row_count(known[node])
         if tree.feature[at] < 0:
             tree.value[at] = boost.learning_rate * leaf_step(known[node], boost.l2_regularization)
+    for node in chosen:
+        if node not in rows:
+            counts = (_row_count(known[c]) for c in (trial.left[node], trial.right[node]))
+            recall.splits[ways[node]] = (trial.feature[node], trial.bin[node], trial.threshold[node], *counts)
     return tree, held_loss
 
 
+def _row_count(sums: np.ndarray) -> int:
+    return int(sums[0, 2].sum())
+
+
 class Patience:
     """Ends a fit after `rounds` rounds without a smaller held-out loss, and knows the best size."""
 
@@ -372,14 +507,16 @@ def fit_boosted(
     edges = bin_edges(matrix(some.column("x").combine_chunks()))
     features, bins = len(edges), 1 + max(map(len, edges))
     tasks = max(1, min(_PASS_TASKS, sample.sparkSession.sparkContext.defaultParallelism, -(-seen["n"] // _TASK_ROWS)))
-    rows = rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows.coalesce(_PASS_TASKS)
+    rows = rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows.coalesce(min(_PASS_TASKS, -(-seen["n"] // _TASK_ROWS)))
     written = staged(_binned(rows, edges, start), "boost-state")
     state = _kept(written)
     held_states = [state]  # since the last write
     trees: list[Tree] = []
-    patience = Patience(model.rounds_without_gain)
+    patience, recall = Patience(model.rounds_without_gain), Recall()
     for _ in range(boost.max_iter):
-        tree, held_loss = grow(lambda t, nodes: _pass(state, loss, t, nodes, features, bins), edges, boost)
+        tree, held_loss = grow(
+            None, edges, boost, lambda t, nodes, small: _pass(state, loss, t, nodes, features, bins, small), _SENT_ROWS, recall
+        )
         while len(held_states) > 1:
             held_states.pop(0).unpersist()
         if model.early_stopping and patience.out_of(held_loss, len(trees)):

@@ -157,3 +157,51 @@ def test_a_pass_opens_all_that_is_next():
     leaf = tree.leaf_of(codes, binned=True)
     for node in np.unique(leaf):
         assert tree.value[node] == pytest.approx(y[leaf == node].sum() / ((leaf == node).sum() + 2.0), abs=1e-4)
+
+
+def test_rows_of_small_nodes_and_recalled_splits_do_not_change_a_tree():
+    rng = np.random.default_rng(6)
+    codes, y = rng.integers(0, 64, (6000, 6)).astype(np.uint8), rng.poisson(1.0, 6000).astype(float)
+    y += (codes[:, 0] > 40) * 3.0 + (codes[:, 1] < 9)
+    boost, w, edges = BoostSettings("b", 1.0, 1, 0.05, 23, 40, 2.0, 3.0), np.ones(6000), [np.arange(63) + 0.5] * 6
+    passes = {"plain": 0, "sent": 0}
+
+    def slots(tree, nodes):
+        slot_of = np.full(len(tree.feature), -1)
+        slot_of[nodes] = np.arange(len(nodes))
+        return slot_of[tree.leaf_of(codes, binned=True)]
+
+    def sums_of(tree, nodes):
+        passes["plain"] += 1
+        return boosting.leaf_sums(SQUARED, codes, y, w, m, slots(tree, nodes), len(nodes), 64), 0.0
+
+    def sent_of(tree, nodes, small):
+        passes["sent"] += 1
+        at = slots(tree, [*nodes, *small])
+        sums = boosting.leaf_sums(SQUARED, codes, y, w, m, np.where(at < len(nodes), at, -1), len(nodes), 64)
+        parts = [np.flatnonzero(at == len(nodes) + k) for k in range(len(small))]
+        assert all(len(rows) <= 500 for rows in parts)
+        steps = [boosting._whole(a) for a in boosting.gradients(SQUARED, y, w, m)]
+        return sums, 0.0, {n: boosting.NodeRows(codes[r], *(s[r] for s in steps), 64) for n, r in zip(small, parts)}
+
+    m, recall = np.zeros(6000), boosting.Recall()
+    for _ in range(12):
+        plain, _ = boosting.grow(sums_of, edges, boost)
+        sent, _ = boosting.grow(None, edges, boost, sent_of, 500, recall)
+        assert sent == plain and sent.rows == plain.rows
+        m += plain.add_to(codes, binned=True)
+    assert passes["sent"] <= 0.6 * passes["plain"]
+
+
+@pytest.mark.parametrize("loss", [POISSON, SQUARED])
+def test_a_fit_needs_few_jobs(spark, loss, monkeypatch):
+    """Nodes of a few rows cost no pass of their own, whatever the number of leaves."""
+    x, y, w = data(11, 3000)
+    passes, one_pass = [], boosting._pass
+    monkeypatch.setattr(boosting, "_pass", lambda *a: passes.append(1) or one_pass(*a))
+    boost = BoostSettings("b", 1.0, 4, 0.1, 23, 40, 2.0, 3.0)
+    model = fitted(spark, x, np.log1p(y) if loss == SQUARED else y, w, loss, boost)
+    assert [t.leaves for t in model.trees] == [23] * 4 and len(passes) <= 8
+    monkeypatch.setattr(boosting, "_SENT_ROWS", 0)
+    summed = fitted(spark, x, np.log1p(y) if loss == SQUARED else y, w, loss, boost)
+    assert summed.trees == model.trees and len(passes) > 24
