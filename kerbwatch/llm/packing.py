@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,12 +23,16 @@ WINDOW = 4096
 END_ID = 2
 # Remainders that are packed together in one task. More of them only mean more groups.
 GROUP_ROWS = 50_000
-# Units, and stems of units, whose ids a Python worker keeps; beyond it the memory starts afresh.
+# Stems, and units that are no plain words, of which a Python worker keeps what it learned; beyond it the
+# memory starts afresh.
 KEPT_UNITS = 400_000
 KEPT_STEMS = 800_000
 
 # After a letter or digit a run of these up to the end of a unit is a word of its own.
 _MARKS = ".,;:!?$%&#*"
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªµº")
+# Letters that NFC leaves alone, then marks; seen by the code of Arrow, many units at once.
+_PLAIN = f"^[{_LETTERS}]+[{_MARKS}]*$"
 # Stems that go through the tokenizer in one call, as one text.
 _JOINED = 256
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -38,12 +43,38 @@ def _is_word(stem: str) -> bool:
     return stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ")
 
 
+def _parted(unit: str) -> tuple[str, str]:
+    """The stem of a unit and the marks that end it."""
+    # As the tokenizer does; a letter may be taken apart into one and a mark.
+    form = unit if unit.isascii() else unicodedata.normalize("NFC", unit)
+    stem = form.rstrip(_MARKS)
+    if stem and stem[-1].lower()[-1].isalnum():
+        marks = form[len(stem) :]
+    else:
+        stem, marks = unit, ""
+    if _is_word(stem):
+        stem = stem.lower()  # as the tokenizer does
+    return stem, marks
+
+
+def _gathered(ids: np.ndarray, ends: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the runs that lie in `ids` one after the other, in the order picked, and where they end."""
+    lengths = np.diff(ends, prepend=0)[pick]
+    made = np.cumsum(lengths)
+    if not len(made):
+        return ids[:0], made
+    at = np.repeat(ends[pick] - made, lengths)
+    at += np.arange(len(at))
+    return ids[at], made
+
+
 class UnitIds:
     """Ids of texts by a tokenizer that drops white space.
 
     No token crosses white space, so a text's ids are those of its blank-separated units in turn, and
     a unit's are those of its stem and of the marks that end it. Each distinct stem and run of marks
     goes through the tokenizer once. Special tokens hold no white space and do not end in a mark.
+    Texts are taken apart, and equal units and stems brought to one, by Arrow's own code.
     """
 
     def __init__(self, path: str):
@@ -56,33 +87,16 @@ class UnitIds:
         size = 1 + max(self.tokenizer.get_vocab().values())
         self.ends_word = np.zeros(size, bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.parted: dict[str, tuple[str, str]] = {}
         self.stems: dict[str, bytes] = {}
 
-    def _learn(self, units: list[str]) -> None:
-        parts = []
-        for unit in units:
-            # As the tokenizer does; a letter may be taken apart into one and a mark.
-            form = unit if unit.isascii() else unicodedata.normalize("NFC", unit)
-            stem = form.rstrip(_MARKS)
-            if stem and stem[-1].lower()[-1].isalnum():
-                marks = form[len(stem) :]
-            else:
-                stem, marks = unit, ""
-            if _is_word(stem):
-                stem = stem.lower()  # as the tokenizer does
-            parts.append((unit, stem, marks))
-        if len(self.stems) > KEPT_STEMS:
-            self.stems = {}
-        wanted = {stem for _, stem, _ in parts} | {marks for _, _, marks in parts}
-        fresh = wanted - self.stems.keys()
-        words = [s for s in fresh if _is_word(s)]
+    def _learn(self, stems: list[str]) -> None:
+        words, others = [], []
+        for stem in stems:
+            (words if _is_word(stem) else others).append(stem)
         self._learn_words(words)
-        others = [*fresh.difference(words)]
         made = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
         self.stems.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(others, made, strict=True))
-        get = self.stems.__getitem__
-        self.known.update((unit, get(stem) + get(marks) if marks else get(stem)) for unit, stem, marks in parts)
 
     def _learn_words(self, words: list[str]) -> None:
         """Words of letters alone: many in one text, told apart by the tokens that end a word."""
@@ -96,16 +110,45 @@ class UnitIds:
             for word, a, b in zip(some, [0, *stops], stops, strict=False):
                 self.stems[word] = raw[a:b]
 
+    def _runs(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct ones of some stems or runs of marks, where they end, and which each one is."""
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False)  # faster than to_pylist
+        self._learn([n for n in names if n not in self.stems])
+        raw = [*map(self.stems.__getitem__, names)]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))) >> 2
+        return np.frombuffer(b"".join(raw), "<u4"), ends, coded.indices.to_numpy()
+
+    def _unit_runs(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units, one after the other, and where they end."""
+        plain = pc.match_substring_regex(units, _PLAIN)
+        words = units.filter(plain)
+        rest = units.filter(pc.invert(plain)).to_pylist()
+        if len(self.parted) > KEPT_UNITS:
+            self.parted = {}
+        self.parted.update((u, _parted(u)) for u in rest if u not in self.parted)
+        others = [self.parted[u] for u in rest]
+        stems = pa.concat_arrays([pc.utf8_lower(pc.utf8_rtrim(words, _MARKS)), pa.array([s for s, _ in others], pa.string())])
+        marks = pa.concat_arrays([pc.utf8_ltrim(words, _LETTERS), pa.array([m for _, m in others], pa.string())])
+        if len(self.stems) > KEPT_STEMS:
+            self.stems = {}
+        ids, ends, which = self._runs(pa.concat_arrays([stems, marks]))
+        order = plain.to_numpy(zero_copy_only=False)
+        place = np.where(order, np.cumsum(order) - 1, len(words) + np.cumsum(~order) - 1)
+        pick = which.reshape(2, -1)[:, place].T.ravel()
+        ids, ends = _gathered(ids, ends, pick)
+        return ids, ends[1::2]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT_UNITS:
-            self.known = {}
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for units in cut:
-            new.update(units)
-        self._learn([*(new - self.known.keys())])
-        get = self.known.__getitem__
-        return [b"".join(map(get, units)) for units in cut]
+        cut = pa.array(texts, pa.string())
+        for white in "\n\t":
+            cut = pc.replace_substring(cut, white, " ")
+        cut = pc.split_pattern(cut, " ")
+        units = cut.flatten().dictionary_encode()
+        ids, ends = self._unit_runs(units.dictionary)
+        ids, ends = _gathered(ids, ends, units.indices.to_numpy())
+        stops = np.concatenate([[0], ends])[cut.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(stops, stops[1:])]
 
 
 @lru_cache(maxsize=2)

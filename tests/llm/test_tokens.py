@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from kerbwatch.llm import packing
 from kerbwatch.llm.bpe import Coder, bpe_decode, bpe_encode, round_trip_digests, unknown_letters
 from kerbwatch.llm.packing import CapacityTree, UnitIds, best_fit_decreasing, pack
 
@@ -136,3 +137,22 @@ def test_letters_are_those_of_the_library():
     coder = Coder(BYTES)
     got = [np.frombuffer(ids, "<i4").tolist() for ids in coder.encode(texts)]
     assert [t for t, a, b in zip(texts, got, expected, strict=True) if a != b] == []
+
+
+def test_plain_words_are_not_taken_apart_one_by_one(monkeypatch):
+    """Letters up to U+00FF and the marks after them go many at once; ids are the library's, also when memory restarts."""
+    looked_at, parted = [], packing._parted
+    monkeypatch.setattr(packing, "_parted", lambda unit: looked_at.append(unit) or parted(unit))
+    monkeypatch.setattr(packing, "KEPT_STEMS", 50)
+    monkeypatch.setattr(packing, "KEPT_UNITS", 5)
+    rng = random.Random(8)
+    letters = [c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªµº"]
+    plain = ["".join(rng.choices(letters, k=rng.randrange(1, 9))) + "".join(rng.choices(packing._MARKS, k=rng.randrange(3))) for _ in range(600)]
+    other = ["", "...", "1.5,", "ªb", "µ", "don't", "a-b!", "é,", "漢字?", "<|endoftext|>", "Å.", "Ω;"]
+    units, library = UnitIds(WORDS), Tokenizer.from_file(WORDS)
+    for _ in range(8):
+        texts = [" ".join(rng.choices([*plain, *other], k=40)) + rng.choice(["", "\n", "\t\t "]) for _ in range(30)]
+        for text, made in zip(texts, units.encode(texts), strict=True):
+            assert np.frombuffer(made, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert looked_at and set(looked_at) <= set(other)
+    assert units.encode([]) == [] and units.encode([""]) == [b""]
