@@ -25,8 +25,8 @@ END_ID = 2
 GROUP_ROWS = 50_000
 # Stems, and units that are no plain words, of which a Python worker keeps what it learned; beyond it the
 # memory starts afresh.
-KEPT_UNITS = 400_000
-KEPT_STEMS = 800_000
+KEPT_UNITS = 150_000
+KEPT_STEMS = 300_000
 
 # After a letter or digit a run of these up to the end of a unit is a word of its own.
 _MARKS = ".,;:!?$%&#*"

@@ -15,13 +15,17 @@ from pyspark.sql.types import MapType, VariantType
 from kerbwatch.llm.common import batches, bounded, texts_of
 from kerbwatch.llm.components import connected_components
 from kerbwatch.llm.covering import anchors
-from kerbwatch.session import staged
+from kerbwatch.session import spread, staged
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
 # An anchor with more fingerprints than this is not compared pair by pair.
 CROWD = 64
+# Fingerprints that a task sends to their anchors, some 61 each: it counts anchors in memory, about 80 bytes each.
+TASK_PRINTS = 10_000
+# Fingerprints whose anchors are made at once, as one Arrow batch of some 4 MB.
+AT_ONCE = 4_000
 
 
 def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -75,21 +79,24 @@ def _meetings(prints: DataFrame, max_bits: int, crowd: int) -> DataFrame:
     """(anchor, fingerprint, crowded) at every anchor where fingerprints can be compared.
 
     That takes two of them, and one at home. Anchors are counted first, combined before the
-    shuffle, so the others are dropped, and one with more than `crowd` is known as crowded.
+    shuffle, so the others are dropped, and one with more than `crowd` is known as crowded. The
+    fingerprints are dealt by their number: a split of the written table, eight bytes a row, holds
+    so many that the anchors of one fill a task's memory.
     """
+    dealt = spread(prints, prints.count(), TASK_PRINTS)
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             own = batch.column("fingerprint").to_numpy()
-            for lo in range(0, len(own), 20_000):
-                some = own[lo : lo + 20_000]
+            for lo in range(0, len(own), AT_ONCE):
+                some = own[lo : lo + AT_ONCE]
                 row, anchor, home = anchors(some.view(np.uint64), max_bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor), pa.array(some[row]), pa.array(home)],
                     ["anchor", "fingerprint", "home"],
                 )
 
-    sent = prints.mapInArrow(run, "anchor bigint, fingerprint bigint, home boolean")
+    sent = dealt.mapInArrow(run, "anchor bigint, fingerprint bigint, home boolean")
     counts = sent.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("home"))
     busy = counts.filter("home and n > 1").select("anchor", (F.col("n") > crowd).alias("crowded"))
     # Busy anchors grow with the fingerprints; a broadcast that happens to fit would not hold later.

@@ -79,13 +79,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, rows: int = 0) -> DataFrame:
-    """Spread an input with fewer splits than cores, such as one small file, or with more rows a split than a task should sort.
+def spread(df: DataFrame, rows: int = 0, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Spread an input with fewer splits than cores, such as one small file, or with more rows a split than a task should take.
 
-    `rows` is the number of rows, where it is known. Does nothing for inputs with enough splits. Rows
+    `rows` is the number of rows, where it is known, and a task takes about `task_rows`. Does nothing for inputs with enough splits. Rows
     are dealt by a hash of all columns, which needs no sort to be the same at every try.
     """
-    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows))
     return df.repartition(wanted, *df.columns) if df.rdd.getNumPartitions() < wanted else df
 
 

@@ -3,10 +3,12 @@
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from kerbwatch.llm import covering, order_minhash, simhash
 from kerbwatch.llm.components import connected_components
@@ -86,6 +88,19 @@ def test_linked_fingerprints_equal_all_pairs(spark, max_bits, crowd):
     assert groups(found) == groups(expected)
 
 
+def test_anchors_are_made_by_tasks_of_bounded_size(spark, monkeypatch, capsys):
+    monkeypatch.setattr(simhash, "TASK_PRINTS", 100, raising=False)
+    low = F.floor(F.col("id") / 16)  # sixteen fingerprints that differ in bits no anchor has; all in one split
+    prints = spark.range(2_000).select((F.shiftleft(F.col("id") % 16, 46) + low).alias("fingerprint")).coalesce(1)
+    made = simhash._meetings(prints, 0, 64)
+    made.explain()
+    assert re.search(r"hashpartitioning\(fingerprint#\d+L, 20\), REPARTITION_BY_NUM", capsys.readouterr().out)
+    plain = np.array([r.fingerprint for r in prints.collect()])
+    row, anchor, _ = covering.anchors(plain.view(np.uint64), 0)
+    expected = sorted(zip(anchor.tolist(), plain[row].tolist(), strict=True))
+    assert sorted((r.anchor, r.fingerprint) for r in made.collect()) == expected and len(expected) == 2_000
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (300, 301)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
